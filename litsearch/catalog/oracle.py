@@ -425,7 +425,15 @@ FROM req"""
 
 
 def sql_xml_papers() -> str:
-    return with_(PAPERS) + f"SELECT {PAPER_COLS} FROM papers"
+    cols = PAPER_COLS.replace("author,", f"CASE WHEN doc_id % 11 = 0 THEN split_part(author, ' ', 1) || "
+                                          f"' {FX.DECOY_GIVEN}' ELSE author END AS author,")
+    return with_(PAPERS) + f"SELECT CAST(0 AS FLOAT) AS search_score, {cols} FROM papers"
+
+
+def sql_xml_rejects() -> str:
+    return with_(PAPERS) + """
+SELECT pmc_id, CASE WHEN doc_id % 26 = 0 THEN 'undefined_entity' ELSE 'mismatched_tag' END AS error
+FROM papers WHERE doc_id % 13 = 0"""
 
 
 def sql_conversation_assign() -> str:
@@ -460,6 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "requests_json": sql_requests_json(),
         "validate_requests": sql_validate_requests(),
         "xml_papers": sql_xml_papers(),
+        "xml_rejects": sql_xml_rejects(),
         "conversation_assign": sql_conversation_assign(),
         "stream_conversation": sql_conversation_assign(),
         "stream_index_upsert": sql_index_upsert(),

@@ -308,6 +308,30 @@ def q_conversation_assign(spark, sf_dir):
                                 key="addr", order=("ts", "event_id"), request_id="event_id")
 
 
+# --- XML ------------------------------------------------------------------------------
+
+def _write_articles(spark, sf_dir, defects: bool) -> str:
+    from litsearch.session import scratch_path
+    docs = FX.read_table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "articles")
+    FX.articles_from_documents(docs, defects=defects).write.mode("errorifexists").text(path)
+    return path
+
+
+def q_xml_papers(spark, sf_dir):
+    from litsearch.sources.xml import ingest
+    papers, _ = ingest(spark, _write_articles(spark, sf_dir, defects=False))
+    return papers
+
+
+def q_xml_rejects(spark, sf_dir):
+    from litsearch.sources.xml import ingest
+    _, rejects = ingest(spark, _write_articles(spark, sf_dir, defects=True))
+    return rejects.select(
+        F.regexp_extract("article_xml", r'pub-id-type="pmc">([^<]*)</article-id>', 1).alias("pmc_id"),
+        "error")
+
+
 def registry() -> dict:
     return {
         "candidates_topk": q_candidates_topk,
@@ -333,4 +357,6 @@ def registry() -> dict:
         "requests_json": q_requests_json,
         "validate_requests": q_validate_requests,
         "conversation_assign": q_conversation_assign,
+        "xml_papers": q_xml_papers,
+        "xml_rejects": q_xml_rejects,
     }

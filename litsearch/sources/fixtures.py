@@ -102,3 +102,65 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "queries": queries,
         "query_terms": query_terms_from_queries(queries),
     }
+
+
+# --- article XML built from documents (round trip of the XML reader) -------------
+DECOY_SURNAME = "Decoy"
+DECOY_GIVEN = "Ann"
+DECOY_YEAR = "1900"
+
+
+def articles_from_documents(documents: DataFrame, defects: bool = False) -> DataFrame:
+    """One ``<article>`` per document carrying the ``papers`` fields.
+
+    A decoy first contributor and pub-date exercise "last wins"; doc_id % 11
+    = 0 has a last contributor without given names (they then come from the
+    decoy); doc_id % 10 = 0 keeps its text in ``abstract/sec/p`` (not an
+    abstract paragraph); doc_id % 9 = 0 has no keywords; doc_id % 7 = 0 no
+    doi; every article has an id of an unknown type. With ``defects`` the
+    articles with doc_id % 13 = 0 are broken: an undefined entity in the title
+    (doc_id % 26 = 0) or a missing ``</front>``.
+    """
+    from litsearch.sources.xml import element, optional, xml_escape
+
+    d = F.col("doc_id")
+    toks = tokens("text")
+    title = F.array_join(F.slice(toks, 1, TITLE_TOKENS), " ")
+    if defects:
+        title = F.when(d % 26 == 0, F.concat(title, F.lit(" &nbsp;"))).otherwise(xml_escape(title))
+    else:
+        title = xml_escape(title)
+    paras = F.array_join(F.transform(F.split("text", "\n", -1),
+                                     lambda p: element("p", xml_escape(p))), "")
+    abstract = F.when(d % 10 == 0, element("abstract", element("sec", paras))) \
+        .otherwise(element("abstract", paras))
+    long_tokens = F.filter(toks, lambda t: F.length(t) >= KEYWORD_MIN_LEN)
+    kwds = F.array_join(F.transform(F.slice(long_tokens, 1, KEYWORDS_PER_PAPER),
+                                    lambda k: element("kwd", xml_escape(k))), "")
+    kwd_group = optional(d % 9 != 0, element("kwd-group", kwds))
+    pmc = F.when(d % 2 == 0, F.concat(F.lit("PMC"), d.cast("string"))).otherwise(d.cast("string"))
+    ids = F.concat(
+        element("article-id", F.concat(F.lit("pub-"), d.cast("string")), ' pub-id-type="publisher-id"'),
+        optional(d % 7 != 0, element("article-id", F.concat(F.lit(DOI_PREFIX), d.cast("string")),
+                                     ' pub-id-type="doi"')),
+        element("article-id", pmc, ' pub-id-type="pmc"'),
+        element("article-id", (d + PM_ID_OFFSET).cast("string"), ' pub-id-type="pmid"'))
+    decoy = element("contrib", element("name", F.concat(
+        element("surname", F.lit(DECOY_SURNAME)), element("given-names", F.lit(DECOY_GIVEN)))))
+    real = element("contrib", element("name", F.concat(
+        element("surname", xml_escape(F.col("source"))),
+        optional(d % 11 != 0, element("given-names", xml_escape(F.col("lang")))))))
+    year = (F.lit(FIRST_YEAR) + d % YEAR_SPAN).cast("string")
+    dates = F.concat(element("pub-date", element("year", F.lit(DECOY_YEAR))),
+                     element("pub-date", element("year", year)))
+    meta = element("article-meta", F.concat(
+        ids, element("title-group", element("article-title", title)),
+        element("contrib-group", F.concat(decoy, real)), dates, abstract, kwd_group))
+    front_end = F.lit("</front>")
+    if defects:
+        front_end = F.when((d % 13 == 0) & (d % 26 != 0), F.lit("")).otherwise(front_end)
+    article = F.concat(
+        F.lit('<article article-type="research-article"><front>'),
+        element("journal-meta", element("journal-id", F.lit("J"))), meta, front_end,
+        F.lit("<body><sec><p>Full text is not part of the record.</p></sec></body></article>"))
+    return documents.select(article.alias("article_xml"))
