@@ -319,10 +319,11 @@ def sql_feedback_query() -> str:
 SELECT query_id, string_agg(keyword, ' ' ORDER BY kw_rank) AS next_query FROM kwtop GROUP BY query_id"""
 
 
-def sql_stop_condition() -> str:
-    """One round with alt 2: count, then enough / feedback / no_keywords."""
-    return with_(*ROUND0, _scored_left("c2", "h2"), _passing()) + """,
-okq AS (SELECT DISTINCT c2.query_id FROM c2 JOIN papers_s ps USING (pmc_id) WHERE ps.abstract <> ''),
+def _outcome_ctes(cands: str) -> str:
+    """Questions with a non-empty abstract: count, feedback source, keywords."""
+    return f"""
+okq AS (SELECT DISTINCT c.query_id FROM {cands} c JOIN papers_s ps USING (pmc_id)
+        WHERE ps.abstract <> ''),
 cnt AS (SELECT o.query_id, count(p.pmc_id) AS n_results
         FROM okq o LEFT JOIN passing p ON p.query_id = o.query_id GROUP BY o.query_id),
 src AS (
@@ -332,16 +333,42 @@ src AS (
   UNION ALL
   SELECT s.query_id, s.keywords, s.search_score FROM sl s
   JOIN cnt c ON c.query_id = s.query_id JOIN params pr ON pr.query_id = s.query_id
-  WHERE pr.amount > c.n_results AND c.n_results = 0)""" + "," + _weights("src").strip("\n") + """,
+  WHERE pr.amount > c.n_results AND c.n_results = 0),""" + _weights("src").strip("\n") + """,
 fb AS (SELECT query_id, string_agg(keyword, ' ' ORDER BY kw_rank) AS next_query
-       FROM kwtop GROUP BY query_id)
-SELECT c.query_id, CAST(c.n_results AS BIGINT) AS n_results, pr.amount,
+       FROM kwtop GROUP BY query_id)"""
+
+
+OUTCOME_STATUS = """
   CASE WHEN pr.amount <= c.n_results THEN 'enough'
        WHEN fb.next_query IS NOT NULL THEN 'feedback' ELSE 'no_keywords' END AS status,
-  CASE WHEN pr.amount > c.n_results THEN fb.next_query END AS next_query
+  CASE WHEN pr.amount > c.n_results THEN fb.next_query END AS next_query"""
+
+
+def sql_stop_condition() -> str:
+    """One round with alt 2: count, then enough / feedback / no_keywords."""
+    return with_(*ROUND0, _scored_left("c2", "h2"), _passing(), _outcome_ctes("c2")) + f"""
+SELECT c.query_id, CAST(c.n_results AS BIGINT) AS n_results, pr.amount, {OUTCOME_STATUS}
 FROM cnt c JOIN params pr USING (query_id) LEFT JOIN fb USING (query_id)"""
 
 
+def sql_search_one_round() -> str:
+    """First round of the loop: alt 0, every group must match; questions
+    whose abstracts are all empty (or that found nothing) re-ask (alt 1)."""
+    parts = [PAPERS, QUERIES, LEXICAL,
+             match_cte("m0", "SELECT query_id, group_id, term FROM query_terms WHERE alt = 0"),
+             topk_cte("c0", "m0"), own_hits_cte("h0", "c0"),
+             _scored_left("c0", "h0"), _passing(), _outcome_ctes("c0")]
+    return with_(*parts) + f"""
+SELECT c.query_id, {OUTCOME_STATUS}, CAST(c.n_results AS BIGINT) AS n_results, 1 AS next_alt
+FROM cnt c JOIN params pr USING (query_id) LEFT JOIN fb USING (query_id)
+UNION ALL
+SELECT pr.query_id,
+  CASE WHEN EXISTS (SELECT 1 FROM query_terms t WHERE t.query_id = pr.query_id AND t.alt = 1)
+       THEN 'requery' ELSE 'exhausted' END AS status,
+  NULL AS next_query, CAST(0 AS BIGINT) AS n_results, 1 AS next_alt
+FROM params pr WHERE pr.query_id NOT IN (SELECT query_id FROM okq)"""
+
+
 def sql_index_rows() -> str:
     return with_(*ROUND0[:5]) + f"""
 SELECT c.query_id, ps.pmc_id AS object_id, '[' || pr.user_query || '] - ' || ps.abstract AS data,
@@ -458,6 +485,7 @@ def oracle_sql() -> dict[str, str]:
         "keyword_top3": sql_keyword_top3(),
         "feedback_query": sql_feedback_query(),
         "stop_condition": sql_stop_condition(),
+        "search_one_round": sql_search_one_round(),
         "index_rows": sql_index_rows(),
         "index_upsert": sql_index_upsert(),
         "abstract_text": sql_abstract_text(),

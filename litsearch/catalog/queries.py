@@ -332,6 +332,58 @@ def q_xml_rejects(spark, sf_dir):
         "error")
 
 
+# --- the loop (no SQL form: rows-only check, Python model in the tests) ------------
+
+_SEARCH_CACHE: dict = {}
+
+
+def run_search(spark, sf_dir, **kwargs):
+    """The full iterative search over the folder's tables (memoized per
+    session and folder: several registered outputs read the same run)."""
+    from litsearch.plans.search import SearchConfig, search
+    key = (id(spark), sf_dir, tuple(sorted(kwargs.items())))
+    if key not in _SEARCH_CACHE:
+        d = FX.load(spark, sf_dir)
+        _SEARCH_CACHE[key] = search(d["queries"], d["query_terms"], d["papers"],
+                                    config=SearchConfig(**kwargs))
+    return _SEARCH_CACHE[key]
+
+
+def q_search_iterative(spark, sf_dir):
+    out = run_search(spark, sf_dir)
+    return out.ranked.select("query_id", F.col("rk").cast("int"), "pmc_id", "search_score",
+                             "paper_count", "round", "hit_rank")
+
+
+def q_search_rounds(spark, sf_dir):
+    out = run_search(spark, sf_dir)
+    return out.rows.select("query_id", "round", "hit_rank", "pmc_id", "search_score")
+
+
+def q_search_one_round(spark, sf_dir):
+    out = run_search(spark, sf_dir, rounds=1)
+    return out.outcomes.select("query_id", "status", "n_results", "next_query", "next_alt")
+
+
+def q_query_log(spark, sf_dir):
+    return run_search(spark, sf_dir).attempts.select("query_id", "round", "query_text", "kind")
+
+
+def q_requery_alternatives(spark, sf_dir):
+    a = run_search(spark, sf_dir).attempts
+    return a.where(F.col("kind") == "requery").select("query_id", "round", "query_text")
+
+
+RESULT_TS = 1686107732760   # fixed envelope time stamp for repeatable documents
+
+
+def q_result_document(spark, sf_dir):
+    from litsearch.plans.results import result_documents, result_rows
+    out = run_search(spark, sf_dir)
+    res = result_rows(out.ranked, out.attempts, out.queries)
+    return result_documents(res, RESULT_TS, wrap="resq")
+
+
 def registry() -> dict:
     return {
         "candidates_topk": q_candidates_topk,
@@ -359,4 +411,10 @@ def registry() -> dict:
         "conversation_assign": q_conversation_assign,
         "xml_papers": q_xml_papers,
         "xml_rejects": q_xml_rejects,
+        "search_one_round": q_search_one_round,
+        "search_rounds": q_search_rounds,
+        "search_iterative": q_search_iterative,
+        "query_log": q_query_log,
+        "requery_alternatives": q_requery_alternatives,
+        "result_document": q_result_document,
     }

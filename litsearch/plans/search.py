@@ -63,6 +63,7 @@ class SearchOutput:
     queries: DataFrame       # questions with effective amount and threshold
     rounds_run: int = 0
     active_per_round: list = field(default_factory=list)
+    outcomes: DataFrame | None = None   # per round and question: status, next string
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -226,7 +227,7 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
                 F.lit("initial").alias("kind")), "active")
     terms = query_terms.where(F.col("alt") == 0).select("query_id", "group_id", "term")
 
-    attempt_parts = []
+    attempt_parts, outcome_parts = [], []
     index_acc = None
     rows_acc = None
     n_rounds = cfg.max_refinements + 1
@@ -250,18 +251,27 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
         index_acc = new_index if index_acc is None else index_acc.unionByName(new_index)
         outcome = round_outcome(active, scored, empty, rows_view, query_terms, cfg)
         rounds_run += 1
-
-        cont = outcome.where(F.col("status").isin("feedback", "requery"))
-        nxt = cont.join(active.drop("next_alt", "query_text", "kind"), "query_id")
+        # One table per round: the outcome of every question plus, for those
+        # that go on, the next round's state (lineage cut here).
         alt_text = rendered.withColumnRenamed("alt", "next_alt")
-        nxt = nxt.join(alt_text, ["query_id", "next_alt"], "left").select(
-            "query_id", "user_query", "amount", "threshold", "q_map", "q_sq",
-            F.when(F.col("status") == "requery", F.col("next_alt") + 1)
-             .otherwise(F.col("next_alt")).alias("next_alt"),
-            F.when(F.col("status") == "feedback", F.col("next_query"))
-             .otherwise(F.coalesce(F.col("query_text"), F.lit(""))).alias("query_text"),
-            F.col("status").alias("kind"))
-        active = materialize(nxt, f"active-r{round_no + 1}")
+        record = (outcome.join(active.drop("next_alt", "query_text", "kind"), "query_id")
+                  .join(alt_text, ["query_id", "next_alt"], "left")
+                  .select(
+                      "query_id", "status", "n_results", "next_query", "next_alt",
+                      F.lit(round_no).cast("int").alias("round"),
+                      "user_query", "amount", "threshold", "q_map", "q_sq",
+                      F.when(F.col("status") == "requery", F.col("next_alt") + 1)
+                       .otherwise(F.col("next_alt")).alias("_next_alt"),
+                      F.when(F.col("status") == "feedback", F.col("next_query"))
+                       .otherwise(F.coalesce(F.col("query_text"), F.lit(""))).alias("_query_text")))
+        record = materialize(record, f"round-r{round_no}")
+        outcome_parts.append(record.select("query_id", "status", "n_results", "next_query",
+                                           "next_alt", "round"))
+        active = (record.where(F.col("status").isin("feedback", "requery"))
+                  .select("query_id", "user_query", "amount", "threshold", "q_map", "q_sq",
+                          F.col("_next_alt").alias("next_alt"),
+                          F.col("_query_text").alias("query_text"),
+                          F.col("status").alias("kind")))
         fb_terms = terms_from_text(active.where(F.col("kind") == "feedback"), "query_text", cfg.match)
         rq_terms = (query_terms.join(active.where(F.col("kind") == "requery")
                                      .select("query_id", (F.col("next_alt") - 1).alias("alt")),
@@ -278,4 +288,8 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
     for part in attempt_parts[1:]:
         attempts = attempts.unionByName(part)
     ranked = rank_results(rows, q)
-    return SearchOutput(rows.select(*RESULT_COLUMNS), attempts, ranked, q, rounds_run, active_counts)
+    outcomes = None
+    for part in outcome_parts:
+        outcomes = part if outcomes is None else outcomes.unionByName(part)
+    return SearchOutput(rows.select(*RESULT_COLUMNS), attempts, ranked, q, rounds_run,
+                        active_counts, outcomes)

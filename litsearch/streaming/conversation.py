@@ -18,3 +18,37 @@ def assign_conversations(requests: DataFrame, key: str = "addr", order=("ts", "r
     first = requests.groupBy(key).agg(
         F.min_by(F.col(request_id), F.struct(*[F.col(c) for c in order])).alias("conversation_id"))
     return requests.join(first, key).select(request_id, key, "conversation_id")
+
+
+def _first_seen(key, batches, state):
+    """Keyed state: the conversation id of an address, set on first sight."""
+    import pandas as pd
+
+    pdf = pd.concat(list(batches), ignore_index=True)
+    if state.exists:
+        conv = state.get[0]
+    else:
+        first = pdf.sort_values(["ts", "request_id"], kind="mergesort").iloc[0]
+        conv = int(first["request_id"])
+        state.update((conv,))
+    yield pd.DataFrame({"request_id": pdf["request_id"].astype("int64"),
+                        "addr": pdf["addr"], "conversation_id": conv})
+
+
+def stream_conversations(stream: DataFrame, addr_type: str = "bigint") -> DataFrame:
+    """C1 on a stream of (request_id, addr, ts): keyed state per address.
+
+    No timeout: an address keeps its conversation for the life of the query
+    (the service's cache has no expiry either). Rows of one micro-batch are
+    ordered by (ts, request_id) before the first is taken; the rows per key
+    and batch are bounded by the source's per-trigger limit.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return stream.groupBy("addr").applyInPandasWithState(
+        _first_seen,
+        outputStructType=f"request_id bigint, addr {addr_type}, conversation_id bigint",
+        stateStructType="conversation_id bigint",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout,
+    )
