@@ -384,6 +384,73 @@ def q_result_document(spark, sf_dir):
     return result_documents(res, RESULT_TS, wrap="resq")
 
 
+# --- streams (availableNow over files derived from the tables) -------------------------
+
+def q_stream_search(spark, sf_dir):
+    """The questions as JSON request files, searched per micro-batch."""
+    from litsearch.plans.search import prepare_corpus
+    from litsearch.session import scratch_path
+    from litsearch.streaming.search import start_search_stream
+    d = FX.load(spark, sf_dir)
+    req_dir, sink, ckpt = (scratch_path(spark, n) for n in ("req", "sink", "ckpt"))
+    (d["queries"].select("query_id", F.col("user_query").alias("query"), "amount", "threshold",
+                         "remote_addr").write.json(req_dir))
+    corpus = prepare_corpus(d["papers"])
+    q = start_search_stream(spark, req_dir, sink, ckpt, corpus)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(
+        "query_id", F.col("rk").cast("int"), "pmc_id", "search_score", "paper_count", "round",
+        "hit_rank")
+
+
+def _write_in_order(parts, base: str) -> None:
+    """Write each part as its own file, one after the other (file order =
+    processing order of the stream source)."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(base)
+
+
+def q_stream_conversation(spark, sf_dir):
+    """C1 stream: events in four time slices, one micro-batch each."""
+    from litsearch.session import scratch_path
+    from litsearch.streaming.conversation import stream_conversations
+    ev = FX.read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("addr"), "ts")
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("events", "conv", "ckpt"))
+    bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    step = (hi - lo) / 4
+    cuts = [lo + step * i for i in range(1, 4)]
+    parts = []
+    prev = None
+    for c in cuts + [None]:
+        cond = F.lit(True) if prev is None else (F.col("ts") >= F.lit(prev))
+        if c is not None:
+            cond = cond & (F.col("ts") < F.lit(c))
+        parts.append(ev.where(cond))
+        prev = c
+    _write_in_order(parts, src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (stream_conversations(stream).writeStream.format("parquet")
+         .option("checkpointLocation", ckpt).outputMode("append")
+         .trigger(availableNow=True).start(sink))
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(F.col("request_id").alias("event_id"), "addr",
+                                           "conversation_id")
+
+
+def q_stream_index_upsert(spark, sf_dir):
+    """S7 stream: the two index versions arrive as two micro-batches."""
+    from litsearch.session import scratch_path
+    from litsearch.streaming.search import read_latest_index, start_index_stream
+    log = _index_log(spark, sf_dir)
+    items, log_dir, ckpt = (scratch_path(spark, n) for n in ("items", "ilog", "ckpt"))
+    _write_in_order([log.where(F.col("version") == v) for v in (1, 2)], items)
+    q = start_index_stream(spark, items, log.schema, log_dir, ckpt)
+    q.awaitTermination()
+    return read_latest_index(spark, log_dir).select("object_id", "data", "version")
+
+
 def registry() -> dict:
     return {
         "candidates_topk": q_candidates_topk,
@@ -417,4 +484,7 @@ def registry() -> dict:
         "query_log": q_query_log,
         "requery_alternatives": q_requery_alternatives,
         "result_document": q_result_document,
+        "stream_search": q_stream_search,
+        "stream_conversation": q_stream_conversation,
+        "stream_index_upsert": q_stream_index_upsert,
     }
