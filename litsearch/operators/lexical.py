@@ -37,11 +37,58 @@ DEFAULT_FIELDS = ("article_title", "abstract")
 
 @dataclass
 class LexicalIndex:
-    """Postings of a corpus plus the two corpus-wide scalars of BM25."""
+    """Postings of a corpus plus the two corpus-wide scalars of BM25.
 
-    postings: DataFrame      # term, pmc_id, tf, doc_len, df
+    ``postings``: term, pmc_id, tf, doc_len, df and optionally ``tf_abs``
+    (count in the abstract alone) and ``tb`` (term bucket, the partition
+    column of a stored index).
+    """
+
+    postings: DataFrame
     n_docs: int
     avg_len: float
+    term_buckets: int = 0    # > 0: postings carry ``tb`` (stored partitioned by it)
+
+
+def term_bucket(term, buckets: int) -> Column:
+    """Stable bucket of a term (partition column of stored postings)."""
+    t = F.col(term) if isinstance(term, str) else term
+    return F.pmod(F.xxhash64(t), F.lit(int(buckets))).cast("int")
+
+
+def join_postings(left: DataFrame, postings: DataFrame, buckets: int = 0, keys=("term",),
+                  how: str = "inner") -> DataFrame:
+    """Join on ``term`` (plus the term bucket ``tb`` when ``buckets`` > 0).
+
+    With the bucket among the keys, postings stored partitioned by ``tb``
+    are pruned at run time to the buckets of the terms on the small side
+    (dynamic partition pruning): only those directories are read.
+    """
+    keys = list(keys)
+    if buckets:
+        if "tb" not in left.columns:
+            left = left.withColumn("tb", term_bucket("term", buckets))
+        # Tokens are never empty, so this keeps every row; the optimizer
+        # only adds run-time partition pruning when the small side carries a
+        # predicate it considers selective.
+        left = left.where(F.length("term") > 0)
+        keys = ["tb"] + keys
+    return left.join(postings, keys, how)
+
+
+def postings_from_tokens(docs: DataFrame) -> DataFrame:
+    """Postings from token arrays: docs has pmc_id, doc_len, lex (tokens of
+    the searched fields) and abs (tokens of the abstract).
+
+    One explode of both arrays and one aggregation: ``tf`` counts the
+    searched fields (BM25), ``tf_abs`` the abstract (similarity).
+    """
+    lex = docs.select("pmc_id", "doc_len", F.explode("lex").alias("term"),
+                      F.lit(1).alias("in_lex"), F.lit(0).alias("in_abs"))
+    ab = docs.select("pmc_id", "doc_len", F.explode("abs").alias("term"),
+                     F.lit(0).alias("in_lex"), F.lit(1).alias("in_abs"))
+    return lex.unionByName(ab).groupBy("term", "pmc_id", "doc_len").agg(
+        F.sum("in_lex").cast("long").alias("tf"), F.sum("in_abs").cast("long").alias("tf_abs"))
 
 
 def searchable_text(fields=DEFAULT_FIELDS) -> Column:
@@ -115,7 +162,9 @@ def match_terms(terms: DataFrame, index: LexicalIndex, match: str = "all") -> Da
     idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("doc_len") / F.lit(avg_len))
     contrib = idf * (tf * F.lit(BM25_K1 + 1.0)) / (tf + norm)
-    joined = qt.join(index.postings.select("term", "pmc_id", "tf", "doc_len", "df"), "term")
+    cols = ["term", "pmc_id", "tf", "doc_len", "df"] + (["tb"] if index.term_buckets else [])
+    joined = join_postings(qt, index.postings.select(*cols), index.term_buckets) \
+        .where(F.col("tf") > 0)
     agg = joined.groupBy("query_id", "pmc_id").agg(
         F.sum(F.when(F.col("primary"), contrib).otherwise(F.lit(0.0))).alias("bm25_raw"),
         F.countDistinct("group_id").alias("n_matched"),

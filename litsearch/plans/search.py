@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsearch.operators.feedback import feedback_query, keyword_weights, top_keywords
-from litsearch.operators.lexical import (DEFAULT_FIELDS, LexicalIndex, build_lexical_index,
-                                         match_terms, terms_from_text, top_candidates)
+from litsearch.operators.lexical import (DEFAULT_FIELDS, LexicalIndex, join_postings,
+                                         match_terms, postings_from_tokens, term_bucket,
+                                         terms_from_text, top_candidates)
 from litsearch.operators.merge import (all_abstracts_empty, dedupe_last,
                                        first_per_paper, result_counts, score_papers_left)
 from litsearch.operators.ranking import rank_results
 from litsearch.functions.text import tokens
-from litsearch.operators.similarity import (dot_in_row, question_vectors, score_own_index,
-                                            with_abstract_stats)
+from litsearch.operators.similarity import question_vectors, score_own_index, sum_of_squares
 from litsearch.schemas import (CANDIDATE_FACTOR, INDEX_HITS, MAX_INDEX_TOKENS, MAX_REFINEMENTS,
                                PAPER_COLUMNS, TOP_KEYWORDS)
 from litsearch.session import scratch_path
@@ -49,9 +49,17 @@ class SearchConfig:
 
 @dataclass
 class Corpus:
-    """Corpus prepared once: papers with per-paper stats, and postings."""
+    """Corpus prepared once.
+
+    ``papers``: the full ``Paper`` columns, read once at the end for the
+    result rows. ``stats``: one narrow row per paper (keywords, empty flag,
+    token count, a.a, BM25 length) - what every round reads. ``lexical``:
+    postings with ``tf`` (searched fields), ``tf_abs`` (abstract) and ``df``,
+    stored partitioned by term bucket. No round reads the text again.
+    """
 
     papers: DataFrame
+    stats: DataFrame
     lexical: LexicalIndex
 
 
@@ -73,16 +81,58 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = True) -> Corpus:
-    """Adds token count / a.a per paper and builds the postings, once."""
-    stats = with_abstract_stats(papers.select(*PAPER_COLUMNS))
-    if persist:
-        stats = materialize(stats, "papers")
-    lexical = build_lexical_index(stats, fields)
+def default_term_buckets(spark: SparkSession) -> int:
+    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = True,
+                   term_buckets: int | None = None) -> Corpus:
+    """Tokenize once; write per-paper stats and bucketed postings.
+
+    Postings are written partitioned by ``tb = xxhash64(term) mod B`` after a
+    ``rebalance`` on ``tb`` (AQE splits a bucket made large by a term found
+    in most papers), sorted by term inside each file.
+    """
+    spark = papers.sparkSession
+    buckets = int(term_buckets or default_term_buckets(spark))
+    base = papers.select(*PAPER_COLUMNS)
+    toks = base.select(
+        "pmc_id", "keywords", (F.col("abstract") == F.lit("")).alias("empty_abstract"),
+        tokens("abstract").alias("abs"),
+        F.concat(*[tokens(f) for f in fields]).alias("lex"))
+    stats = toks.select("pmc_id", "keywords", "empty_abstract",
+                        F.size("abs").alias("n_tokens"), sum_of_squares("abs").alias("abs_sq"),
+                        F.size("lex").alias("doc_len"))
+    postings = postings_from_tokens(toks.withColumn("doc_len", F.size("lex")))
+    doc_freq = postings.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = (postings.join(doc_freq, "term", "left")
+                .withColumn("tb", term_bucket("term", buckets)))
     if persist:
-        lexical = LexicalIndex(materialize(lexical.postings, "postings"),
-                               lexical.n_docs, lexical.avg_len)
-    return Corpus(stats, lexical)
+        base = materialize(base, "papers")
+        stats = materialize(stats, "paper-stats")
+        path = scratch_path(spark, "postings")
+        (postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term")
+         .write.partitionBy("tb").parquet(path))
+        postings = spark.read.parquet(path)
+    agg = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).first()
+    n_docs, total = int(agg["n"] or 0), int(agg["total"] or 0)
+    lexical = LexicalIndex(postings, n_docs, (total / n_docs) if n_docs else 0.0, buckets)
+    return Corpus(base, stats, lexical)
+
+
+def candidate_dots(pairs_idx: DataFrame, active: DataFrame, lexical: LexicalIndex) -> DataFrame:
+    """q.a for (question, indexable candidate) pairs from the postings.
+
+    Each candidate is paired with its question's terms (at most the words of
+    the question) and looked up in the postings on (term, pmc_id).
+    """
+    qterms = active.select("query_id", F.explode("q_map").alias("term", "qtf"))
+    pairs = pairs_idx.join(qterms, "query_id")
+    post = lexical.postings.select(*(["tb"] if lexical.term_buckets else []),
+                                   "term", "pmc_id", "tf_abs")
+    joined = join_postings(pairs, post, lexical.term_buckets, keys=("term", "pmc_id"))
+    return joined.groupBy("query_id", "pmc_id").agg(
+        F.sum(F.col("qtf") * F.col("tf_abs")).cast("long").alias("qa"))
 
 
 def render_terms(terms: DataFrame, keys=("query_id", "alt")) -> DataFrame:
@@ -112,23 +162,23 @@ def round_candidates(active: DataFrame, terms: DataFrame, corpus: Corpus, cfg: S
     """S1 + T1 + J3 for one round, with everything later steps need per paper.
 
     Output per (question, candidate): rank, keywords, a.a, empty-abstract and
-    indexable flags (A1, F2, F3), and q.a computed from the abstract once,
-    so the abstract itself does not travel further.
+    indexable flags (A1, F2, F3), and q.a - all from narrow tables.
     """
     limits = active.select("query_id", (F.col("amount") * CANDIDATE_FACTOR).alias("limit"))
     matches = match_terms(terms, corpus.lexical, cfg.match)
     cands = top_candidates(matches, limits, CANDIDATE_FACTOR * max_amount)
     cands = cands.select("query_id", "pmc_id", "rk").join(
-        corpus.papers.select("pmc_id", "abstract", "keywords", "n_tokens", "abs_sq"), "pmc_id")
+        corpus.stats.select("pmc_id", "keywords", "empty_abstract", "n_tokens", "abs_sq"), "pmc_id")
     cands = dedupe_last(cands)                                             # J3
-    cands = cands.join(active.select("query_id", "q_map"), "query_id")
-    ok_len = (F.col("abstract") != F.lit("")) & (F.col("n_tokens") <= F.lit(int(cfg.max_tokens)))
-    return cands.select(
-        "query_id", "pmc_id", "rk", "keywords", "abs_sq",
-        (F.col("abstract") == F.lit("")).alias("empty_abstract"),
-        ok_len.alias("indexable"),
-        F.when(ok_len, dot_in_row("q_map", tokens("abstract"))).otherwise(F.lit(0).cast("long"))
-         .alias("qa"))
+    ok_len = (~F.col("empty_abstract")) & (F.col("n_tokens") <= F.lit(int(cfg.max_tokens)))
+    cands = cands.withColumn("indexable", ok_len)
+    dots = candidate_dots(cands.where("indexable").select("query_id", "pmc_id"), active,
+                          corpus.lexical)
+    return (cands.join(dots, ["query_id", "pmc_id"], "left")
+            .select("query_id", "pmc_id", "rk", "keywords", "abs_sq", "empty_abstract",
+                    "indexable",
+                    F.when(F.col("indexable"), F.coalesce(F.col("qa"), F.lit(0).cast("long")))
+                     .otherwise(F.lit(0).cast("long")).alias("qa")))
 
 
 def round_scores(round_no: int, active: DataFrame, cands: DataFrame,
@@ -282,7 +332,7 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
     rows = rows_acc if rows_acc is not None else _empty_rows(spark)
     if cfg.distinct_papers:
         rows = first_per_paper(rows)
-    rows = rows.join(corpus.papers.select(*PAPER_COLUMNS).drop("keywords"), "pmc_id")
+    rows = rows.join(corpus.papers.drop("keywords"), "pmc_id")
     attempts = attempt_parts[0] if attempt_parts else spark.createDataFrame(
         [], "query_id string, round int, query_text string, kind string")
     for part in attempt_parts[1:]:
