@@ -98,7 +98,8 @@ def searchable_text(fields=DEFAULT_FIELDS) -> Column:
 def build_postings(papers: DataFrame, fields=DEFAULT_FIELDS) -> DataFrame:
     """(term, pmc_id, tf, doc_len) for every distinct term of every paper."""
     docs = papers.select("pmc_id", tokens(searchable_text(fields)).alias("toks"))
-    docs = docs.select("pmc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
+    docs = docs.select("pmc_id", "toks", F.size("toks").alias("doc_len"))
+    docs = docs.select("pmc_id", "doc_len", F.explode("toks").alias("term"))
     return docs.groupBy("term", "pmc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -145,8 +145,9 @@ def similarity_corpus(questions: DataFrame, index_papers: DataFrame,
     # A question without tokens has no hits (every score would be 0).
     questions = questions.where(F.size(tokens("user_query")) > 0)
     qtoks = questions.select("query_id", tokens("user_query").alias("_qt"))
-    qv = qtoks.select("query_id", sum_of_squares("_qt").alias("q_sq"),
-                      F.explode(term_counts("_qt")).alias("tc"))
+    qtoks = qtoks.select("query_id", sum_of_squares("_qt").alias("q_sq"),
+                         term_counts("_qt").alias("_tc"))
+    qv = qtoks.select("query_id", "q_sq", F.explode("_tc").alias("tc"))
     qv = qv.select("query_id", "q_sq", F.col("tc.term").alias("term"), F.col("tc.cnt").alias("qtf"))
     if postings is None:
         postings = abstract_postings(index_papers)

@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from litsearch.operators.feedback import feedback_query, keyword_weights, top_keywords
 from litsearch.operators.lexical import (DEFAULT_FIELDS, LexicalIndex, join_postings,
-                                         match_terms, postings_from_tokens, term_bucket,
-                                         terms_from_text, top_candidates)
+                                         match_terms, term_bucket, terms_from_text,
+                                         top_candidates)
 from litsearch.operators.merge import (all_abstracts_empty, dedupe_last,
                                        first_per_paper, result_counts, score_papers_left)
 from litsearch.operators.ranking import rank_results
 from litsearch.functions.text import tokens
-from litsearch.operators.similarity import question_vectors, score_own_index, sum_of_squares
+from litsearch.operators.similarity import question_vectors, score_own_index
 from litsearch.schemas import (CANDIDATE_FACTOR, INDEX_HITS, MAX_INDEX_TOKENS, MAX_REFINEMENTS,
                                PAPER_COLUMNS, TOP_KEYWORDS)
 from litsearch.session import scratch_path
@@ -87,39 +87,86 @@ def default_term_buckets(spark: SparkSession) -> int:
 
 def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = True,
                    term_buckets: int | None = None) -> Corpus:
-    """Tokenize once; write per-paper stats and bucketed postings.
-
-    Postings are written partitioned by ``tb = xxhash64(term) mod B`` after a
-    ``rebalance`` on ``tb`` (AQE splits a bucket made large by a term found
-    in most papers), sorted by term inside each file.
+    """Tokenize once; write bucketed postings and narrow per-paper stats.
+
+    One pass over the text explodes every token with two flags (in the
+    searched fields / in the abstract) and aggregates (term, paper) counts.
+    Postings are written partitioned by ``tb = xxhash64(term) mod B`` after
+    a ``rebalance`` on ``tb`` (AQE splits a bucket made large by a term
+    found in most papers), sorted by term inside each file. The per-paper
+    stats (token count, a.a, BM25 length) are then aggregated from the
+    postings, without reading the text again.
     """
     spark = papers.sparkSession
     buckets = int(term_buckets or default_term_buckets(spark))
     base = papers.select(*PAPER_COLUMNS)
-    toks = base.select(
-        "pmc_id", "keywords", (F.col("abstract") == F.lit("")).alias("empty_abstract"),
-        tokens("abstract").alias("abs"),
-        F.concat(*[tokens(f) for f in fields]).alias("lex"))
-    stats = toks.select("pmc_id", "keywords", "empty_abstract",
-                        F.size("abs").alias("n_tokens"), sum_of_squares("abs").alias("abs_sq"),
-                        F.size("lex").alias("doc_len"))
-    postings = postings_from_tokens(toks.withColumn("doc_len", F.size("lex")))
+    parallelism = spark.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < parallelism:
+        # text work is CPU bound: spread a few large input splits over all cores
+        base = base.repartition(parallelism)
+    if persist:
+        base = materialize(base, "papers")
+    postings = postings_from_fields(base, fields)
     doc_freq = postings.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     postings = (postings.join(doc_freq, "term", "left")
                 .withColumn("tb", term_bucket("term", buckets)))
     if persist:
-        base = materialize(base, "papers")
-        stats = materialize(stats, "paper-stats")
         path = scratch_path(spark, "postings")
         (postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term")
          .write.partitionBy("tb").parquet(path))
         postings = spark.read.parquet(path)
+    per_paper = postings.groupBy("pmc_id").agg(
+        F.sum("tf_abs").alias("n_tokens"),
+        F.sum(F.col("tf_abs") * F.col("tf_abs")).alias("abs_sq"),
+        F.max("doc_len").alias("doc_len"))
+    stats = (base.select("pmc_id", "keywords",
+                         (F.col("abstract") == F.lit("")).alias("empty_abstract"))
+             .join(per_paper, "pmc_id", "left")
+             .select("pmc_id", "keywords", "empty_abstract",
+                     *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                       for c in ("n_tokens", "abs_sq", "doc_len")]))
+    if persist:
+        stats = materialize(stats, "paper-stats")
     agg = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).first()
     n_docs, total = int(agg["n"] or 0), int(agg["total"] or 0)
     lexical = LexicalIndex(postings, n_docs, (total / n_docs) if n_docs else 0.0, buckets)
     return Corpus(base, stats, lexical)
 
 
+def postings_from_fields(papers: DataFrame, fields=DEFAULT_FIELDS) -> DataFrame:
+    """(term, pmc_id, doc_len, tf, tf_abs) with one tokenization per field.
+
+    The token arrays of all fields are concatenated and exploded with their
+    positions; a token's position tells which field it came from. ``tf``
+    counts the searched ``fields`` (BM25), ``tf_abs`` the abstract
+    (similarity); ``doc_len`` is the paper's number of searched tokens.
+    """
+    names = list(fields) + ([] if "abstract" in fields else ["abstract"])
+    # Sizes are computed once per paper, below the explode (a size written
+    # next to the generator would be evaluated once per exploded token).
+    arrays = papers.select("pmc_id", *[tokens(f).alias(f"_t{i}") for i, f in enumerate(names)])
+    arrays = arrays.select("pmc_id", *[F.size(f"_t{i}").alias(f"_n{i}") for i in range(len(names))],
+                           F.concat(*[F.col(f"_t{i}") for i in range(len(names))]).alias("_all"))
+    exploded = arrays.select("pmc_id", *[f"_n{i}" for i in range(len(names))],
+                             F.posexplode("_all").alias("pos", "term"))
+    pos = F.col("pos")
+    start = F.lit(0)
+    in_lex, in_abs, doc_len = F.lit(False), F.lit(False), F.lit(0)
+    for i, f in enumerate(names):
+        n = F.col(f"_n{i}")
+        inside = (pos >= start) & (pos < start + n)
+        if f in fields:
+            in_lex = in_lex | inside
+            doc_len = doc_len + n
+        if f == "abstract":
+            in_abs = inside
+        start = start + n
+    flagged = exploded.select("term", "pmc_id", doc_len.cast("long").alias("doc_len"),
+                              in_lex.cast("long").alias("in_lex"), in_abs.cast("long").alias("in_abs"))
+    return flagged.groupBy("term", "pmc_id", "doc_len").agg(
+        F.sum("in_lex").alias("tf"), F.sum("in_abs").alias("tf_abs"))
+
+
 def candidate_dots(pairs_idx: DataFrame, active: DataFrame, lexical: LexicalIndex) -> DataFrame:
     """q.a for (question, indexable candidate) pairs from the postings.
 
