@@ -21,7 +21,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from litsearch.catalog import queries as Q
-    from litsearch.plans.search import SearchConfig, prepare_corpus, search
+    from litsearch.plans.search import SearchConfig, search
     from litsearch.session import local_session
     from litsearch.sources import fixtures as FX
 
@@ -40,7 +40,8 @@ def main() -> None:
     corpus_box = {}
 
     def build():
-        corpus_box["c"] = prepare_corpus(d["papers"])
+        # the same prepared corpus the registered queries reuse
+        corpus_box["c"] = Q.corpus_for(spark, sf_dir)
         return None
 
     run("postings_build", build)

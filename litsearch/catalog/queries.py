@@ -6,8 +6,6 @@ in ``litsearch.sources.fixtures``, so every query's work grows with them.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,39 +24,59 @@ from litsearch.sources.requests import apply_defaults, validate_requests
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict:
     d = FX.load(spark, sf_dir)
-    d["papers_s"] = SIM.with_abstract_stats(d["papers"])
     d["params"] = apply_defaults(d["queries"])
     return d
 
 
+_CORPUS_CACHE: dict = {}
+
+
+def corpus_for(spark: SparkSession, sf_dir: str):
+    """The prepared corpus of a folder (tokenized once, stored in the shared
+    checkpoint folder, reused by every query of the session)."""
+    from litsearch.plans.search import prepare_corpus
+    key = (id(spark), sf_dir)
+    if key not in _CORPUS_CACHE:
+        _CORPUS_CACHE[key] = prepare_corpus(FX.load(spark, sf_dir)["papers"])
+    return _CORPUS_CACHE[key]
+
+
 class Round:
-    """The first round of the pipeline for one alternative, as lazy plans."""
+    """The first round of the pipeline for one alternative, over the
+    prepared corpus (postings and per-paper stats; no text re-read)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, alt: int = 2, match: str = "any"):
         d = _tables(spark, sf_dir)
         self.d = d
-        self.papers = d["papers_s"]
+        self.corpus = corpus_for(spark, sf_dir)
         self.params = d["params"]
-        self.lex = LX.build_lexical_index(self.papers)
         terms = d["query_terms"].where(F.col("alt") == alt).select("query_id", "group_id", "term")
-        self.matches = LX.match_terms(terms, self.lex, match)
+        self.matches = LX.match_terms(terms, self.corpus.lexical, match)
         max_amount = int(self.params.agg(F.max("amount")).first()[0] or 1)
         limits = self.params.select("query_id", (F.col("amount") * CANDIDATE_FACTOR).alias("limit"))
         self.cands = LX.top_candidates(self.matches, limits, CANDIDATE_FACTOR * max_amount)
 
     def candidate_papers(self) -> DataFrame:
-        return self.cands.select("query_id", "pmc_id", "rk").join(self.papers, "pmc_id")
+        """Candidates with the full paper columns (for index rows)."""
+        return self.cands.select("query_id", "pmc_id", "rk").join(self.corpus.papers, "pmc_id")
+
+    def candidate_stats(self) -> DataFrame:
+        return self.cands.select("query_id", "pmc_id", "rk").join(self.corpus.stats, "pmc_id")
 
     def hits(self) -> DataFrame:
-        qv = SIM.question_vectors(self.params)
-        c = self.candidate_papers().join(qv, "query_id")
-        c = indexable(c, MAX_INDEX_TOKENS)
-        entries = c.select("query_id", "pmc_id", "abs_sq", "q_sq",
-                           SIM.dot_in_row("q_map", SIM.tokens("abstract")).alias("qa"))
+        from litsearch.plans.search import candidate_dots
+        c = self.candidate_stats().where(
+            (~F.col("empty_abstract")) & (F.col("n_tokens") <= F.lit(MAX_INDEX_TOKENS)))
+        active = self.params.join(SIM.question_vectors(self.params), "query_id")
+        dots = candidate_dots(c.select("query_id", "pmc_id"), active, self.corpus.lexical)
+        entries = (c.join(dots, ["query_id", "pmc_id"], "left")
+                   .join(active.select("query_id", "q_sq"), "query_id")
+                   .select("query_id", "pmc_id", "abs_sq", "q_sq",
+                           F.coalesce(F.col("qa"), F.lit(0).cast("long")).alias("qa")))
         return SIM.score_own_index(entries)
 
     def scored_left(self) -> DataFrame:
-        c = self.candidate_papers().select("query_id", "pmc_id", "rk", "keywords")
+        c = self.candidate_stats().select("query_id", "pmc_id", "rk", "keywords")
         return MG.score_papers_left(c, self.hits())
 
     def passing(self) -> DataFrame:
@@ -75,7 +93,7 @@ def q_candidates_topk(spark, sf_dir):
 
 def q_candidates_boolean(spark, sf_dir):
     d = _tables(spark, sf_dir)
-    lex = LX.build_lexical_index(d["papers_s"])
+    lex = corpus_for(spark, sf_dir).lexical
     out = None
     for alt in (0, 1):
         t = d["query_terms"].where(F.col("alt") == alt).select("query_id", "group_id", "term")
@@ -89,8 +107,13 @@ def q_candidates_boolean(spark, sf_dir):
 
 def _similarity(spark, sf_dir):
     d = _tables(spark, sf_dir)
-    idx = indexable(d["papers_s"], MAX_INDEX_TOKENS).select("pmc_id", "abstract", "abs_sq")
-    return d, SIM.similarity_corpus(d["queries"], idx)
+    corpus = corpus_for(spark, sf_dir)
+    idx = corpus.stats.where((~F.col("empty_abstract"))
+                             & (F.col("n_tokens") <= F.lit(MAX_INDEX_TOKENS))).select("pmc_id", "abs_sq")
+    lex = corpus.lexical
+    post = lex.postings.where(F.col("tf_abs") > 0).select(
+        *(["tb"] if lex.term_buckets else []), "term", "pmc_id", F.col("tf_abs").alias("tf"))
+    return d, SIM.similarity_corpus(d["queries"], idx, postings=post, term_buckets=lex.term_buckets)
 
 
 def q_similarity_tf(spark, sf_dir):
@@ -138,7 +161,7 @@ def q_rank_results(spark, sf_dir):
 
 def q_all_abstracts_empty(spark, sf_dir):
     r = Round(spark, sf_dir, alt=0, match="all")
-    return MG.all_abstracts_empty(r.params, r.candidate_papers())
+    return MG.all_abstracts_empty(r.params, r.candidate_stats())
 
 
 def q_keyword_weights(spark, sf_dir):
@@ -161,7 +184,7 @@ def q_feedback_query(spark, sf_dir):
 def q_stop_condition(spark, sf_dir):
     """A4 + I5 for one round (alt 2): enough, feedback or no keywords."""
     r = Round(spark, sf_dir)
-    empty = MG.all_abstracts_empty(r.params, r.candidate_papers())
+    empty = MG.all_abstracts_empty(r.params, r.candidate_stats())
     ok = empty.where(~F.col("all_empty")).select("query_id")
     rows = r.passing()
     counts = MG.result_counts(ok, rows).join(r.params.select("query_id", "amount"), "query_id")
@@ -344,7 +367,8 @@ def run_search(spark, sf_dir, **kwargs):
     key = (id(spark), sf_dir, tuple(sorted(kwargs.items())))
     if key not in _SEARCH_CACHE:
         d = FX.load(spark, sf_dir)
-        _SEARCH_CACHE[key] = search(d["queries"], d["query_terms"], d["papers"],
+        _SEARCH_CACHE[key] = search(d["queries"], d["query_terms"],
+                                    corpus=corpus_for(spark, sf_dir),
                                     config=SearchConfig(**kwargs))
     return _SEARCH_CACHE[key]
 
@@ -388,14 +412,13 @@ def q_result_document(spark, sf_dir):
 
 def q_stream_search(spark, sf_dir):
     """The questions as JSON request files, searched per micro-batch."""
-    from litsearch.plans.search import prepare_corpus
     from litsearch.session import scratch_path
     from litsearch.streaming.search import start_search_stream
     d = FX.load(spark, sf_dir)
     req_dir, sink, ckpt = (scratch_path(spark, n) for n in ("req", "sink", "ckpt"))
     (d["queries"].select("query_id", F.col("user_query").alias("query"), "amount", "threshold",
                          "remote_addr").write.json(req_dir))
-    corpus = prepare_corpus(d["papers"])
+    corpus = corpus_for(spark, sf_dir)
     q = start_search_stream(spark, req_dir, sink, ckpt, corpus)
     q.awaitTermination()
     return spark.read.parquet(sink).select(

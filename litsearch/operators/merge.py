@@ -42,8 +42,10 @@ def all_abstracts_empty(active: DataFrame, papers: DataFrame) -> DataFrame:
     Aggregates the round's papers per question, then a left join from the
     active questions supplies ``true`` for questions without any paper.
     """
+    empty = F.col("empty_abstract") if "empty_abstract" in papers.columns \
+        else (F.col("abstract") == F.lit(""))
     per_q = papers.groupBy("query_id").agg(
-        F.bool_and(F.col("abstract") == F.lit("")).alias("_all_empty"),
+        F.bool_and(empty).alias("_all_empty"),
         F.count(F.lit(1)).alias("n_papers"))
     return (active.select("query_id").join(per_q, "query_id", "left")
             .select("query_id",

@@ -130,18 +130,24 @@ def rank_hits(scored: DataFrame, k: int = INDEX_HITS) -> DataFrame:
 
 def abstract_postings(index_papers: DataFrame) -> DataFrame:
     """(term, pmc_id, tf, abs_sq) of the abstracts in the index."""
-    exploded = index_papers.select("pmc_id", "abs_sq", F.explode(tokens("abstract")).alias("term"))
+    toks = index_papers.select("pmc_id", "abs_sq", tokens("abstract").alias("_t"))
+    exploded = toks.select("pmc_id", "abs_sq", F.explode("_t").alias("term"))
     return exploded.groupBy("term", "pmc_id", "abs_sq").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def similarity_corpus(questions: DataFrame, index_papers: DataFrame,
-                      k: int = INDEX_HITS, postings: DataFrame | None = None) -> DataFrame:
+                      k: int = INDEX_HITS, postings: DataFrame | None = None,
+                      term_buckets: int = 0) -> DataFrame:
     """Exact top ``k`` of every question over a whole index (sparse score).
 
-    ``questions``: query_id, user_query. ``index_papers``: pmc_id, abstract,
-    abs_sq (already filtered to indexable rows). Output: query_id, pmc_id,
-    score, search_score, hit_rank.
+    ``questions``: query_id, user_query. ``index_papers``: pmc_id, abs_sq
+    (already filtered to indexable rows; also ``abstract`` when no postings
+    are given). ``postings``: term, pmc_id, tf over abstracts (optionally
+    bucketed by ``tb``). Output: query_id, pmc_id, score, search_score,
+    hit_rank.
     """
+    from litsearch.operators.lexical import join_postings
+
     # A question without tokens has no hits (every score would be 0).
     questions = questions.where(F.size(tokens("user_query")) > 0)
     qtoks = questions.select("query_id", tokens("user_query").alias("_qt"))
@@ -149,16 +155,17 @@ def similarity_corpus(questions: DataFrame, index_papers: DataFrame,
                          term_counts("_qt").alias("_tc"))
     qv = qtoks.select("query_id", "q_sq", F.explode("_tc").alias("tc"))
     qv = qv.select("query_id", "q_sq", F.col("tc.term").alias("term"), F.col("tc.cnt").alias("qtf"))
+    norms = index_papers.select("pmc_id", "abs_sq")
     if postings is None:
-        postings = abstract_postings(index_papers)
-    sharing = (qv.join(postings, "term")
-               .groupBy("query_id", "pmc_id")
-               .agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"),
-                    F.max("abs_sq").alias("abs_sq"), F.max("q_sq").alias("q_sq")))
+        postings = abstract_postings(index_papers).drop("abs_sq")
+        term_buckets = 0
+    shared = (join_postings(qv, postings, term_buckets)
+              .groupBy("query_id", "pmc_id")
+              .agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"), F.max("q_sq").alias("q_sq")))
+    sharing = shared.join(norms, "pmc_id")          # only indexable papers, with a.a
     # The k papers with the smallest a.a: bounded driver read (k rows).
-    floor_rows = (index_papers.select("pmc_id", "abs_sq")
-                  .orderBy(F.asc("abs_sq"), F.asc("pmc_id")).limit(int(k)).collect())
-    q_norms = questions.select("query_id", sum_of_squares(tokens("user_query")).alias("q_sq"))
+    floor_rows = norms.orderBy(F.asc("abs_sq"), F.asc("pmc_id")).limit(int(k)).collect()
+    q_norms = qtoks.select("query_id", "q_sq")
     if floor_rows:
         floor = F.array(*[F.struct(F.lit(r["pmc_id"]).alias("pmc_id"),
                                    F.lit(int(r["abs_sq"])).cast("long").alias("abs_sq"))
@@ -167,7 +174,8 @@ def similarity_corpus(questions: DataFrame, index_papers: DataFrame,
                     .select("query_id", F.col("p.pmc_id").alias("pmc_id"),
                             F.lit(0).cast("long").alias("qa"),
                             F.col("p.abs_sq").alias("abs_sq"), "q_sq"))
-        pairs = (sharing.unionByName(fallback)
+        pairs = (sharing.select("query_id", "pmc_id", "qa", "abs_sq", "q_sq")
+                 .unionByName(fallback)
                  .groupBy("query_id", "pmc_id")
                  .agg(F.max("qa").alias("qa"), F.max("abs_sq").alias("abs_sq"),
                       F.max("q_sq").alias("q_sq")))
