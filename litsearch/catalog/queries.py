@@ -35,7 +35,7 @@ def corpus_for(spark: SparkSession, sf_dir: str):
     """The prepared corpus of a folder (tokenized once, stored in the shared
     checkpoint folder, reused by every query of the session)."""
     from litsearch.plans.search import prepare_corpus
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _CORPUS_CACHE:
         _CORPUS_CACHE[key] = prepare_corpus(FX.load(spark, sf_dir)["papers"])
     return _CORPUS_CACHE[key]
@@ -364,7 +364,7 @@ def run_search(spark, sf_dir, **kwargs):
     """The full iterative search over the folder's tables (memoized per
     session and folder: several registered outputs read the same run)."""
     from litsearch.plans.search import SearchConfig, search
-    key = (id(spark), sf_dir, tuple(sorted(kwargs.items())))
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, tuple(sorted(kwargs.items())))
     if key not in _SEARCH_CACHE:
         d = FX.load(spark, sf_dir)
         _SEARCH_CACHE[key] = search(d["queries"], d["query_terms"],
