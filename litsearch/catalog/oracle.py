@@ -351,14 +351,12 @@ SELECT c.query_id, CAST(c.n_results AS BIGINT) AS n_results, pr.amount, {OUTCOME
 FROM cnt c JOIN params pr USING (query_id) LEFT JOIN fb USING (query_id)"""
 
 
-def sql_search_one_round() -> str:
-    """First round of the loop: alt 0, every group must match; questions
-    whose abstracts are all empty (or that found nothing) re-ask (alt 1)."""
+def _round0_parts():
     parts = [PAPERS, QUERIES, LEXICAL,
              match_cte("m0", "SELECT query_id, group_id, term FROM query_terms WHERE alt = 0"),
              topk_cte("c0", "m0"), own_hits_cte("h0", "c0"),
              _scored_left("c0", "h0"), _passing(), _outcome_ctes("c0")]
-    return with_(*parts) + f"""
+    select = f"""
 SELECT c.query_id, {OUTCOME_STATUS}, CAST(c.n_results AS BIGINT) AS n_results, 1 AS next_alt
 FROM cnt c JOIN params pr USING (query_id) LEFT JOIN fb USING (query_id)
 UNION ALL
@@ -367,6 +365,53 @@ SELECT pr.query_id,
        THEN 'requery' ELSE 'exhausted' END AS status,
   NULL AS next_query, CAST(0 AS BIGINT) AS n_results, 1 AS next_alt
 FROM params pr WHERE pr.query_id NOT IN (SELECT query_id FROM okq)"""
+    return parts, select
+
+
+def sql_search_one_round() -> str:
+    """First round of the loop: alt 0, every group must match; questions
+    whose abstracts are all empty (or that found nothing) re-ask (alt 1)."""
+    parts, select = _round0_parts()
+    return with_(*parts) + select
+
+
+def sql_search_two_rounds() -> str:
+    """Result rows of the first two rounds of the loop, unrolled.
+
+    Round 1 searches with the feedback string of round 0 (each token its own
+    AND group) or, after an all-empty round, with alternative 1. Its index
+    holds the indexable candidates of both rounds; only its own papers can
+    be appended (bag semantics: a paper may appear in both rounds).
+    """
+    parts, select = _round0_parts()
+    t1 = f"""
+o0 AS ({select}),
+t1 AS (
+  SELECT query_id, CAST(list_position(tk, t) - 1 AS INTEGER) AS group_id, t AS term
+  FROM (SELECT query_id, tk, unnest(list_distinct(tk)) AS t
+        FROM (SELECT query_id, {tok('next_query')} AS tk FROM o0 WHERE status = 'feedback'))
+  UNION ALL
+  SELECT q.query_id, q.group_id, q.term FROM query_terms q JOIN o0 ON o0.query_id = q.query_id
+  WHERE o0.status = 'requery' AND q.alt = 1)"""
+    rest = f"""
+ok1 AS (SELECT DISTINCT c.query_id FROM c1 c JOIN papers_s ps USING (pmc_id) WHERE ps.abstract <> ''),
+idx01 AS (
+  SELECT DISTINCT query_id, pmc_id FROM (
+    SELECT query_id, pmc_id FROM c0 UNION ALL SELECT query_id, pmc_id FROM c1)
+  WHERE query_id IN (SELECT query_id FROM ok1)),""" + own_hits_cte("h1", "idx01").strip("\n") + """,
+sl1 AS (
+  SELECT c.query_id, c.pmc_id, h.hit_rank, h.search_score
+  FROM c1 c JOIN h1 h ON h.query_id = c.query_id AND h.pmc_id = c.pmc_id
+  WHERE c.query_id IN (SELECT query_id FROM ok1)),
+passing1 AS (
+  SELECT s.query_id, s.pmc_id, s.hit_rank, s.search_score FROM sl1 s JOIN params p USING (query_id)
+  WHERE s.search_score > p.threshold)"""
+    body = with_(*parts, t1, match_cte("m1", "SELECT query_id, group_id, term FROM t1"),
+                 topk_cte("c1", "m1"), rest)
+    return body + """
+SELECT query_id, 0 AS round, CAST(hit_rank AS INTEGER) AS hit_rank, pmc_id, search_score FROM passing
+UNION ALL
+SELECT query_id, 1 AS round, CAST(hit_rank AS INTEGER) AS hit_rank, pmc_id, search_score FROM passing1"""
 
 
 def sql_index_rows() -> str:
@@ -486,6 +531,7 @@ def oracle_sql() -> dict[str, str]:
         "feedback_query": sql_feedback_query(),
         "stop_condition": sql_stop_condition(),
         "search_one_round": sql_search_one_round(),
+        "search_two_rounds": sql_search_two_rounds(),
         "index_rows": sql_index_rows(),
         "index_upsert": sql_index_upsert(),
         "abstract_text": sql_abstract_text(),

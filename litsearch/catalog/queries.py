@@ -389,6 +389,12 @@ def q_search_one_round(spark, sf_dir):
     return out.outcomes.select("query_id", "status", "n_results", "next_query", "next_alt")
 
 
+def q_search_two_rounds(spark, sf_dir):
+    """Result rows (bag) of the first two rounds of the loop."""
+    out = run_search(spark, sf_dir, rounds=2)
+    return out.rows.select("query_id", "round", "hit_rank", "pmc_id", "search_score")
+
+
 def q_query_log(spark, sf_dir):
     return run_search(spark, sf_dir).attempts.select("query_id", "round", "query_text", "kind")
 
@@ -503,6 +509,7 @@ def registry() -> dict:
         "xml_rejects": q_xml_rejects,
         "search_one_round": q_search_one_round,
         "search_rounds": q_search_rounds,
+        "search_two_rounds": q_search_two_rounds,
         "search_iterative": q_search_iterative,
         "query_log": q_query_log,
         "requery_alternatives": q_requery_alternatives,
