@@ -9,12 +9,13 @@ T1  relevance order with a literal group limit so Spark plans a partial
     ``WindowGroupLimit`` before the shuffle on ``query_id``.
 
 Scale notes: the postings are aggregated once per corpus (map-side partial
-aggregation removes repeats inside a document before the shuffle), carry
-``df`` and ``doc_len`` so each round needs a single join, and stay
-hash-partitioned on ``(term, pmc_id)``, which spreads even a term found in
-every paper. The per-round join has the small question-term side on the
-build side; AQE turns it into a broadcast when its measured size allows,
-and splits hot ``term`` partitions (skew join) when it does not.
+aggregation removes repeats inside a document before the shuffle) and carry
+``df`` and ``doc_len`` so each round needs a single join. Stored postings are
+partitioned by a term bucket ``tb``; joining on (tb, term) lets run-time
+partition pruning read only the buckets of a round's terms. The per-round
+join has the small question-term side on the build side; AQE turns it into
+a broadcast when its measured size allows, and splits hot ``term``
+partitions (skew join) when it does not.
 """
 
 from __future__ import annotations
@@ -76,21 +77,6 @@ def join_postings(left: DataFrame, postings: DataFrame, buckets: int = 0, keys=(
     return left.join(postings, keys, how)
 
 
-def postings_from_tokens(docs: DataFrame) -> DataFrame:
-    """Postings from token arrays: docs has pmc_id, doc_len, lex (tokens of
-    the searched fields) and abs (tokens of the abstract).
-
-    One explode of both arrays and one aggregation: ``tf`` counts the
-    searched fields (BM25), ``tf_abs`` the abstract (similarity).
-    """
-    lex = docs.select("pmc_id", "doc_len", F.explode("lex").alias("term"),
-                      F.lit(1).alias("in_lex"), F.lit(0).alias("in_abs"))
-    ab = docs.select("pmc_id", "doc_len", F.explode("abs").alias("term"),
-                     F.lit(0).alias("in_lex"), F.lit(1).alias("in_abs"))
-    return lex.unionByName(ab).groupBy("term", "pmc_id", "doc_len").agg(
-        F.sum("in_lex").cast("long").alias("tf"), F.sum("in_abs").cast("long").alias("tf_abs"))
-
-
 def searchable_text(fields=DEFAULT_FIELDS) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
 

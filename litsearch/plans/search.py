@@ -200,10 +200,6 @@ def _empty_rows(spark: SparkSession) -> DataFrame:
             "search_score float")
 
 
-CANDIDATE_COLUMNS = ["query_id", "pmc_id", "rk", "keywords", "abs_sq", "empty_abstract",
-                     "indexable", "qa"]
-
-
 def round_candidates(active: DataFrame, terms: DataFrame, corpus: Corpus, cfg: SearchConfig,
                      max_amount: int) -> DataFrame:
     """S1 + T1 + J3 for one round, with everything later steps need per paper.
