@@ -13,8 +13,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.piece_codec import encode
+    return encode(load(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
 }
 
 ORACLE_SQL = {
