@@ -18,6 +18,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from litsearch.llm.common import narrow
 
 MARK = "▁"  # the word mark that stands for a space; fixed by the format
-UNITS_REMEMBERED = 150_000  # look-up entries per task before the memory is cleared
+UNITS_REMEMBERED = 300_000  # look-up entries per task before the memory is cleared
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -96,14 +97,16 @@ class PieceCodec:
         self.units = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         pieces = [p.piece for p in model.pieces if p.type not in (2, 3, 6)]  # but control, unknown and byte pieces
         self.byte_ids = frozenset(i for i, p in enumerate(model.pieces) if p.type == 6)
-        self.lengths = [1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces]
+        self.lengths = [struct.pack("<H", 1 if p.type == 6 else len(p.piece.encode())) for p in model.pieces]
+        self.written = [str(i) for i in range(len(model.pieces))]
         inside = any(MARK in p.lstrip(MARK) for p in pieces)
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in pieces))
+        self.short_lines = "\n" in alone and not inside and model.trainer_spec.byte_fallback
         if inside or not model.trainer_spec.byte_fallback:
             self.cut = re.compile(r"(?s).+")  # pieces may reach across words: no cuts
         else:
             self.cut = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
-        self.known: dict[str, tuple[list[int], str, np.ndarray]] = {}
+        self.known: dict[str, tuple[list[int], str, bytes]] = {}
 
     # normalisation ---------------------------------------------------------
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -145,11 +148,12 @@ class PieceCodec:
 
     def _plain(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """The same without a map: only spaces change, each source byte once."""
-        width = np.where(np.frombuffer(data, np.uint8) == 0x20, len(self.space), 1)
-        source = np.repeat(np.arange(len(data)), width)
+        width = np.ones(len(data), np.uint8)
+        width[np.frombuffer(data, np.uint8) == 0x20] = len(self.space)
+        source = np.repeat(np.arange(len(data), dtype=np.int32), width)
         lead = self.space if data and self.dummy_prefix else b""
         return (lead + data.replace(b" ", self.space),
-                np.concatenate([np.zeros(len(lead), np.int64), source, [len(data)]]))
+                np.concatenate([np.zeros(len(lead), np.int32), source, [np.int32(len(data))]]))
 
     def _step(self, data: bytes, at: int) -> tuple[int, bytes]:
         found = self.map.longest(data, at)
@@ -160,30 +164,46 @@ class PieceCodec:
         return length, data[at:at + length]
 
     # encoding --------------------------------------------------------------
-    def learn(self, texts: list[str]) -> None:
-        """Segment the units of ``texts`` that are not known yet, in one call."""
+    def units_of(self, normal: str) -> list[str]:
+        """Cut a normalised text into units.
+
+        A text whose word marks all stand alone takes the short way: cut at the
+        marks, and before line ends. There a unit's leading mark is left out, and
+        one without a mark begins with its line end. ``_full`` undoes this. Units
+        of the other way have a NUL before them, so that the two never mix.
+        """
+        if self.short_lines and normal[:1] == MARK and MARK * 2 not in normal and "\0" not in normal:
+            return normal.replace("\n", MARK + "\n").split(MARK)[1:]
+        return ["\0" + u for u in self.cut.findall(normal)]
+
+    @staticmethod
+    def _full(unit: str) -> str:
+        return unit[1:] if unit[:1] == "\0" else unit if unit[:1] == "\n" else MARK + unit
+
+    def learn(self, units: set[str]) -> None:
+        """Segment the units that are not known yet, in one call."""
         if len(self.known) > UNITS_REMEMBERED:
             self.known.clear()
-        new = list({u for t in texts for u in self.cut.findall(t) if u not in self.known})
-        for unit, ids in zip(new, self.units.encode(new, num_threads=1) if new else []):
-            lengths = self.lengths
-            self.known[unit] = (ids, ",".join(map(str, ids)), np.array([lengths[i] for i in ids], np.int32))
-
-    def segment(self, normal: str) -> list[tuple[list[int], str, np.ndarray]]:
-        """What is known of each unit of a normalised text, in order."""
-        known = self.known
-        try:
-            return [known[u] for u in self.cut.findall(normal)]
-        except KeyError:
-            self.learn([normal])
-            return [known[u] for u in self.cut.findall(normal)]
+        new = [u for u in units if u not in self.known]
+        known, lengths, written = self.known, self.lengths, self.written
+        for unit, ids in zip(new, self.units.encode([self._full(u) for u in new], num_threads=1) if new else []):
+            known[unit] = (ids, ",".join([written[i] for i in ids]), b"".join([lengths[i] for i in ids]))
+
+    def segment(self, normals: list[str]) -> Iterator[list[tuple[list[int], str, bytes]]]:
+        """Per normalised text what is known of its units, in order."""
+        cuts = [self.units_of(n) for n in normals]
+        self.learn(set().union(*cuts))
+        for units in cuts:
+            yield [self.known[u] for u in units]
+
+    @staticmethod
+    def ids_of(units: list) -> list[int]:
+        return list(chain.from_iterable([u[0] for u in units]))
 
     @staticmethod
     def ends(units: list, source: np.ndarray) -> np.ndarray:
         """Per piece the source byte just after it; a piece begins where the one before ended."""
-        if not units:
-            return np.zeros(0, np.int64)
-        return source[np.cumsum(np.concatenate([u[2] for u in units]))]
+        return source[np.cumsum(np.frombuffer(b"".join([u[2] for u in units]), "<u2"), dtype=np.int64)]
 
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids)
@@ -197,10 +217,8 @@ def _encoded(batches: Iterator[pd.Series], path: str, digest: bool) -> Iterator[
         for k in range(0, len(values), 200):  # so many texts at a time are held normalised
             normals = [codec.normalize(t) for t in values[k:k + 200]]
             plain = [n.decode() for n, _ in normals]
-            codec.learn(plain)
-            for normal, (_, source) in zip(plain, normals):
-                units = codec.segment(normal)
-                ids = [i for u in units for i in u[0]]
+            for units, (_, source) in zip(codec.segment(plain), normals):
+                ids = codec.ids_of(units)
                 ends = codec.ends(units, source)
                 text = codec.decode(ids)
                 if digest:

@@ -13,8 +13,8 @@ def test_same_ids_and_text_as_the_library():
     codec = PieceCodec(model_path())
     for t in TEXTS:
         normal, source = codec.normalize(t)
-        units = codec.segment(normal.decode())
-        ids = [i for u in units for i in u[0]]
+        (units,) = codec.segment([normal.decode()])
+        ids = codec.ids_of(units)
         assert ids == codec.whole.encode(t)
         assert codec.decode(ids) == codec.whole.decode(codec.whole.encode(t))
         ends = codec.ends(units, source)
@@ -41,7 +41,7 @@ def test_character_map_agrees_with_the_library(tmp_path, rule, squeeze):
     assert codec.map.units
     for t in TEXTS + ["ＡＢＣ　ｶﾞ ﬁn ① ½", "Ångstrom    x　"]:
         normal, source = codec.normalize(t)
-        assert [i for u in codec.segment(normal.decode()) for i in u[0]] == codec.whole.encode(t), t
+        assert codec.ids_of(next(codec.segment([normal.decode()]))) == codec.whole.encode(t), t
         assert len(source) == len(normal) + 1
 
 
