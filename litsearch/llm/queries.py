@@ -18,9 +18,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(load(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.fertility import fertility_rules
+    return fertility_rules(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_fertility": op5_fertility,
 }
 
 ORACLE_SQL = {
