@@ -18,6 +18,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(load(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.mixing import taken
+    return taken(load(spark, sf_dir, "documents"))
+
+
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litsearch.llm.fertility import fertility_rules
     return fertility_rules(load(spark, sf_dir, "documents"))
@@ -26,6 +31,7 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_mixing": op4_mixing,
     "op5_fertility": op5_fertility,
 }
 
