@@ -36,12 +36,21 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(load(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.toxicity import fit, score
+    docs = load(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    net = fit(docs, load(spark, sf_dir, "labels"), ~held_out)
+    return score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_fertility": op5_fertility,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
