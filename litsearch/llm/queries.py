@@ -36,6 +36,14 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(load(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.quality_gam import fit, score
+    docs = load(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = fit(docs, load(spark, sf_dir, "labels"), ~held_out)
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litsearch.llm.toxicity import fit, score
     docs = load(spark, sf_dir, "documents")
@@ -50,6 +58,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_fertility": op5_fertility,
+    "op7_quality": op7_quality,
     "op9_toxicity": op9_toxicity,
 }
 
