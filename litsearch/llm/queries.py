@@ -44,6 +44,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.secret_scan import digest, scan, train
+    docs = load(spark, sf_dir, "documents")
+    return digest(scan(docs, train(docs))).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litsearch.llm.toxicity import fit, score
     docs = load(spark, sf_dir, "documents")
@@ -59,6 +66,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_fertility": op5_fertility,
     "op7_quality": op7_quality,
+    "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
 }
 
