@@ -59,6 +59,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.ngram_join import similar_groups
+    return similar_groups(load(spark, sf_dir, "documents"), words=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -68,6 +74,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
