@@ -54,3 +54,22 @@ def hash_sample(df: DataFrame, limit: int, by: list[str], key: str = "doc_id", s
     share = (F.xxhash64(F.lit(seed), F.col(key)) / F.lit(2.0 ** 63) + 1) / 2
     return (df.join(F.broadcast(counts.limit(10_000)), by)
             .where(share * F.col("_n") <= F.lit(float(limit))).drop("_n"))
+
+
+FILTER_BITS = 1 << 24
+
+
+def likely_in(rows: DataFrame, key, wanted: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose 64-bit ``key`` may be in ``wanted[column]``: all that are, and some others.
+
+    A bitmap of fixed size (``bits`` / 64 longs, whatever the data) is broadcast
+    and thins out rows before they are shuffled for an exact join. When it is
+    too full to tell rows apart, the join just gets more of them.
+    """
+    slot = F.pmod(F.col(column), F.lit(bits))
+    bitmap = (wanted.select(F.floor(slot / 64).alias("_word"), (slot % 64).cast("int").alias("_bit")).groupBy("_word")
+              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits")))
+    own = F.pmod(key, F.lit(bits))
+    hit = (F.floor(own / 64) == F.col("_word")) & (
+        F.call_function("shiftright", F.col("_bits"), (own % 64).cast("int")) % 2 != 0)
+    return rows.join(F.broadcast(bitmap), hit, "left_semi")

@@ -36,6 +36,11 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(load(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.line_dedup import line_report
+    return line_report(load(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litsearch.llm.quality_gam import fit, score
     docs = load(spark, sf_dir, "documents")
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_fertility": op5_fertility,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
