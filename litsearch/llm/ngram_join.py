@@ -4,7 +4,9 @@ Sets are split by size at a boundary. Small sets enumerate fixed-size subsets:
 every subset of each overlap size by which they could link, so linked sets share
 a subset. Large sets are cut into segments of the universe, a few more than
 linked sets can differ in; an inverted list per segment holds the sets that have
-the same elements there, so linked sets meet in at least one list. The boundary
+the same elements there, so linked sets meet in at least one list. For lower
+thresholds, where that takes too many segments, the lists are those of a set's
+first elements in hash order (a prefix that linked sets must share). The boundary
 is where, for the sizes that the table really has, the estimated cost of
 enumeration passes that of scanning lists.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from litsearch.llm.common import WORD, narrow, stored
 from litsearch.llm.components import components
-from litsearch.llm.shingles import Shingler, keys_of, links_between, segments_of, subset_count
+from litsearch.llm.shingles import Shingler, keys_of, links_between, segments_of, subset_count, uses_segments
 
 LEAST_BOUNDARY, MOST_BOUNDARY = 9, 40
 BLOCK_TOKENS = 1_500_000
@@ -51,8 +53,10 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     best, least, total = LEAST_BOUNDARY, 0.0, 0.0
     everyone = sum(sizes.values())
     for n in range(LEAST_BOUNDARY + 1, MOST_BOUNDARY + 1):
-        count, _ = segments_of(max(n + 1, math.ceil(n * 1.5)), percent)
+        count = segments_of(max(n + 1, math.ceil(n * 1.5)), percent)[0]
         met = everyone * CHANCE ** (n / count)
+        if not uses_segments(percent):
+            count, met = n - percent * n // 100, everyone * CHANCE ** 3
         total += sizes.get(n, 0) * (subset_count(n, n, percent) - count * (1 + SCAN_COST * met))
         if total < least:
             best, least = n, total
@@ -206,7 +210,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     stays = stored(groups.where("n_shingles = 0 or doc_id <=> component_id")
                    .select("doc_id", "th", "n_shingles").distinct(), "stays")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    kept = rows.join(stays, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
-    one = kept.where("n_shingles > 0").groupBy("id", "h").agg(F.first("row").alias("row")).select("row.*")
-    return one.unionByName(kept.where("n_shingles = 0").select("row.*"))
+    kept = (docs.select(row, _row_key("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("key"))
+            .join(stays.select(_row_key("doc_id", F.col("th")).alias("key"), "n_shingles"), "key"))
+    # the join has brought equal rows together; of those with words the first stays
+    one = kept.groupBy("key").agg(F.first("n_shingles").alias("n"), F.collect_list("row").alias("rows"))
+    return one.select(F.explode(F.when(F.col("n") > 0, F.slice("rows", 1, 1)).otherwise(F.col("rows"))).alias("row")).select("row.*")
+
+
+def _row_key(doc_id, text_hash):
+    return F.xxhash64(doc_id, text_hash)

@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 WORDS_REMEMBERED = 300_000
+SEGMENTS_FROM = 87  # least percentage at which segments take fewer than a quarter key per element
 GROWTH = 1.5  # size classes of large sets: each reaches to this multiple of its start
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -138,6 +139,21 @@ def segment_keys(u: np.ndarray, number: int, end: int, percent: int) -> np.ndarr
     return keys
 
 
+def uses_segments(percent: int) -> bool:
+    """Whether segments are the lists of large sets: while they take few keys per element.
+
+    Below, single elements are: those of least hash, one more than a set of this
+    size may have that its partner lacks. They are fewer, but less telling.
+    """
+    return percent >= SEGMENTS_FROM
+
+
+def prefix_keys(u: np.ndarray, percent: int) -> np.ndarray:
+    """The least elements (by hash) of a large set, of which linked sets share one."""
+    n = len(u)
+    return mix(u[:n + percent * n // -100 + 1] + _K2)
+
+
 def keys_of(u: np.ndarray, boundary: int, percent: int) -> np.ndarray:
     """All keys of a set: linked sets share at least one."""
     n = len(u)
@@ -146,6 +162,11 @@ def keys_of(u: np.ndarray, boundary: int, percent: int) -> np.ndarray:
     if n <= boundary:
         return subset_keys(u, boundary, percent)
     parts = []
+    if not uses_segments(percent):
+        parts.append(prefix_keys(u, percent))
+        if percent * n <= 100 * boundary:
+            parts.append(subset_keys(u, boundary, percent))
+        return np.concatenate(parts)
     starts = classes(boundary, n)
     own = next(k for k in range(len(starts) - 1) if n < starts[k + 1])
     parts.append(segment_keys(u, own, starts[own + 1], percent))

@@ -51,7 +51,7 @@ def noisy_texts(seed, groups=14, copies=9):
     return texts
 
 
-@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("percent", [70, 80, 90])
 @pytest.mark.parametrize("boundary", [9, 14])
 def test_linked_sets_share_a_key(percent, boundary):
     rng = np.random.default_rng(percent + boundary)
