@@ -34,13 +34,16 @@ def url(expr: str) -> str:
 # --- corpus -------------------------------------------------------------------
 PAPERS = f"""
 docs AS (
-  SELECT doc_id, text, lang, source, {tok('text')} AS toks FROM documents),
+  SELECT doc_id, text, lang, source, {tok('text')} AS toks, false AS extra FROM documents
+  UNION ALL
+  SELECT doc_id + {FX.EXTRA_OFFSET}, text, lang, source, {tok('text')} AS toks, true AS extra
+  FROM documents WHERE doc_id % {FX.EXTRA_EVERY} = 0),
 papers0 AS (
   SELECT doc_id,
-    array_to_string(toks[1:{FX.TITLE_TOKENS}], ' ') AS article_title,
-    CASE WHEN doc_id % 10 = 0 THEN '' ELSE {trim_ws('text')} END AS abstract,
+    array_to_string({tok("string_split(text, chr(10))[1]")}, ' ') AS article_title,
+    CASE WHEN extra THEN '' ELSE {trim_ws('text')} END AS abstract,
     CASE WHEN doc_id % 9 = 0 THEN []::VARCHAR[]
-         ELSE list_filter(toks, lambda t: length(t) >= {FX.KEYWORD_MIN_LEN})[1:{FX.KEYWORDS_PER_PAPER}]
+         ELSE list_sort(list_distinct(list_filter(toks, lambda t: length(t) >= {FX.KEYWORD_MIN_LEN})))
     END AS keywords,
     CASE WHEN doc_id % 7 = 0 THEN '' ELSE '{FX.DOI_PREFIX}' || CAST(doc_id AS VARCHAR) END AS doi,
     CASE WHEN doc_id % 2 = 0 THEN 'PMC' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END
@@ -67,7 +70,7 @@ QUERIES = f"""
 bench AS (SELECT item_id, {tok('text')} AS toks FROM benchmark),
 queries AS (
   SELECT CAST(item_id AS VARCHAR) AS query_id,
-    array_to_string(toks[1:{FX.QUESTION_TOKENS}], ' ') AS user_query,
+    array_to_string(toks, ' ') AS user_query,
     '10.0.0.' || CAST(item_id % 5 AS VARCHAR) || ':5000' AS remote_addr,
     CAST(item_id % 7 AS INTEGER) AS amount,
     CAST(CASE WHEN item_id % 4 = 0 THEN 0.0 ELSE 0.6 END AS FLOAT) AS threshold
@@ -83,8 +86,8 @@ query_terms AS (
   SELECT query_id, 0 AS alt, CAST(list_position(toks, t) - 1 AS INTEGER) AS group_id, t AS term
   FROM (SELECT query_id, toks, unnest(list_distinct(toks)) AS t FROM qtok)
   UNION ALL
-  SELECT query_id, 1 AS alt, CAST(list_position(toks, t) - 1 AS INTEGER) AS group_id, t AS term
-  FROM (SELECT query_id, toks, unnest(list_distinct(toks[1:{FX.ALT1_TOKENS}])) AS t FROM qtok)
+  SELECT query_id, 1 AS alt, CASE WHEN length(t) >= {FX.ALT1_MIN_LEN} THEN 0 ELSE 1 END AS group_id, t AS term
+  FROM (SELECT query_id, unnest(list_distinct(toks)) AS t FROM qtok)
   UNION ALL
   SELECT query_id, 2 AS alt, 0 AS group_id, t AS term
   FROM (SELECT query_id, unnest(list_distinct(toks)) AS t FROM qtok)),
@@ -255,7 +258,7 @@ WHERE s.search_score > p.threshold"""
 
 def sql_similarity_embedding() -> str:
     return f"""
-WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 10),
+WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
      i AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
      s AS (SELECT q.vec_id AS query_vec_id, i.vec_id, list_dot_product(q.e, i.e) AS score
            FROM q CROSS JOIN i),
@@ -414,6 +417,32 @@ UNION ALL
 SELECT query_id, 1 AS round, CAST(hit_rank AS INTEGER) AS hit_rank, pmc_id, search_score FROM passing1"""
 
 
+def sql_search_repeated_ids() -> str:
+    """BM25 candidates by paper; per question and (shared) id the last one by
+    rank stands; ties in BM25 go by the shared id and the pm id."""
+    return with_(PAPERS, QUERIES, LEXICAL,
+                 match_cte("m2", "SELECT query_id, group_id, term FROM query_terms WHERE alt = 2", "any"), f"""
+shared AS (
+  SELECT pmc_id, pm_id, CASE WHEN doc_id % 5 = 0 THEN ''
+    WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'PMC' ELSE '' END || CAST(doc_id - 2 AS VARCHAR)
+    ELSE pmc_id END AS shared_id FROM papers),
+c2 AS (
+  SELECT query_id, pmc_id, shared_id, pm_id, rk FROM (
+    SELECT m.query_id, m.pmc_id, s.shared_id, s.pm_id, pr.amount,
+           row_number() OVER (PARTITION BY m.query_id ORDER BY m.bm25 DESC, s.shared_id, s.pm_id) AS rk
+    FROM m2 m JOIN params pr USING (query_id) JOIN shared s ON s.pmc_id = m.pmc_id)
+  WHERE rk <= {CANDIDATE_FACTOR} * amount),
+last AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, shared_id ORDER BY rk DESC) AS nth FROM c2)
+  WHERE nth = 1)""", own_hits_cte("h2", "last")) + """
+SELECT query_id, shared_id AS pmc_id, pm_id, CAST(hit_rank AS INTEGER) AS hit_rank, search_score FROM (
+  SELECT l.query_id, l.shared_id, l.pm_id, CAST(sc.score AS FLOAT) AS search_score, p.threshold,
+         row_number() OVER (PARTITION BY l.query_id ORDER BY sc.score DESC, l.shared_id) AS hit_rank
+  FROM h2_sc sc JOIN last l ON l.query_id = sc.query_id AND l.pmc_id = sc.pmc_id
+  JOIN params p ON p.query_id = l.query_id)
+WHERE hit_rank <= """ + str(INDEX_HITS) + " AND search_score > threshold"
+
+
 def sql_index_rows() -> str:
     return with_(*ROUND0[:5]) + f"""
 SELECT c.query_id, ps.pmc_id AS object_id, '[' || pr.user_query || '] - ' || ps.abstract AS data,
@@ -477,13 +506,25 @@ def sql_requests_json() -> str:
 SELECT query_id, user_query, remote_addr, amount, threshold FROM queries"""
 
 
+def sql_requests_without_id() -> str:
+    return with_(QUERIES) + """
+SELECT user_query, amount, threshold, count(*) AS n_requests, count(*) AS n_ids FROM queries
+GROUP BY user_query, amount, threshold"""
+
+
+def sql_get_requests() -> str:
+    return with_(QUERIES) + f"""
+SELECT query_id, user_query, remote_addr, CAST({DEFAULT_AMOUNT} AS INTEGER) AS amount,
+       CAST({DEFAULT_THRESHOLD} AS FLOAT) AS threshold FROM queries"""
+
+
 def sql_validate_requests() -> str:
     return with_(QUERIES, f"""
 conv AS (
   SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id,
     CASE WHEN conv_id % 11 = 0 THEN NULL
          WHEN conv_id % 13 = 0 THEN ''
-         ELSE array_to_string({tok('text')}[1:{FX.QUESTION_TOKENS}], ' ') END AS user_query,
+         ELSE array_to_string({tok('text')}, ' ') END AS user_query,
     CAST(conv_id % 6 - 1 AS INTEGER) AS amount
   FROM conversations WHERE role = 'user'),
 req AS (SELECT query_id, user_query, amount FROM queries UNION ALL SELECT * FROM conv)""") + """
@@ -532,6 +573,7 @@ def oracle_sql() -> dict[str, str]:
         "stop_condition": sql_stop_condition(),
         "search_one_round": sql_search_one_round(),
         "search_two_rounds": sql_search_two_rounds(),
+        "search_repeated_ids": sql_search_repeated_ids(),
         "index_rows": sql_index_rows(),
         "index_upsert": sql_index_upsert(),
         "abstract_text": sql_abstract_text(),
@@ -540,6 +582,8 @@ def oracle_sql() -> dict[str, str]:
         "paper_url": sql_paper_url(),
         "default_params": sql_default_params(),
         "requests_json": sql_requests_json(),
+        "requests_without_id": sql_requests_without_id(),
+        "get_requests": sql_get_requests(),
         "validate_requests": sql_validate_requests(),
         "xml_papers": sql_xml_papers(),
         "xml_rejects": sql_xml_rejects(),

@@ -53,12 +53,13 @@ class Round:
         terms = d["query_terms"].where(F.col("alt") == alt).select("query_id", "group_id", "term")
         self.matches = LX.match_terms(terms, self.corpus.lexical, match)
         max_amount = int(self.params.agg(F.max("amount")).first()[0] or 1)
-        limits = self.params.select("query_id", (F.col("amount") * CANDIDATE_FACTOR).alias("limit"))
+        limits = self.params.select("query_id", (F.col("amount").cast("long") * CANDIDATE_FACTOR).alias("limit"))
         self.cands = LX.top_candidates(self.matches, limits, CANDIDATE_FACTOR * max_amount)
 
     def candidate_papers(self) -> DataFrame:
         """Candidates with the full paper columns (for index rows)."""
-        return self.cands.select("query_id", "pmc_id", "rk").join(self.corpus.papers, "pmc_id")
+        papers = self.corpus.papers.drop("pmc_id").withColumnRenamed("pk", "pmc_id")
+        return self.cands.select("query_id", "pmc_id", "rk").join(papers, "pmc_id")
 
     def candidate_stats(self) -> DataFrame:
         return self.cands.select("query_id", "pmc_id", "rk").join(self.corpus.stats, "pmc_id")
@@ -130,8 +131,7 @@ def q_threshold_hits(spark, sf_dir):
 
 def q_similarity_embedding(spark, sf_dir):
     emb = FX.read_table(spark, sf_dir, "embeddings")
-    questions = emb.where(F.col("vec_id") < 10)
-    hits = SIM.dense_topk(questions, emb)
+    hits = SIM.dense_topk(emb, emb)
     return hits.select("query_vec_id", "vec_id", F.round("score", 6).alias("score"),
                        F.col("hit_rank").cast("int"))
 
@@ -279,7 +279,7 @@ def q_paper_ids(spark, sf_dir):
 
 def q_paper_url(spark, sf_dir):
     docs = FX.read_table(spark, sf_dir, "documents")
-    p = FX.papers_from_documents(docs.select("doc_id", "text", "lang", "source"))
+    p = FX.papers_from_documents(docs)
     p = p.withColumn("doc_id", F.regexp_replace("pmc_id", "^PMC", "").cast("long"))
     return p.select("doc_id", "pmc_id", paper_url("pmc_id").alias("url"))
 
@@ -297,7 +297,7 @@ def conversation_requests(spark, sf_dir) -> DataFrame:
     cid = F.col("conv_id")
     q = (F.when(cid % 11 == 0, F.lit(None).cast("string"))
          .when(cid % 13 == 0, F.lit(""))
-         .otherwise(F.array_join(F.slice(SIM.tokens("text"), 1, FX.QUESTION_TOKENS), " ")))
+         .otherwise(F.array_join(SIM.tokens("text"), " ")))
     return conv.select(
         F.concat(F.lit("c"), cid.cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("query_id"),
         q.alias("user_query"), (cid % 6 - 1).cast("int").alias("amount"))
@@ -322,6 +322,25 @@ def q_requests_json(spark, sf_dir):
         "query_id", "user_query", "remote_addr", "amount", "threshold")
 
 
+def q_requests_without_id(spark, sf_dir):
+    """Bodies with query, amount and threshold only, as clients send them: ids are assigned."""
+    from litsearch.session import scratch_path
+    from litsearch.sources.requests import read_requests_json, requests_to_queries
+    path = scratch_path(spark, "bodies")
+    (_tables(spark, sf_dir)["queries"].select(F.col("user_query").alias("query"), "amount", "threshold")
+     .write.mode("errorifexists").json(path))
+    q = requests_to_queries(read_requests_json(spark, path))
+    return q.groupBy("user_query", "amount", "threshold").agg(
+        F.count("*").alias("n_requests"), F.countDistinct("query_id").alias("n_ids"))
+
+
+def q_get_requests(spark, sf_dir):
+    """The questions as paths of GET requests, with the defaults applied."""
+    from litsearch.sources.requests import get_requests
+    q = _tables(spark, sf_dir)["queries"].select("query_id", "user_query", "remote_addr")
+    return apply_defaults(get_requests(q))
+
+
 # --- conversation ------------------------------------------------------------------------
 
 def q_conversation_assign(spark, sf_dir):
@@ -389,6 +408,25 @@ def q_search_one_round(spark, sf_dir):
     return out.outcomes.select("query_id", "status", "n_results", "next_query", "next_alt")
 
 
+def repeated_ids(papers: DataFrame) -> DataFrame:
+    """The papers with every 5th id empty and every 3rd other one that of the paper two before it."""
+    n = F.regexp_replace("pmc_id", "^PMC", "").cast("long")
+    other = n - 2
+    taken = F.when(other % 2 == 0, F.concat(F.lit("PMC"), other.cast("string"))).otherwise(other.cast("string"))
+    return papers.withColumn("pmc_id", F.when(n % 5 == 0, F.lit("")).when(n % 3 == 0, taken)
+                             .otherwise(F.col("pmc_id")))
+
+
+def q_search_repeated_ids(spark, sf_dir):
+    """One round over a corpus where papers share ids or have none: per question
+    and id, the last candidate stands."""
+    from litsearch.plans.search import SearchConfig, search
+    d = FX.load(spark, sf_dir)
+    terms = d["query_terms"].where(F.col("alt") == 2).withColumn("alt", F.lit(0))
+    out = search(d["queries"], terms, repeated_ids(d["papers"]), config=SearchConfig(rounds=1, match="any"))
+    return out.rows.select("query_id", "pmc_id", "pm_id", "hit_rank", "search_score")
+
+
 def q_search_two_rounds(spark, sf_dir):
     """Result rows (bag) of the first two rounds of the loop."""
     out = run_search(spark, sf_dir, rounds=2)
@@ -404,7 +442,7 @@ def q_requery_alternatives(spark, sf_dir):
     return a.where(F.col("kind") == "requery").select("query_id", "round", "query_text")
 
 
-RESULT_TS = 1686107732760   # fixed envelope time stamp for repeatable documents
+RESULT_TS = 1700000000000   # fixed envelope time stamp for repeatable documents
 
 
 def q_result_document(spark, sf_dir):
@@ -432,24 +470,28 @@ def q_stream_search(spark, sf_dir):
         "hit_rank")
 
 
-def _write_in_order(parts, base: str) -> None:
-    """Write each part as its own file, one after the other (file order =
-    processing order of the stream source)."""
+EVENTS_PER_FILE = 200_000
+
+
+def _write_in_order(parts, base: str, one_file: bool = True) -> None:
+    """Write the parts one after the other (file order = processing order of
+    the stream source); with ``one_file`` each as a single file."""
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(base)
+        (part.coalesce(1) if one_file else part).write.mode("append").parquet(base)
 
 
 def q_stream_conversation(spark, sf_dir):
-    """C1 stream: events in four time slices, one micro-batch each."""
+    """C1 stream: events in time slices, one micro-batch each."""
     from litsearch.session import scratch_path
     from litsearch.streaming.conversation import stream_conversations
     ev = FX.read_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("addr"), "ts")
     src, sink, ckpt = (scratch_path(spark, n) for n in ("events", "conv", "ckpt"))
-    bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).first()
     lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / 4
-    cuts = [lo + step * i for i in range(1, 4)]
+    slices = max(4, -(-bounds["n"] // EVENTS_PER_FILE))  # so a file stays small however long the table
+    step = (hi - lo) / slices
+    cuts = [lo + step * i for i in range(1, slices)]
     parts = []
     prev = None
     for c in cuts + [None]:
@@ -474,7 +516,7 @@ def q_stream_index_upsert(spark, sf_dir):
     from litsearch.streaming.search import read_latest_index, start_index_stream
     log = _index_log(spark, sf_dir)
     items, log_dir, ckpt = (scratch_path(spark, n) for n in ("items", "ilog", "ckpt"))
-    _write_in_order([log.where(F.col("version") == v) for v in (1, 2)], items)
+    _write_in_order([log.where(F.col("version") == v) for v in (1, 2)], items, one_file=False)
     q = start_index_stream(spark, items, log.schema, log_dir, ckpt)
     q.awaitTermination()
     return read_latest_index(spark, log_dir).select("object_id", "data", "version")
@@ -503,6 +545,8 @@ def registry() -> dict:
         "paper_url": q_paper_url,
         "default_params": q_default_params,
         "requests_json": q_requests_json,
+        "requests_without_id": q_requests_without_id,
+        "get_requests": q_get_requests,
         "validate_requests": q_validate_requests,
         "conversation_assign": q_conversation_assign,
         "xml_papers": q_xml_papers,
@@ -510,6 +554,7 @@ def registry() -> dict:
         "search_one_round": q_search_one_round,
         "search_rounds": q_search_rounds,
         "search_two_rounds": q_search_two_rounds,
+        "search_repeated_ids": q_search_repeated_ids,
         "search_iterative": q_search_iterative,
         "query_log": q_query_log,
         "requery_alternatives": q_requery_alternatives,

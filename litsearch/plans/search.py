@@ -32,7 +32,7 @@ from litsearch.session import scratch_path
 from litsearch.sources.requests import apply_defaults
 
 RESULT_COLUMNS = ["query_id", "round", "hit_rank"] + PAPER_COLUMNS + ["search_score"]
-ROW_COLUMNS = ["query_id", "round", "hit_rank", "pmc_id", "keywords", "search_score"]
+ROW_COLUMNS = ["query_id", "round", "hit_rank", "pmc_id", "keywords", "search_score", "pk"]
 
 
 @dataclass
@@ -51,8 +51,11 @@ class SearchConfig:
 class Corpus:
     """Corpus prepared once.
 
-    ``papers``: the full ``Paper`` columns, read once at the end for the
-    result rows. ``stats``: one narrow row per paper (keywords, empty flag,
+    ``papers``: the full ``Paper`` columns and ``pk``, read once at the end for
+    the result rows. ``pk`` names a paper within the corpus: its ``pmc_id``, or
+    where that is empty or several papers have it, the id with the pm id and a hash of
+    the paper. ``stats`` and ``lexical`` go by ``pk`` (in their ``pmc_id`` column;
+    ``stats.real_id`` is the paper's own id). ``stats``: one narrow row per paper (keywords, empty flag,
     token count, a.a, BM25 length) - what every round reads. ``lexical``:
     postings with ``tf`` (searched fields), ``tf_abs`` (abstract) and ``df``,
     stored partitioned by term bucket. No round reads the text again.
@@ -99,13 +102,12 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     """
     spark = papers.sparkSession
     buckets = int(term_buckets or default_term_buckets(spark))
-    base = papers.select(*PAPER_COLUMNS)
-    parallelism = spark.sparkContext.defaultParallelism
-    if base.rdd.getNumPartitions() < parallelism:
-        # text work is CPU bound: spread a few large input splits over all cores
-        base = base.repartition(parallelism)
+    # text work is CPU bound: spread a few large input splits over all cores
+    base = papers.select(*PAPER_COLUMNS).hint("rebalance")
+    papers = with_paper_key(base)
     if persist:
-        base = materialize(base, "papers")
+        papers = materialize(papers, "papers")
+    base = papers.withColumnRenamed("pmc_id", "real_id").withColumnRenamed("pk", "pmc_id")
     postings = postings_from_fields(base, fields)
     doc_freq = postings.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     postings = (postings.join(doc_freq, "term", "left")
@@ -119,10 +121,10 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
         F.sum("tf_abs").alias("n_tokens"),
         F.sum(F.col("tf_abs") * F.col("tf_abs")).alias("abs_sq"),
         F.max("doc_len").alias("doc_len"))
-    stats = (base.select("pmc_id", "keywords",
+    stats = (base.select("pmc_id", "real_id", "keywords",
                          (F.col("abstract") == F.lit("")).alias("empty_abstract"))
              .join(per_paper, "pmc_id", "left")
-             .select("pmc_id", "keywords", "empty_abstract",
+             .select("pmc_id", "real_id", "keywords", "empty_abstract",
                      *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                        for c in ("n_tokens", "abs_sq", "doc_len")]))
     if persist:
@@ -130,7 +132,17 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     agg = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).first()
     n_docs, total = int(agg["n"] or 0), int(agg["total"] or 0)
     lexical = LexicalIndex(postings, n_docs, (total / n_docs) if n_docs else 0.0, buckets)
-    return Corpus(base, stats, lexical)
+    return Corpus(papers, stats, lexical)
+
+
+def with_paper_key(papers: DataFrame) -> DataFrame:
+    """Add ``pk``: unique among papers. Papers that agree in every column become one."""
+    repeated = (papers.groupBy("pmc_id").agg(F.count(F.lit(1)).alias("_n"))
+                .where((F.col("_n") > 1) | (F.col("pmc_id") == "")).select("pmc_id"))
+    hashed = F.concat("pmc_id", F.lit("\u0001"), "pm_id", F.lit("\u0001"), F.hex(F.xxhash64(*PAPER_COLUMNS)))
+    alone = papers.join(repeated, "pmc_id", "left_anti").withColumn("pk", F.col("pmc_id"))
+    several = papers.join(repeated, "pmc_id", "left_semi").withColumn("pk", hashed).dropDuplicates(["pk"])
+    return alone.unionByName(several).select(*PAPER_COLUMNS, "pk")
 
 
 def postings_from_fields(papers: DataFrame, fields=DEFAULT_FIELDS) -> DataFrame:
@@ -197,7 +209,7 @@ def render_terms(terms: DataFrame, keys=("query_id", "alt")) -> DataFrame:
 def _empty_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [], "query_id string, round int, hit_rank int, pmc_id string, keywords array<string>, "
-            "search_score float")
+            "search_score float, pk string")
 
 
 def round_candidates(active: DataFrame, terms: DataFrame, corpus: Corpus, cfg: SearchConfig,
@@ -207,19 +219,19 @@ def round_candidates(active: DataFrame, terms: DataFrame, corpus: Corpus, cfg: S
     Output per (question, candidate): rank, keywords, a.a, empty-abstract and
     indexable flags (A1, F2, F3), and q.a - all from narrow tables.
     """
-    limits = active.select("query_id", (F.col("amount") * CANDIDATE_FACTOR).alias("limit"))
+    limits = active.select("query_id", (F.col("amount").cast("long") * CANDIDATE_FACTOR).alias("limit"))
     matches = match_terms(terms, corpus.lexical, cfg.match)
     cands = top_candidates(matches, limits, CANDIDATE_FACTOR * max_amount)
     cands = cands.select("query_id", "pmc_id", "rk").join(
-        corpus.stats.select("pmc_id", "keywords", "empty_abstract", "n_tokens", "abs_sq"), "pmc_id")
-    cands = dedupe_last(cands)                                             # J3
+        corpus.stats.select("pmc_id", "real_id", "keywords", "empty_abstract", "n_tokens", "abs_sq"), "pmc_id")
+    cands = dedupe_last(cands, ("query_id", "real_id"))                    # J3
     ok_len = (~F.col("empty_abstract")) & (F.col("n_tokens") <= F.lit(int(cfg.max_tokens)))
     cands = cands.withColumn("indexable", ok_len)
     dots = candidate_dots(cands.where("indexable").select("query_id", "pmc_id"), active,
                           corpus.lexical)
     return (cands.join(dots, ["query_id", "pmc_id"], "left")
-            .select("query_id", "pmc_id", "rk", "keywords", "abs_sq", "empty_abstract",
-                    "indexable",
+            .select("query_id", F.col("real_id").alias("pmc_id"), F.col("pmc_id").alias("pk"), "rk",
+                    "keywords", "abs_sq", "empty_abstract", "indexable",
                     F.when(F.col("indexable"), F.coalesce(F.col("qa"), F.lit(0).cast("long")))
                      .otherwise(F.lit(0).cast("long")).alias("qa")))
 
@@ -248,7 +260,7 @@ def round_scores(round_no: int, active: DataFrame, cands: DataFrame,
     scored = scored.join(thr, "query_id").withColumn(
         "passing", F.col("hit_rank").isNotNull()
         & (F.col("search_score").cast("float") > F.col("threshold").cast("float")))   # J1, F4
-    scored = scored.select("query_id", "pmc_id", "rk", "keywords",
+    scored = scored.select("query_id", "pmc_id", "pk", "rk", "keywords",
                            F.col("hit_rank").cast("int").alias("hit_rank"),
                            F.col("search_score").cast("float").alias("search_score"),
                            "passing", F.lit(round_no).cast("int").alias("round"))
@@ -375,7 +387,7 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
     rows = rows_acc if rows_acc is not None else _empty_rows(spark)
     if cfg.distinct_papers:
         rows = first_per_paper(rows)
-    rows = rows.join(corpus.papers.drop("keywords"), "pmc_id")
+    rows = rows.join(corpus.papers.drop("keywords", "pmc_id"), "pk")
     attempts = attempt_parts[0] if attempt_parts else spark.createDataFrame(
         [], "query_id string, round int, query_text string, kind string")
     for part in attempt_parts[1:]:

@@ -33,8 +33,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.sql.ansi.enabled", "true")
     )
-    # Local runs only; on a cluster the shared folder comes from its conf.
-    builder = builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="litsearch-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -64,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if root is None:
         root = getattr(sc, "_litsearch_scratch", None)
         if root is None:
+            if not (sc.master or "").startswith("local"):
+                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="litsearch-ckpt-")
             sc._litsearch_scratch = root
     if sc.getCheckpointDir() is None:

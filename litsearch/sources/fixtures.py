@@ -17,15 +17,14 @@ from litsearch.functions.text import tokens, trim_ws
 from litsearch.schemas import PAPER_COLUMNS
 
 # --- fixed values of the fixture rules ------------------------------------
-TITLE_TOKENS = 8            # title = first 8 tokens
-KEYWORD_MIN_LEN = 8         # keywords = tokens of at least 8 characters ...
-KEYWORDS_PER_PAPER = 5      # ... the first 5 of them
+KEYWORD_MIN_LEN = 10        # keywords = all distinct tokens of at least 10 characters, sorted
+EXTRA_EVERY = 10            # every 10th document also gives a paper without an abstract ...
+EXTRA_OFFSET = 1000000000   # ... with this much added to its id
 PM_ID_OFFSET = 30000000
 DOI_PREFIX = "10.1000/"
 FIRST_YEAR = 1990
 YEAR_SPAN = 35
-QUESTION_TOKENS = 12        # user_query = first 12 tokens
-ALT1_TOKENS = 3             # alternative 1 uses the first 3 tokens
+ALT1_MIN_LEN = 8            # alternative 1 parts the tokens: of at least 8 characters, and others
 # --------------------------------------------------------------------------
 
 
@@ -33,19 +32,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_extra_papers(documents: DataFrame) -> DataFrame:
+    """The documents and, of every 10th, one more row (``extra``) that becomes a paper without abstract."""
+    d = documents.select("doc_id", "text", "lang", "source")
+    extras = F.when(F.col("doc_id") % EXTRA_EVERY == 0, F.array(F.lit(False), F.lit(True))) \
+        .otherwise(F.array(F.lit(False)))
+    return d.select("doc_id", "text", "lang", "source", F.explode(extras).alias("extra")).withColumn(
+        "doc_id", F.col("doc_id") + F.when(F.col("extra"), F.lit(EXTRA_OFFSET)).otherwise(F.lit(0)))
+
+
+def title_of(text: str):
+    """The tokens of the first line."""
+    return F.array_join(tokens(F.split(text, "\n", -1)[0]), " ")
+
+
+def keywords_of(text: str):
+    return F.array_sort(F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) >= KEYWORD_MIN_LEN)))
+
+
 def papers_from_documents(documents: DataFrame) -> DataFrame:
     """Corpus rows in the ``Paper`` layout (without score)."""
-    d = documents.select("doc_id", "text", "lang", "source")
-    toks = tokens("text")
+    d = with_extra_papers(documents)
     doc_id = F.col("doc_id")
-    long_tokens = F.filter(toks, lambda t: F.length(t) >= KEYWORD_MIN_LEN)
     pmc_id = F.when(doc_id % 2 == 0, F.concat(F.lit("PMC"), doc_id.cast("string"))) \
         .otherwise(doc_id.cast("string"))
     out = d.select(
-        F.array_join(F.slice(toks, 1, TITLE_TOKENS), " ").alias("article_title"),
-        F.when(doc_id % 10 == 0, F.lit("")).otherwise(trim_ws("text")).alias("abstract"),
+        title_of("text").alias("article_title"),
+        F.when(F.col("extra"), F.lit("")).otherwise(trim_ws("text")).alias("abstract"),
         F.when(doc_id % 9 == 0, F.array().cast("array<string>"))
-         .otherwise(F.slice(long_tokens, 1, KEYWORDS_PER_PAPER)).alias("keywords"),
+         .otherwise(keywords_of("text")).alias("keywords"),
         F.when(doc_id % 7 == 0, F.lit(""))
          .otherwise(F.concat(F.lit(DOI_PREFIX), doc_id.cast("string"))).alias("doi"),
         pmc_id.alias("pmc_id"),
@@ -62,7 +77,7 @@ def queries_from_benchmark(benchmark: DataFrame) -> DataFrame:
     item = F.col("item_id")
     return benchmark.select(
         item.cast("string").alias("query_id"),
-        F.array_join(F.slice(tokens("text"), 1, QUESTION_TOKENS), " ").alias("user_query"),
+        F.array_join(tokens("text"), " ").alias("user_query"),
         F.concat(F.lit("10.0.0."), (item % 5).cast("string"), F.lit(":5000")).alias("remote_addr"),
         (item % 7).cast("int").alias("amount"),
         F.when(item % 4 == 0, F.lit(0.0)).otherwise(F.lit(0.6)).cast("float").alias("threshold"),
@@ -73,7 +88,7 @@ def query_terms_from_queries(queries: DataFrame) -> DataFrame:
     """Boolean search strings per question: alt 0, 1, 2 (schema ``QUERY_TERMS``).
 
     alt 0: every distinct token of the question is its own AND group;
-    alt 1: the same for the first three tokens only;
+    alt 1: two OR groups, the long tokens (group 0) and the others (group 1);
     alt 2: one OR group with all distinct tokens.
     ``group_id`` is the position of a token's first occurrence (0-based),
     so it does not depend on the order ``array_distinct`` returns.
@@ -81,14 +96,14 @@ def query_terms_from_queries(queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", tokens("user_query").alias("toks"))
     alt0 = q.select("query_id", F.lit(0).alias("alt"), "toks",
                     F.explode(F.array_distinct("toks")).alias("term"))
-    alt1 = q.select("query_id", F.lit(1).alias("alt"), "toks",
-                    F.explode(F.array_distinct(F.slice("toks", 1, ALT1_TOKENS))).alias("term"))
-    per_token = alt0.unionByName(alt1).select(
+    per_token = alt0.select(
         "query_id", "alt", (F.array_position("toks", F.col("term")) - 1).cast("int").alias("group_id"),
         "term")
+    alt1 = alt0.select("query_id", F.lit(1).alias("alt"),
+                       F.when(F.length("term") >= ALT1_MIN_LEN, 0).otherwise(1).alias("group_id"), "term")
     alt2 = q.select("query_id", F.lit(2).alias("alt"), F.lit(0).alias("group_id"),
                     F.explode(F.array_distinct("toks")).alias("term"))
-    return per_token.unionByName(alt2).select(
+    return per_token.unionByName(alt1).unionByName(alt2).select(
         "query_id", F.col("alt").cast("int"), F.col("group_id").cast("int"), "term")
 
 
@@ -115,7 +130,7 @@ def articles_from_documents(documents: DataFrame, defects: bool = False) -> Data
 
     A decoy first contributor and pub-date exercise "last wins"; doc_id % 11
     = 0 has a last contributor without given names (they then come from the
-    decoy); doc_id % 10 = 0 keeps its text in ``abstract/sec/p`` (not an
+    decoy); the extra papers keep their text in ``abstract/sec/p`` (not an
     abstract paragraph); doc_id % 9 = 0 has no keywords; doc_id % 7 = 0 no
     doi; every article has an id of an unknown type. With ``defects`` the
     articles with doc_id % 13 = 0 are broken: an undefined entity in the title
@@ -124,19 +139,16 @@ def articles_from_documents(documents: DataFrame, defects: bool = False) -> Data
     from litsearch.sources.xml import element, optional, xml_escape
 
     d = F.col("doc_id")
-    toks = tokens("text")
-    title = F.array_join(F.slice(toks, 1, TITLE_TOKENS), " ")
+    title = title_of("text")
     if defects:
         title = F.when(d % 26 == 0, F.concat(title, F.lit(" &nbsp;"))).otherwise(xml_escape(title))
     else:
         title = xml_escape(title)
     paras = F.array_join(F.transform(F.split("text", "\n", -1),
                                      lambda p: element("p", xml_escape(p))), "")
-    abstract = F.when(d % 10 == 0, element("abstract", element("sec", paras))) \
+    abstract = F.when(F.col("extra"), element("abstract", element("sec", paras))) \
         .otherwise(element("abstract", paras))
-    long_tokens = F.filter(toks, lambda t: F.length(t) >= KEYWORD_MIN_LEN)
-    kwds = F.array_join(F.transform(F.slice(long_tokens, 1, KEYWORDS_PER_PAPER),
-                                    lambda k: element("kwd", xml_escape(k))), "")
+    kwds = F.array_join(F.transform(keywords_of("text"), lambda k: element("kwd", xml_escape(k))), "")
     kwd_group = optional(d % 9 != 0, element("kwd-group", kwds))
     pmc = F.when(d % 2 == 0, F.concat(F.lit("PMC"), d.cast("string"))).otherwise(d.cast("string"))
     ids = F.concat(
@@ -163,4 +175,4 @@ def articles_from_documents(documents: DataFrame, defects: bool = False) -> Data
         F.lit('<article article-type="research-article"><front>'),
         element("journal-meta", element("journal-id", F.lit("J"))), meta, front_end,
         F.lit("<body><sec><p>Full text is not part of the record.</p></sec></body></article>"))
-    return documents.select(article.alias("article_xml"))
+    return with_extra_papers(documents).select(article.alias("article_xml"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litsearch.functions.paper import effective_amount, effective_threshold
@@ -14,9 +14,23 @@ def read_requests_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST_BODY).json(path)
 
 
+def with_ids(requests: DataFrame) -> DataFrame:
+    """Give a ``query_id`` to requests that come without one.
+
+    The id is a hash of the content plus a number among equal requests, so it
+    is the same whenever the frame is computed again.
+    """
+    content = F.hex(F.xxhash64("query", "amount", "threshold", "remote_addr"))
+    number = F.row_number().over(Window.partitionBy("query", "amount", "threshold", "remote_addr")
+                                 .orderBy(F.lit(0)))
+    lacking = requests.where(F.col("query_id").isNull()).withColumn(
+        "query_id", F.concat(F.lit("r"), content, F.lit("-"), number.cast("string")))
+    return requests.where(F.col("query_id").isNotNull()).unionByName(lacking)
+
+
 def requests_to_queries(requests: DataFrame) -> DataFrame:
-    """Body columns renamed to the ``queries`` layout (values unchanged)."""
-    return requests.select(
+    """Body columns renamed to the ``queries`` layout; missing ids are assigned."""
+    return with_ids(requests).select(
         F.col("query_id"), F.col("query").alias("user_query"),
         F.coalesce(F.col("remote_addr"), F.lit("")).alias("remote_addr"),
         F.col("amount").cast("int").alias("amount"),
@@ -37,16 +51,21 @@ def validate_requests(queries: DataFrame) -> DataFrame:
     """adds ``status`` (accepted / rejected) and ``reason``.
 
     The question is required and at least one character long. A negative
-    amount is rejected too (the reference would fail on it later).
+    amount is rejected too (it would fail later), and so are all but one of
+    the requests that bring the same id.
     """
     q = F.col("user_query")
+    content = F.xxhash64(*[c for c in queries.columns if c != "query_id"])
+    queries = queries.withColumn("_nth", F.row_number().over(
+        Window.partitionBy("query_id").orderBy(content)))
     reason = (F.when(q.isNull(), F.lit("query is required"))
               .when(F.length(q) < 1, F.lit("query is empty"))
               .when(F.coalesce(F.col("amount"), F.lit(0)) < 0, F.lit("amount is negative"))
+              .when(F.col("_nth") > 1, F.lit("query_id is taken"))
               .otherwise(F.lit("")))
     return (queries.withColumn("reason", reason)
             .withColumn("status", F.when(F.col("reason") == "", F.lit("accepted"))
-                        .otherwise(F.lit("rejected"))))
+                        .otherwise(F.lit("rejected"))).drop("_nth"))
 
 
 def accepted(queries: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ of failing the job (S3).
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -58,6 +59,10 @@ DECODED = T.StructType([
 ])
 
 
+PREFIX = re.compile(r"(?:</?|\s)([A-Za-z_][\w.-]*):[A-Za-z_]")
+DECLARED = re.compile(r"xmlns:([A-Za-z_][\w.-]*)\s*=")
+
+
 def _own_text(e: ET.Element) -> str:
     return (e.text or "") + "".join(c.tail or "" for c in e)
 
@@ -90,10 +95,19 @@ def _failed(kind: str) -> dict:
     return row
 
 
+def with_prefixes(record: str) -> str:
+    """Declare the name-space prefixes that a record uses but its former root declared."""
+    unknown = sorted(set(PREFIX.findall(record)) - {"xml", "xmlns"} - set(DECLARED.findall(record)))
+    if not unknown:
+        return record
+    names = "".join(f' xmlns:{p}="{p}"' for p in unknown)
+    return re.sub(r"^(\s*<[^\s/>]+)", lambda m: m[1] + names, record, count=1)
+
+
 def decode_article(record: str) -> dict:
     """Decode one ``<article>`` element into the raw fields (rules above)."""
     try:
-        root = ET.fromstring(record)
+        root = ET.fromstring(with_prefixes(record))
     except ET.ParseError as exc:
         return _failed(error_kind(str(exc)))
     _local_names(root)
@@ -117,6 +131,10 @@ def decode_articles(records: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in DECODED.fields])
 
 
+# a filter on the result must not make the optimizer decode a second time
+decode_articles = decode_articles.asNondeterministic()
+
+
 def read_article_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``<article>`` record of the files under ``path``."""
     raw = spark.read.option("lineSep", RECORD_END).text(path)
