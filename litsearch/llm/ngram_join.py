@@ -43,9 +43,10 @@ from litsearch.llm.components import components
 from litsearch.llm.shingles import Shingler, keys_of, links_between, segments_of, subset_count, uses_segments
 
 LEAST_BOUNDARY, MOST_BOUNDARY = 9, 40
+MOST_KEYS = 600  # of one small set: a batch of texts holds them all in memory
 BLOCK_TOKENS = 1_500_000
 SCAN_COST = 4.0  # of a set met by chance in a list, against writing one key
-CHANCE = 1 / 8  # that a set of about the same size has a given element too
+CHANCE = 1 / 64  # that a set of about the same size has a given element too
 
 
 def choose_boundary(sizes: dict[int, int], percent: int) -> int:
@@ -53,6 +54,8 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     best, least, total = LEAST_BOUNDARY, 0.0, 0.0
     everyone = sum(sizes.values())
     for n in range(LEAST_BOUNDARY + 1, MOST_BOUNDARY + 1):
+        if max(subset_count(n, n, percent), subset_count(n * 100 // percent, n, percent)) > MOST_KEYS:
+            break
         count = segments_of(max(n + 1, math.ceil(n * 1.5)), percent)[0]
         met = everyone * CHANCE ** (n / count)
         if not uses_segments(percent):
