@@ -10,9 +10,11 @@ the Spark plans.
 
 from __future__ import annotations
 
+import re
+
 from litsearch.operators.lexical import BM25_B, BM25_K1, SCORE_DIGITS
 from litsearch.schemas import (CANDIDATE_FACTOR, DEFAULT_AMOUNT, DEFAULT_THRESHOLD, INDEX_HITS,
-                               MAX_INDEX_TOKENS, TOP_KEYWORDS, URL_PREFIX)
+                               MAX_INDEX_TOKENS, MAX_REFINEMENTS, TOP_KEYWORDS, URL_PREFIX)
 from litsearch.sources import fixtures as FX
 
 PAT = r"'[\p{L}\p{N}]+'"
@@ -417,6 +419,133 @@ UNION ALL
 SELECT query_id, 1 AS round, CAST(hit_rank AS INTEGER) AS hit_rank, pmc_id, search_score FROM passing1"""
 
 
+def _rendered() -> str:
+    """Boolean search string of every (question, alternative)."""
+    return """
+rgroup AS (
+  SELECT query_id, alt, group_id, string_agg('"' || term || '"', ' or ' ORDER BY '"' || term || '"') AS g
+  FROM query_terms GROUP BY query_id, alt, group_id),
+rendered AS (
+  SELECT query_id, alt, string_agg('(' || g || ')', ' and ' ORDER BY group_id) AS query_text
+  FROM rgroup GROUP BY query_id, alt)"""
+
+
+def _materialized(cte: str) -> str:
+    """Have every statement of a list of CTEs computed once (``name AS (`` at a line's start)."""
+    return re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", cte.strip("\n"))
+
+
+def _loop_round(r: int) -> list[str]:
+    """One round of the loop: reads act{r}, t{r} and the rounds before; leaves pas{r}, out{r}, act{r + 1}, t{r + 1}."""
+    so_far = " UNION ALL ".join(f"SELECT query_id, pmc_id FROM c{k}" for k in range(r + 1))
+    rows = " UNION ALL ".join(f"SELECT query_id, keywords, search_score FROM pas{k}" for k in range(r + 1))
+    return [
+        match_cte(f"m{r}", f"SELECT query_id, group_id, term FROM t{r}"), topk_cte(f"c{r}", f"m{r}"), f"""
+ok{r} AS (SELECT DISTINCT c.query_id FROM c{r} c JOIN papers_s ps USING (pmc_id) WHERE ps.abstract <> ''),
+idx{r} AS (SELECT DISTINCT query_id, pmc_id FROM ({so_far}) WHERE query_id IN (SELECT query_id FROM ok{r}))""",
+        own_hits_cte(f"h{r}", f"idx{r}"), f"""
+sl{r} AS (
+  SELECT c.query_id, c.pmc_id, ps.keywords, h.hit_rank, coalesce(h.search_score, CAST(0 AS FLOAT)) AS search_score
+  FROM c{r} c JOIN papers_s ps USING (pmc_id)
+  LEFT JOIN h{r} h ON h.query_id = c.query_id AND h.pmc_id = c.pmc_id
+  WHERE c.query_id IN (SELECT query_id FROM ok{r})),
+pas{r} AS (
+  SELECT s.* FROM sl{r} s JOIN params p USING (query_id)
+  WHERE s.hit_rank IS NOT NULL AND s.search_score > p.threshold),
+acc{r} AS ({rows}),
+cnt{r} AS (
+  SELECT o.query_id, count(a.query_id) AS n_results FROM ok{r} o LEFT JOIN acc{r} a USING (query_id) GROUP BY o.query_id),
+src{r} AS (
+  SELECT a.query_id, a.keywords, a.search_score FROM acc{r} a
+  JOIN cnt{r} c USING (query_id) JOIN params p USING (query_id) WHERE p.amount > c.n_results AND c.n_results > 0
+  UNION ALL
+  SELECT s.query_id, s.keywords, s.search_score FROM sl{r} s
+  JOIN cnt{r} c USING (query_id) JOIN params p USING (query_id) WHERE p.amount > c.n_results AND c.n_results = 0),
+kw{r} AS (
+  SELECT query_id, keyword, sum(CAST(search_score AS DOUBLE)) AS weight
+  FROM (SELECT query_id, search_score, unnest(keywords) AS keyword FROM src{r}) GROUP BY query_id, keyword),
+fb{r} AS (
+  SELECT query_id, string_agg(keyword, ' ' ORDER BY kw_rank) AS next_query FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, keyword) AS kw_rank FROM kw{r})
+  WHERE kw_rank <= {TOP_KEYWORDS} GROUP BY query_id),
+out{r} AS (
+  SELECT c.query_id, CASE WHEN p.amount <= c.n_results THEN 'enough' WHEN f.next_query IS NOT NULL THEN 'feedback'
+           ELSE 'no_keywords' END AS status,
+         CASE WHEN p.amount > c.n_results THEN f.next_query END AS next_query, a.next_alt,
+         CAST(c.n_results AS BIGINT) AS n_results
+  FROM cnt{r} c JOIN params p USING (query_id) JOIN act{r} a USING (query_id) LEFT JOIN fb{r} f USING (query_id)
+  UNION ALL
+  SELECT a.query_id, CASE WHEN r.query_id IS NOT NULL THEN 'requery' ELSE 'exhausted' END, NULL, a.next_alt, CAST(0 AS BIGINT)
+  FROM act{r} a LEFT JOIN rendered r ON r.query_id = a.query_id AND r.alt = a.next_alt
+  WHERE a.query_id NOT IN (SELECT query_id FROM ok{r})),
+act{r + 1} AS (
+  SELECT o.query_id, CASE WHEN o.status = 'requery' THEN o.next_alt + 1 ELSE o.next_alt END AS next_alt,
+         CASE WHEN o.status = 'feedback' THEN o.next_query ELSE coalesce(r.query_text, '') END AS query_text,
+         o.status AS kind
+  FROM out{r} o LEFT JOIN rendered r ON r.query_id = o.query_id AND r.alt = o.next_alt
+  WHERE o.status IN ('feedback', 'requery')),
+t{r + 1} AS (
+  SELECT query_id, CAST(list_position(tk, t) - 1 AS INTEGER) AS group_id, t AS term
+  FROM (SELECT query_id, tk, unnest(list_distinct(tk)) AS t
+        FROM (SELECT query_id, {tok('query_text')} AS tk FROM act{r + 1} WHERE kind = 'feedback'))
+  UNION ALL
+  SELECT q.query_id, q.group_id, q.term FROM query_terms q
+  JOIN act{r + 1} a ON a.query_id = q.query_id AND a.next_alt = q.alt + 1 WHERE a.kind = 'requery')"""]
+
+
+def _loop(rounds: int = MAX_REFINEMENTS + 1) -> str:
+    """The whole loop, unrolled."""
+    start = """
+act0 AS (
+  SELECT p.query_id, 1 AS next_alt, coalesce(r.query_text, '') AS query_text, 'initial' AS kind
+  FROM params p LEFT JOIN rendered r ON r.query_id = p.query_id AND r.alt = 0),
+t0 AS (SELECT query_id, group_id, term FROM query_terms WHERE alt = 0)"""
+    parts = [PAPERS, QUERIES, LEXICAL, _rendered(), start]
+    for r in range(rounds):
+        parts += _loop_round(r)
+    found = " UNION ALL ".join(f"SELECT {r} AS round, * FROM pas{r}" for r in range(rounds))
+    asked = " UNION ALL ".join(f"SELECT {r} AS round, * FROM act{r}" for r in range(rounds))
+    ended = " UNION ALL ".join(f"SELECT {r} AS round, * FROM out{r}" for r in range(rounds))
+    parts.append(f"""
+found AS ({found}),
+asked AS ({asked}),
+ended AS ({ended})""")
+    return "WITH " + ",\n".join(_materialized(p) for p in parts)
+
+
+def sql_search_rounds() -> str:
+    return _loop() + """
+SELECT query_id, round, CAST(hit_rank AS INTEGER) AS hit_rank, pmc_id, search_score FROM found"""
+
+
+def sql_search_iterative() -> str:
+    return _loop() + """,
+n AS (SELECT query_id, count(*) AS n_found FROM found GROUP BY query_id),
+ranked AS (
+  SELECT f.*, p.amount, n.n_found, row_number() OVER (PARTITION BY f.query_id ORDER BY
+    CASE WHEN p.amount > n.n_found THEN CAST(0 AS DOUBLE) ELSE -CAST(f.search_score AS DOUBLE) END,
+    f.round, f.hit_rank, f.pmc_id) AS rk
+  FROM found f JOIN params p USING (query_id) JOIN n USING (query_id))
+SELECT query_id, CAST(rk AS INTEGER) AS rk, pmc_id, search_score,
+       CAST(least(amount, n_found) AS INTEGER) AS paper_count, round, CAST(hit_rank AS INTEGER) AS hit_rank
+FROM ranked WHERE amount > n_found OR rk <= amount"""
+
+
+def sql_query_log() -> str:
+    return _loop() + "\nSELECT query_id, round, query_text, kind FROM asked"
+
+
+def sql_requery_alternatives() -> str:
+    return _loop() + "\nSELECT query_id, round, query_text FROM asked WHERE kind = 'requery'"
+
+
+def sql_search_ends() -> str:
+    return _loop() + """
+SELECT query_id, round, n_results,
+       CASE WHEN status IN ('feedback', 'requery') THEN 'bound' ELSE status END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round DESC) AS nth FROM ended) WHERE nth = 1"""
+
+
 def sql_search_repeated_ids() -> str:
     """BM25 candidates by paper; per question and (shared) id the last one by
     rank stands; ties in BM25 go by the shared id and the pm id."""
@@ -573,6 +702,12 @@ def oracle_sql() -> dict[str, str]:
         "stop_condition": sql_stop_condition(),
         "search_one_round": sql_search_one_round(),
         "search_two_rounds": sql_search_two_rounds(),
+        "search_rounds": sql_search_rounds(),
+        "search_iterative": sql_search_iterative(),
+        "query_log": sql_query_log(),
+        "requery_alternatives": sql_requery_alternatives(),
+        "search_ends": sql_search_ends(),
+        "stream_search": sql_search_iterative(),
         "search_repeated_ids": sql_search_repeated_ids(),
         "index_rows": sql_index_rows(),
         "index_upsert": sql_index_upsert(),

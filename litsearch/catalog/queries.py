@@ -437,6 +437,11 @@ def q_query_log(spark, sf_dir):
     return run_search(spark, sf_dir).attempts.select("query_id", "round", "query_text", "kind")
 
 
+def q_search_ends(spark, sf_dir):
+    """Why every question ended, and in which round."""
+    return run_search(spark, sf_dir).ends.select("query_id", "round", "n_results", "status")
+
+
 def q_requery_alternatives(spark, sf_dir):
     a = run_search(spark, sf_dir).attempts
     return a.where(F.col("kind") == "requery").select("query_id", "round", "query_text")
@@ -557,6 +562,7 @@ def registry() -> dict:
         "search_repeated_ids": q_search_repeated_ids,
         "search_iterative": q_search_iterative,
         "query_log": q_query_log,
+        "search_ends": q_search_ends,
         "requery_alternatives": q_requery_alternatives,
         "result_document": q_result_document,
         "stream_search": q_stream_search,

@@ -75,6 +75,7 @@ class SearchOutput:
     rounds_run: int = 0
     active_per_round: list = field(default_factory=list)
     outcomes: DataFrame | None = None   # per round and question: status, next string
+    ends: DataFrame | None = None       # per question: last round and why it ended there
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -263,7 +264,8 @@ def round_scores(round_no: int, active: DataFrame, cands: DataFrame,
     scored = scored.select("query_id", "pmc_id", "pk", "rk", "keywords",
                            F.col("hit_rank").cast("int").alias("hit_rank"),
                            F.col("search_score").cast("float").alias("search_score"),
-                           "passing", F.lit(round_no).cast("int").alias("round"))
+                           "passing", F.lit(round_no).cast("int").alias("round"),
+                           "indexable", "abs_sq", "qa")
     return scored, new_index, empty
 
 
@@ -348,8 +350,11 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
                                            "query_text", "kind"))
         cands = materialize(round_candidates(active, terms, corpus, cfg, max(max_amount, 1)),
                             f"cands-r{round_no}")
-        scored, new_index, empty = round_scores(round_no, active, cands, index_acc, cfg)
+        scored, _, empty = round_scores(round_no, active, cands, index_acc, cfg)
         scored = materialize(scored, f"scored-r{round_no}")
+        # from the stored rows, so that later rounds do not plan this one again
+        new_index = (scored.where(F.col("indexable"))
+                     .select("query_id", "pmc_id", "abs_sq", "qa", "round"))
         new_rows = scored.where(F.col("passing")).select(*ROW_COLUMNS)
         rows_acc = new_rows if rows_acc is None else rows_acc.unionByName(new_rows)
         rows_view = first_per_paper(rows_acc) if cfg.distinct_papers else rows_acc
@@ -397,4 +402,15 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
     for part in outcome_parts:
         outcomes = part if outcomes is None else outcomes.unionByName(part)
     return SearchOutput(rows.select(*RESULT_COLUMNS), attempts, ranked, q, rounds_run,
-                        active_counts, outcomes)
+                        active_counts, outcomes, end_status(outcomes))
+
+
+def end_status(outcomes: DataFrame | None) -> DataFrame | None:
+    """Per question its last round and status; ``bound`` where only the round bound stopped it."""
+    if outcomes is None:
+        return None
+    last = outcomes.groupBy("query_id").agg(F.max("round").alias("round"))
+    return outcomes.join(last, ["query_id", "round"]).select(
+        "query_id", "round", "n_results",
+        F.when(F.col("status").isin("feedback", "requery"), F.lit("bound")).otherwise(F.col("status"))
+        .alias("status"))
