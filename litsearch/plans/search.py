@@ -110,6 +110,8 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
         papers = materialize(papers, "papers")
     base = papers.withColumnRenamed("pmc_id", "real_id").withColumnRenamed("pk", "pmc_id")
     postings = postings_from_fields(base, fields)
+    if persist:  # counts first: both uses below read them, not the text
+        postings = materialize(postings, "counts")
     doc_freq = postings.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     postings = (postings.join(doc_freq, "term", "left")
                 .withColumn("tb", term_bucket("term", buckets)))
@@ -161,7 +163,9 @@ def postings_from_fields(papers: DataFrame, fields=DEFAULT_FIELDS) -> DataFrame:
     arrays = arrays.select("pmc_id", *[F.size(f"_t{i}").alias(f"_n{i}") for i in range(len(names))],
                            F.concat(*[F.col(f"_t{i}") for i in range(len(names))]).alias("_all"))
     exploded = arrays.select("pmc_id", *[f"_n{i}" for i in range(len(names))],
-                             F.posexplode("_all").alias("pos", "term"))
+                             F.posexplode_outer("_all").alias("pos", "term"))
+    # "outer", as the filter that Spark adds before a plain explode runs the tokenizer again
+    exploded = exploded.where(F.col("term").isNotNull())
     pos = F.col("pos")
     start = F.lit(0)
     in_lex, in_abs, doc_len = F.lit(False), F.lit(False), F.lit(0)
