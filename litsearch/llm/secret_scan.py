@@ -5,14 +5,14 @@ hexadecimal runs. Beyond them, any run of key characters is judged by two
 first-order character models: one of random strings, one of ordinary
 identifiers. The sum of log-likelihood ratios over its character pairs decides.
 
-The models are trained from samples that the data label themselves: the values
+The models are trained from strings that the data label themselves: the values
 that the fixed patterns find are random strings, long runs of letters outside
 of them are ordinary identifiers. The random model starts from a uniform prior
-of ``PRIOR`` counts per pair, so that alphabets unseen in the sample count as
-random too. The sample is bounded: about ``SAMPLE_DOCS`` documents, chosen by a
-hash of the id; what reaches the driver is one count per pair of characters.
+of ``PRIOR`` counts per pair, so that alphabets unseen in the data count as
+random too. All documents are counted; what reaches the driver is one count per
+pair of characters.
 
-All work is in column expressions on the row: no shuffle, no Python.
+The scan is in column expressions on the row: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = "[A-Za-z_]{8,}"
-SAMPLE_DOCS, PRIOR, IDENTIFIER_PRIOR = 20_000, 20.0, 0.5
+PRIOR, IDENTIFIER_PRIOR = 20.0, 0.5
 THRESHOLD = 12.0  # nats by which random must be likelier
 
 _SPAN = "struct<start:int,end:int,value:string>"
@@ -90,11 +90,9 @@ def log_ratios(random: dict[str, int], ordinary: dict[str, int]) -> list[int]:
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[int]:
-    """Both models from a bounded sample of ``docs``, as one table of log ratios."""
+def train(docs: DataFrame) -> list[int]:
+    """Both models from the pairs of all ``docs``, as one table of log ratios."""
     rows = narrow(docs)
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    sample = rows.where((F.xxhash64(F.lit(5), "doc_id") / F.lit(2.0 ** 63) + 1) / 2 <= F.lit(share))
     text = F.col("text")
     kinds = base_spans(text)
     values = F.concat(F.transform(kinds["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 2)),
@@ -102,7 +100,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[int]:
                       F.transform(kinds["hex"], lambda s: s["value"]))
     ordinary = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "),
                                     F.lit(IDENTIFIER), F.lit(0))
-    return log_ratios(pair_counts(values, sample), pair_counts(ordinary, sample))
+    return log_ratios(pair_counts(values, rows), pair_counts(ordinary, rows))
 
 
 def log_likelihood_ratio(value: Column, ratios: list[int]) -> Column:

@@ -84,3 +84,10 @@ def test_models_leave_fixed_spans_alone(spark, text, want):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     always = [10000] * len(S.ALPHABET) ** 2
     assert [r.spans for r in S.digest(S.scan(docs, always)).collect()] == [want]
+
+
+def test_pairs_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(S, "log_ratios", lambda values, ordinary: (values, ordinary))
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "'token=abcdefghijklmn1 firstname' AS text")
+    values, ordinary = S.train(docs)
+    assert values["ab"] == values["n1"] == ordinary["fi"] == 30_000
