@@ -15,7 +15,7 @@ from litsearch.operators.ranking import rank_results
 from litsearch.operators.similarity import (cosine, similarity_corpus, sum_of_squares,
                                             with_abstract_stats)
 from litsearch.plans.results import result_documents, result_rows
-from litsearch.sources.requests import validate_requests
+from litsearch.sources.requests import validate_requests, with_ids
 
 
 def test_threshold_equal_to_score_is_rejected(spark):
@@ -190,6 +190,24 @@ def test_validate_requests(spark):
     assert out["2"][0] == out["3"][0] == out["4"][0] == "rejected"
 
 
+def test_validate_requests_without_and_with_the_same_id(spark):
+    rows = [(None, "a", 1), (None, "b", 1), (None, "b", 1), ("x", "c", 1), ("x", "d", 1), ("x", "c", 1)]
+    checked = validate_requests(spark.createDataFrame(rows, "query_id string, user_query string, amount int"))
+    got = sorted((r.query_id or "", r.reason) for r in checked.collect())
+    assert got == [("", "")] * 3 + [("x", ""), ("x", "query_id is taken"), ("x", "query_id is taken")]
+    assert checked.columns == ["query_id", "user_query", "amount", "reason", "status"]
+    assert "Window" not in checked._jdf.queryExecution().toString()
+
+
+def test_ids_of_equal_requests(spark):
+    rows = [(None, "a", 1, 0.5, "h")] * 5 + [("own", "a", 1, 0.5, "h")]
+    given = with_ids(spark.createDataFrame(
+        rows, "query_id string, query string, amount int, threshold float, remote_addr string").repartition(3))
+    ids = sorted(r.query_id for r in given.collect())
+    assert len(set(ids)) == 6 and "own" in ids and ids == sorted(r.query_id for r in given.collect())
+    assert "Window" not in given._jdf.queryExecution().toString()
+
+
 def test_latest_per_object(spark):
     log = spark.createDataFrame([("a", "v1", 1), ("a", "v2", 2), ("b", "v1", 1)],
                                 "object_id string, data string, version int")
