@@ -44,6 +44,13 @@ def fold_of(doc_id, folds: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string, bit by bit."""
+    bits = (f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))")
+    step = "CASE WHEN xor(r, b) & 1 = 1 THEN xor(xor(r, b) >> 1, 3988292384) ELSE xor(r, b) >> 1 END"
+    return f"xor(list_reduce({bits}, lambda r, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 def hash_sample(df: DataFrame, limit: int, by: list[str], key: str = "doc_id", seed: int = 17) -> DataFrame:
     """At most about ``limit`` rows of each group of ``by``, chosen by a hash of ``key``.
 

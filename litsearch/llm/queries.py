@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsearch.llm.common import fold_of, load
+from litsearch.llm.conversation_repair import conversation_sql
+from litsearch.llm.embedding_join import ORACLE_SQL as EMBEDDING_SQL
+from litsearch.llm.merkle import manifest_sql
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.merkle import manifest
+    return manifest(load(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.conversation_repair import damaged, repair
+    return repair(damaged(load(spark, sf_dir, "conversations"))).drop("widest")
+
+
+def op13_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litsearch.llm.embedding_join import near_groups
+    return near_groups(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -81,6 +100,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_join": op13_embedding_join,
 }
 
 ORACLE_SQL = {
@@ -88,4 +110,7 @@ ORACLE_SQL = {
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_merkle_manifest": manifest_sql(),
+    "op12_conversation_repair": conversation_sql(),
+    "op13_embedding_join": EMBEDDING_SQL,
 }
