@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litsearch.llm.common import stored
 from litsearch.llm.components import components
@@ -45,15 +46,18 @@ STEP = 1024              # rows of a tile that are multiplied at once
 SLACK = 1e-9             # on angles, for rounding in double precision
 
 
-def unit_rows(blobs) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of equal or unequal lengths as unit rows, padded with zeros, and their lengths."""
-    sizes = np.fromiter((len(b) >> 3 for b in blobs), dtype=np.int64, count=len(blobs))
+def unit_rows(blobs, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of equal or unequal lengths as unit rows in double precision, padded with zeros, and their lengths.
+
+    ``kind``: the numpy type of the packed numbers, that of the table's column.
+    """
+    sizes = np.fromiter((len(b) // np.dtype(kind).itemsize for b in blobs), dtype=np.int64, count=len(blobs))
     out = np.zeros((len(blobs), int(sizes.max(initial=1))))
     if len(blobs) and (sizes == sizes[0]).all():
-        out[:] = np.frombuffer(b"".join(blobs), dtype="<f8").reshape(len(blobs), -1)
+        out[:] = np.frombuffer(b"".join(blobs), dtype=kind).reshape(len(blobs), -1)
     else:
         for row, blob in enumerate(blobs):
-            out[row, :sizes[row]] = np.frombuffer(blob, dtype="<f8")
+            out[row, :sizes[row]] = np.frombuffer(blob, dtype=kind)
     out /= np.abs(out).max(axis=1, keepdims=True, initial=1e-300)  # so that squares neither overflow nor vanish
     out /= np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
     return out, sizes
@@ -115,10 +119,10 @@ def block_star(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return np.stack([own, own[label]], axis=1)
 
 
-def tile_links(key: tuple, pair: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def tile_links(key: tuple, pair: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
     """node, root, links: the linked vectors of two tiles (or of one tile with itself)."""
     pair = pair.sort_values("node", ignore_index=True)
-    unit, sizes = unit_rows(pair["vec"].tolist())
+    unit, sizes = unit_rows(pair["vec"].tolist(), kind)
     codes, scale, error = quantised(unit)
     low, high = key
     left = np.nonzero(pair["tile"].to_numpy() == low)[0]
@@ -144,37 +148,42 @@ def tile_links(key: tuple, pair: pd.DataFrame, threshold: float) -> pd.DataFrame
     return pd.DataFrame({"node": node[found], "root": node[label[found]], "links": links[found]})
 
 
-def packed(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """node (a number for every row), vec_id, vec (doubles, little-endian; null where the vector links with nothing)."""
+def packed(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple:
+    """(node, vec_id) of all rows, (node, vec) of those that can link, and the type of the numbers in ``vec``.
+
+    ``node`` numbers the rows; ``vec`` holds single precision if the column does, else doubles.
+    """
+    single = isinstance(embeddings.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"
     element = lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    values = F.col(vector_col).cast("array<double>")
+    values = F.col(vector_col).cast("array<float>" if single else "array<double>")
     usable = (F.size(values) > 0) & ~F.exists(values, lambda x: x.isNull()) & F.exists(values, lambda x: x != 0)
     usable = usable & ~F.exists(values, element)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vec = [None if v is None else np.asarray(v, dtype="<f8").tobytes() for v in batch["values"]]
+            vec = [None if v is None else np.asarray(v, dtype=kind).tobytes() for v in batch["values"]]
             yield pd.DataFrame({"node": batch["node"], "vec": pd.Series(vec, dtype=object)})
 
     rows = stored(embeddings.select(F.col(id_col).alias("vec_id"), F.when(usable, values).alias("values"))
                   .withColumn("node", F.monotonically_increasing_id()), "vectors")
     return rows.select("node", "vec_id"), rows.where("values is not null").select("node", "values").mapInPandas(
-        pack, "node long, vec binary")
+        pack, "node long, vec binary"), kind
 
 
-def located(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def located(vectors: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
     """``vectors`` with the nearest pivot (``cell``) and the angle to it."""
     def run(batches):
         for batch in batches:
             if len(batch):
-                angles = pivot_angles(batch["vec"].tolist(), pivots)
+                angles = pivot_angles(batch["vec"].tolist(), pivots, kind)
                 cell = angles.argmin(axis=1)
                 yield batch.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(batch)), cell])
     return vectors.mapInPandas(run, "node long, vec binary, cell int, angle double")
 
 
-def pivot_angles(blobs, pivots: np.ndarray) -> np.ndarray:
-    unit, _ = unit_rows(blobs)
+def pivot_angles(blobs, pivots: np.ndarray, kind: str) -> np.ndarray:
+    unit, _ = unit_rows(blobs, kind)
     width = max(unit.shape[1], pivots.shape[1])
     unit = np.pad(unit, ((0, 0), (0, width - unit.shape[1])))
     near = np.clip(unit @ np.pad(pivots, ((0, 0), (0, width - pivots.shape[1]))).T, -1, 1)
@@ -182,7 +191,7 @@ def pivot_angles(blobs, pivots: np.ndarray) -> np.ndarray:
 
 
 def meetings(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, tiles: np.ndarray,
-             threshold: float) -> DataFrame:
+             threshold: float, kind: str) -> DataFrame:
     """low, high, tile, node, vec: every row once for each pair of tiles in which it may link."""
     reach = math.acos(threshold) + SLACK + 1e-6  # arccos loses digits near one
     first = np.concatenate([[0], np.cumsum(tiles)[:-1]])
@@ -191,7 +200,7 @@ def meetings(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, tiles: np.
         for batch in batches:
             if not len(batch):
                 continue
-            angles = pivot_angles(batch["vec"].tolist(), pivots)
+            angles = pivot_angles(batch["vec"].tolist(), pivots, kind)
             cell = batch["cell"].to_numpy()
             meets = (angles <= radius[None, :] + reach) & (angles <= batch["angle"].to_numpy()[:, None] + 2 * reach)
             meets[np.arange(len(batch)), cell] = True
@@ -209,36 +218,36 @@ def meetings(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, tiles: np.
                       "tile", "node", "vec")
 
 
-def near_links(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS,
+def near_links(vectors: DataFrame, kind: str, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS,
                pivots: int = PIVOTS) -> DataFrame:
     """node, root, links for the linked vectors of every pair of tiles; ``vectors``: node, vec."""
     spark = vectors.sparkSession
     size = vectors.agg(F.count("*"), F.max(F.length("vec"))).first()
-    count, longest = size[0], (size[1] or 8) // 8
+    count, longest = size[0], max(1, (size[1] or 0) // np.dtype(kind).itemsize)
     tile_rows = max(1, min(tile_rows, TILE_VALUES // longest))
     wanted = max(1, min(pivots, TILE_VALUES // longest, -(-count // tile_rows)))
     sample = vectors.orderBy(F.xxhash64("node")).limit(wanted).select("vec").collect()  # at most 16 MB
     if not sample:
         return spark.createDataFrame([], "node long, root long, links long")
-    pivot, _ = unit_rows([bytes(r.vec) for r in sample])
-    rows = stored(located(vectors, pivot), "cells")
+    pivot, _ = unit_rows([bytes(r.vec) for r in sample], kind)
+    rows = stored(located(vectors, pivot, kind), "cells")
     radius, tiles = np.full(len(pivot), -1e9), np.ones(len(pivot), dtype=np.int64)
     for r in rows.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():
         radius[r.cell], tiles[r.cell] = r.radius, -(-r.n // tile_rows)
-    met = meetings(rows, pivot, radius, tiles, threshold)
+    met = meetings(rows, pivot, radius, tiles, threshold, kind)
     pairs = int(tiles.sum()) * (int(tiles.sum()) + 1) // 2
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(max(least, min(pairs, 100_000)), "low", "high")
     return dealt.groupBy("low", "high").applyInPandas(
-        lambda key, pair: tile_links(key, pair, threshold), "node long, root long, links long")
+        lambda key, pair: tile_links(key, pair, threshold, kind), "node long, root long, links long")
 
 
 def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS,
                 pivots: int = PIVOTS) -> DataFrame:
     """Per row of ``embeddings`` vec_id, n_links, component_id (the least vec_id of its group) and kept."""
-    rows, vectors = packed(embeddings)
+    rows, vectors, kind = packed(embeddings)
     vectors = stored(vectors, "packed-vectors")
-    found = stored(near_links(vectors, threshold, tile_rows, pivots), "tile-links")
+    found = stored(near_links(vectors, kind, threshold, tile_rows, pivots), "tile-links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     members = stored(rows.join(links, "node", "left").join(groups, "node", "left")

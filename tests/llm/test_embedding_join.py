@@ -35,8 +35,8 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def found(spark, rows, **options):
-    frame = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], SCHEMA).repartition(4)
+def found(spark, rows, kind="double", **options):
+    frame = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], SCHEMA.replace("double", kind)).repartition(4)
     return sorted((tuple(r) for r in near_groups(frame, **options).collect()), key=str)
 
 
@@ -58,6 +58,8 @@ def test_against_all_pairs(spark, tile_rows):
     links = [r[1] for r in want]
     assert 0 < min(x for x in links if x) < 20 < len([x for x in links if x == 0])  # groups are no cliques
     assert found(spark, rows, tile_rows=tile_rows) == want
+    single = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert found(spark, single, kind="float", tile_rows=tile_rows) == brute(single)
 
 
 def test_odd_vectors(spark):
@@ -81,7 +83,7 @@ def test_bounds_hold_and_few_pairs_are_recomputed(size):
     rng = np.random.default_rng(size)
     a = rng.normal(size=(300, size))
     b = np.concatenate([a[:150] + rng.normal(size=(150, size)) * rng.uniform(0, 0.5, (150, 1)), rng.normal(size=(100, size))])
-    a, b = (unit_rows([r.astype("<f8").tobytes() for r in x])[0] for x in (a, b))
+    a, b = (unit_rows([r.astype("<f8").tobytes() for r in x], "<f8")[0] for x in (a, b))
     for unit in (a, b):
         codes, scale, error = quantised(unit)
         assert codes.dtype == np.int8 and np.abs(codes).max() <= 127
@@ -98,5 +100,5 @@ def test_far_cells_do_not_meet(spark):
     rows = [(i, (np.eye(4)[i % 4] + 0.01 * i / 40).astype("<f8").tobytes(), i % 4, 0.02) for i in range(40)]
     frame = spark.createDataFrame(pd.DataFrame(rows, columns=["node", "vec", "cell", "angle"]),
                                   "node long, vec binary, cell int, angle double")
-    got = meetings(frame, pivots, np.full(4, 0.05), np.ones(4, dtype=np.int64), 0.95).collect()
+    got = meetings(frame, pivots, np.full(4, 0.05), np.ones(4, dtype=np.int64), 0.95, "<f8").collect()
     assert len(got) == 40 and all(r.low == r.high for r in got)
