@@ -51,10 +51,12 @@ class Round:
         self.corpus = corpus_for(spark, sf_dir)
         self.params = d["params"]
         terms = d["query_terms"].where(F.col("alt") == alt).select("query_id", "group_id", "term")
-        self.matches = LX.match_terms(terms, self.corpus.lexical, match)
-        max_amount = int(self.params.agg(F.max("amount")).first()[0] or 1)
+        most = CANDIDATE_FACTOR * int(self.params.agg(F.max("amount")).first()[0] or 1)
         limits = self.params.select("query_id", (F.col("amount").cast("long") * CANDIDATE_FACTOR).alias("limit"))
-        self.cands = LX.top_candidates(self.matches, limits, CANDIDATE_FACTOR * max_amount)
+        if match == "any":
+            self.cands = LX.ranked_candidates(terms, self.corpus.lexical, limits, most)
+        else:
+            self.cands = LX.top_candidates(LX.match_terms(terms, self.corpus.lexical, match), limits, most)
 
     def candidate_papers(self) -> DataFrame:
         """Candidates with the full paper columns (for index rows)."""
@@ -114,7 +116,7 @@ def _similarity(spark, sf_dir):
     lex = corpus.lexical
     post = lex.postings.where(F.col("tf_abs") > 0).select(
         *(["tb"] if lex.term_buckets else []), "term", "pmc_id", F.col("tf_abs").alias("tf"))
-    return d, SIM.similarity_corpus(d["queries"], idx, postings=post, term_buckets=lex.term_buckets)
+    return d, SIM.similarity_corpus(d["queries"], idx, post, lex.terms.drop("rest"), term_buckets=lex.term_buckets)
 
 
 def q_similarity_tf(spark, sf_dir):

@@ -1,21 +1,31 @@
 """Lexical side: postings, boolean match and ranked candidate retrieval.
 
-S1  candidate retrieval: question terms joined to postings on ``term``,
-    BM25 summed per (question, paper), the best ``2 * amount`` kept.
+S1  candidate retrieval: the best ``2 * amount`` papers by BM25 of the terms
+    that they share with the question (``ranked_candidates``).
 S1b boolean search strings: AND of groups, each an OR of terms. A paper
-    matches when it contains a term of every group (relational division:
-    distinct matched groups = number of groups).
+    matches when it contains a term of every group (``match_terms``).
 T1  relevance order with a literal group limit so Spark plans a partial
     ``WindowGroupLimit`` before the shuffle on ``query_id``.
 
-Scale notes: the postings are aggregated once per corpus (map-side partial
-aggregation removes repeats inside a document before the shuffle) and carry
-``df`` and ``doc_len`` so each round needs a single join. Stored postings are
-partitioned by a term bucket ``tb``; joining on (tb, term) lets run-time
-partition pruning read only the buckets of a round's terms. The per-round
-join has the small question-term side on the build side; AQE turns it into
-a broadcast when its measured size allows, and splits hot ``term``
-partitions (skew join) when it does not.
+What is never done: join every question with every paper that has one of its
+common words.
+
+* AND: only papers of a question's rarest group can match, so candidates are
+  the postings of that group; all other terms are looked up by (term, paper).
+* OR: exact top k by upper bounds. For terms of more than ``CHAMPIONS``
+  papers the index keeps the ``CHAMPIONS`` postings of greatest impact; what any
+  other posting adds is at most the least of them. Champions and the whole lists of
+  rarer terms give candidates, the best of these are scored in full, and the
+  k-th score is a threshold. Whole lists of common terms are only read, cheapest
+  per bound first, until papers outside of what was read cannot reach the threshold;
+  a paper is scored in full only if its own bound reaches it.
+
+Scale notes: stored postings are partitioned by a term bucket ``tb``; joining on
+(tb, term) lets run-time partition pruning read only the buckets of a round's
+terms. The per-term tables are aggregated map-side; the champions' ``row_number``
+is limited before its shuffle too, so a term found in every paper sends
+``CHAMPIONS`` rows a task. AQE broadcasts the question side when its measured
+size allows, and splits hot ``term`` partitions (skew join) when it does not.
 """
 
 from __future__ import annotations
@@ -26,11 +36,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsearch.functions.text import tokens
+from litsearch.session import materialize
 
 # --- fixed BM25 parameters ------------------------------------------------
 BM25_K1 = 1.2
 BM25_B = 0.75
 SCORE_DIGITS = 6     # ranking uses scores rounded to 6 digits, ties by id
+CHAMPIONS = 64       # postings of greatest impact kept apart for each longer list
+SEEDS = 4            # so many times the limit are scored in full for a threshold
+SLACK = 2e-6         # of bounds, for rounding
 # --------------------------------------------------------------------------
 
 DEFAULT_FIELDS = ("article_title", "abstract")
@@ -42,13 +56,17 @@ class LexicalIndex:
 
     ``postings``: term, pmc_id, tf, doc_len, df and optionally ``tf_abs``
     (count in the abstract alone) and ``tb`` (term bucket, the partition
-    column of a stored index).
+    column of a stored index). ``terms``: tb, term, df, rest (the most that a posting
+    beyond the champions has as ``impact``; 0 if there is none). ``champions``: as
+    postings.
     """
 
     postings: DataFrame
     n_docs: int
     avg_len: float
     term_buckets: int = 0    # > 0: postings carry ``tb`` (stored partitioned by it)
+    terms: DataFrame | None = None
+    champions: DataFrame | None = None
 
 
 def term_bucket(term, buckets: int) -> Column:
@@ -81,35 +99,30 @@ def searchable_text(fields=DEFAULT_FIELDS) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
 
 
-def build_postings(papers: DataFrame, fields=DEFAULT_FIELDS) -> DataFrame:
-    """(term, pmc_id, tf, doc_len) for every distinct term of every paper."""
-    docs = papers.select("pmc_id", tokens(searchable_text(fields)).alias("toks"))
-    docs = docs.select("pmc_id", "toks", F.size("toks").alias("doc_len"))
-    docs = docs.select("pmc_id", "doc_len", F.explode("toks").alias("term"))
-    return docs.groupBy("term", "pmc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+def impact(avg_len: float) -> Column:
+    """What a posting adds to BM25 before the term's weight."""
+    tf = F.col("tf").cast("double")
+    norm = F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("doc_len") / F.lit(avg_len if avg_len > 0 else 1.0))
+    return (tf * F.lit(BM25_K1 + 1.0)) / (tf + norm)
 
 
-def build_lexical_index(papers: DataFrame, fields=DEFAULT_FIELDS,
-                        persist: bool = False) -> LexicalIndex:
-    """Postings with document frequency attached, and the corpus scalars.
+def term_weight(n_docs: int) -> Column:
+    return F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+
+
+def champion_postings(postings: DataFrame, avg_len: float, champions: int = CHAMPIONS) -> DataFrame:
+    """The ``champions`` postings of greatest impact of every term that has more."""
+    w = Window.partitionBy("term").orderBy(F.desc("impact"), F.asc("pmc_id"))
+    long_lists = postings.where((F.col("tf") > 0) & (F.col("df") > champions)).withColumn("impact", impact(avg_len))
+    return long_lists.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= champions).drop("_n")
 
-    ``persist=True`` cuts the lineage with a reliable checkpoint into the
-    shared checkpoint folder, so the postings are built once and reused by
-    every round of the search loop.
-    """
-    postings = build_postings(papers, fields)
-    doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    postings = postings.join(doc_freq, "term")
-    if persist:
-        from litsearch.session import cut_lineage
-        postings = cut_lineage(postings)
-    # Two integers read on the driver: number of papers and total length.
-    stats = (papers.select(F.size(tokens(searchable_text(fields))).alias("n"))
-             .agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total")).first())
-    n_docs = int(stats["docs"] or 0)
-    total = int(stats["total"] or 0)
-    avg_len = (total / n_docs) if n_docs else 0.0
-    return LexicalIndex(postings, n_docs, avg_len)
+
+def term_table(postings: DataFrame, champions: DataFrame, buckets: int = 0) -> DataFrame:
+    """term, df, rest (see ``LexicalIndex``) and the bucket ``tb`` if there are any."""
+    df = postings.where(F.col("tf") > 0).groupBy("term").agg(F.max("df").alias("df"))
+    rest = champions.groupBy("term").agg(F.min("impact").alias("rest"))
+    out = df.join(rest, "term", "left").select("term", "df", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    return out.withColumn("tb", term_bucket("term", buckets)) if buckets else out
 
 
 def terms_from_text(df: DataFrame, text_col: str, match: str = "all",
@@ -131,41 +144,142 @@ def terms_from_text(df: DataFrame, text_col: str, match: str = "all",
     return exploded.select(key, gid.alias("group_id"), "term")
 
 
+def question_terms(terms: DataFrame) -> DataFrame:
+    """Distinct (query_id, group_id, term) with ``n_groups`` and ``primary``: a term of several groups scores once."""
+    by_query = Window.partitionBy("query_id")
+    by_term = Window.partitionBy("query_id", "term")
+    return (terms.select("query_id", "group_id", "term").distinct()
+            .withColumn("n_groups", F.size(F.collect_set("group_id").over(by_query)))
+            .withColumn("primary", F.col("group_id") == F.min("group_id").over(by_term)))
+
+
+def _postings(index: LexicalIndex) -> DataFrame:
+    cols = ["term", "pmc_id", "tf", "doc_len", "df"] + (["tb"] if index.term_buckets else [])
+    return index.postings.where(F.col("tf") > 0).select(*cols)
+
+
+def contribution(index: LexicalIndex) -> Column:
+    return term_weight(index.n_docs) * impact(index.avg_len)
+
+
 def match_terms(terms: DataFrame, index: LexicalIndex, match: str = "all") -> DataFrame:
     """Boolean match and BM25 per (query_id, pmc_id).
 
     ``terms``: (query_id, group_id, term). A term listed in several groups
     adds to BM25 once. Output: query_id, pmc_id, bm25 (rounded), n_matched,
-    n_groups. With ``match='all'`` only papers matching every group remain.
+    n_groups. With ``match='all'`` only papers matching every group remain; they
+    are found by the rarest group of each question.
     """
-    by_query = Window.partitionBy("query_id")
-    by_term = Window.partitionBy("query_id", "term")
-    qt = (terms.select("query_id", "group_id", "term").distinct()
-          .withColumn("n_groups", F.size(F.collect_set("group_id").over(by_query)))
-          .withColumn("primary", F.col("group_id") == F.min("group_id").over(by_term)))
-    n = float(index.n_docs)
-    avg_len = index.avg_len if index.avg_len > 0 else 1.0
-    tf = F.col("tf").cast("double")
-    idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    norm = F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("doc_len") / F.lit(avg_len))
-    contrib = idf * (tf * F.lit(BM25_K1 + 1.0)) / (tf + norm)
-    cols = ["term", "pmc_id", "tf", "doc_len", "df"] + (["tb"] if index.term_buckets else [])
-    joined = join_postings(qt, index.postings.select(*cols), index.term_buckets) \
-        .where(F.col("tf") > 0)
+    if match not in ("all", "any"):
+        raise ValueError(f"match must be 'all' or 'any', not {match!r}")
+    qt = question_terms(terms)
+    if match == "all":
+        qt = materialize(qt.join(index.terms.select("term", "df"), "term", "left"), "question-terms")
+        size = (qt.groupBy("query_id", "group_id").agg(F.sum(F.coalesce("df", F.lit(0))).alias("size"))
+                .groupBy("query_id").agg(F.min_by("group_id", F.struct("size", "group_id")).alias("group_id"),
+                                         F.min("size").alias("size")).where("size > 0").drop("size"))
+        first = qt.where("df is not null").join(size, ["query_id", "group_id"]).select("query_id", "term")
+        found = join_postings(first, _postings(index), index.term_buckets).select("query_id", "pmc_id").distinct()
+        pairs = found.join(qt.where("df is not null").drop("df"), "query_id")
+        joined = join_postings(pairs, _postings(index), index.term_buckets, keys=("term", "pmc_id"))
+    else:
+        joined = join_postings(qt, _postings(index), index.term_buckets)
     agg = joined.groupBy("query_id", "pmc_id").agg(
-        F.sum(F.when(F.col("primary"), contrib).otherwise(F.lit(0.0))).alias("bm25_raw"),
-        F.countDistinct("group_id").alias("n_matched"),
+        F.sum(F.when(F.col("primary"), contribution(index)).otherwise(F.lit(0.0))).alias("bm25_raw"),
+        F.size(F.collect_set("group_id")).alias("n_matched"),
         F.max("n_groups").alias("n_groups"),
     )
     if match == "all":
         agg = agg.where(F.col("n_matched") == F.col("n_groups"))
-    elif match != "any":
-        raise ValueError(f"match must be 'all' or 'any', not {match!r}")
     return agg.select("query_id", "pmc_id", F.round("bm25_raw", SCORE_DIGITS).alias("bm25"),
                       F.col("n_matched").cast("int").alias("n_matched"),
                       F.col("n_groups").cast("int").alias("n_groups"))
 
 
+def _best(scored: DataFrame, limits: DataFrame, by: str, most: int, times: int = 1) -> DataFrame:
+    """The best ``times * limit`` rows of each question, with their place ``rk`` and ``limit``."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(by), F.asc("pmc_id"))
+    ranked = scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= F.lit(int(most * times)))
+    return ranked.join(limits.select("query_id", "limit"), "query_id").where(F.col("rk") <= F.col("limit") * times)
+
+
+def _looked_up(pairs: DataFrame, lists: DataFrame, index: LexicalIndex) -> DataFrame:
+    """``pairs`` (query_id, pmc_id, known) with ``score``: ``known`` and what the terms of ``lists`` add."""
+    wanted = pairs.select("query_id", "pmc_id").join(lists.select("query_id", "term"), "query_id")
+    more = (join_postings(wanted, _postings(index), index.term_buckets, keys=("term", "pmc_id"))
+            .groupBy("query_id", "pmc_id").agg(F.sum(contribution(index)).alias("more")))
+    return pairs.join(more, ["query_id", "pmc_id"], "left").withColumn(
+        "score", F.col("known") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+
+def _threshold(scored: DataFrame, limits: DataFrame, most: int) -> DataFrame:
+    """query_id, floor: the score that ``limit`` papers reach at least, where so many were scored."""
+    return (_best(scored, limits, "score", most).where(F.col("rk") == F.col("limit"))
+            .select("query_id", F.col("score").alias("floor")))
+
+
+def open_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Papers that may be among the best ``limit`` of a question (OR of its terms), and the lists not read for them.
+
+    The first has query_id, pmc_id and ``known``, the part of the score that comes from whole lists;
+    the second (query_id, term) the terms of which only champions were read. ``most`` bounds every limit.
+    """
+    weight = term_weight(index.n_docs)
+    cols = (["tb"] if index.term_buckets else []) + ["term", "df", "rest"]
+    lists = materialize(terms.select("query_id", "term").distinct().join(index.terms.select(*cols), "term")
+                        .withColumn("rest", weight * F.col("rest")), "question-lists")
+    cols.remove("df")  # the postings have it
+    long_lists = lists.where("rest > 0").select("query_id", *cols)
+
+    def read(whole: DataFrame, champions: DataFrame) -> DataFrame:
+        part = contribution(index)
+        zero = F.lit(0.0)
+        rows = join_postings(whole.select("query_id", *[c for c in cols if c != "rest"]), _postings(index),
+                             index.term_buckets).select("query_id", "pmc_id", part.alias("known"),
+                                                        zero.alias("top"), zero.alias("rest"))
+        keys = [c for c in cols if c != "rest"]
+        tops = champions.join(index.champions.drop("impact"), keys).select(
+            "query_id", "pmc_id", zero.alias("known"), part.alias("top"), "rest")
+        return rows.unionByName(tops).groupBy("query_id", "pmc_id").agg(
+            *[F.sum(c).alias(c) for c in ("known", "top", "rest")])
+
+    first = read(lists.where("rest = 0"), long_lists).withColumn("reach", F.col("known") + F.col("top"))
+    seeds = _best(first, limits, "reach", most, SEEDS)
+    seeds = _looked_up(seeds.select("query_id", "pmc_id", "known"), long_lists, index)
+    floors = materialize(_threshold(seeds, limits, most), "first-floors")
+    # cheapest bound first: lists are read until what is left unread cannot reach the floor
+    cheap = Window.partitionBy("query_id").orderBy(F.col("df") / F.col("rest"), "term")
+    total = Window.partitionBy("query_id")
+    plan = (lists.where("rest > 0").join(floors, "query_id", "left")
+            .withColumn("open", F.sum("rest").over(total) - F.coalesce(
+                F.sum("rest").over(cheap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+            .withColumn("whole", F.col("floor").isNull() | (F.col("open") >= F.col("floor") - SLACK)))
+    plan = materialize(plan.select("query_id", *cols, "whole"), "list-plan")
+    unread = plan.where(~F.col("whole")).select("query_id", *cols)
+    left = unread.groupBy("query_id").agg(F.sum("rest").alias("left"))
+    short = lists.where("rest = 0").select("query_id", *cols)
+    found = read(short.unionByName(plan.where("whole").select("query_id", *cols)), unread)
+    found = (found.join(left, "query_id", "left").withColumn("reach", F.col("known") + F.col("top"))
+             .withColumn("bound", F.col("reach") + F.coalesce("left", F.lit(0.0)) - F.col("rest")))
+    found = materialize(found.join(floors, "query_id", "left")
+                        .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
+                        .select("query_id", "pmc_id", "known", "reach", "bound"), "bounded")
+    # the best by what is known of them now give a higher floor
+    again = _looked_up(_best(found, limits, "reach", most, SEEDS).select("query_id", "pmc_id", "known"), unread, index)
+    floors = _threshold(again, limits, most)
+    kept = (found.join(floors, "query_id", "left")
+            .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK)))
+    return kept.select("query_id", "pmc_id", "known"), unread
+
+
+def ranked_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, max_limit: int) -> DataFrame:
+    """The rows of ``top_candidates`` over ``match_terms(..., "any")`` without scoring every match."""
+    kept, unread = open_candidates(terms, index, limits, max_limit)
+    scored = _looked_up(kept, unread, index)
+    return top_candidates(scored.select("query_id", "pmc_id", F.round("score", SCORE_DIGITS).alias("bm25")),
+                          limits, max_limit)
+
+
 def top_candidates(matches: DataFrame, limits: DataFrame, max_limit: int) -> DataFrame:
     """Relevance order per question, first ``limit`` rows.
 

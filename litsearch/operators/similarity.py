@@ -15,26 +15,34 @@ Two execution shapes:
 * ``score_own_index`` - the index of a question is small (its own
   candidates): ``q.a`` is computed inside the row from the abstract tokens,
   with no shuffle and no join.
-* ``similarity_corpus`` - the whole corpus is the index: ``q.a`` comes from
-  an equi-join of question terms with abstract postings (papers sharing a
-  term). Papers sharing no term score ``sqrt(q.q)/sqrt(a.a + q.q)``, a
-  bound that orders them by ``a.a`` alone for every question; the ``k``
-  papers with the smallest ``a.a`` are therefore the only ones of them that
-  can reach a top ``k`` (a paper sharing a term scores at least its bound).
-  Those ``k`` ids are read on the driver (bounded by ``k``) and added to
-  every question, so the top ``k`` is exact without scoring all pairs.
+* ``similarity_corpus`` - the whole corpus is the index. Exact without scoring
+  all pairs, nor all that share a word:
+
+  1. The ``FLOOR`` papers with the smallest ``a.a`` are scored first. (Papers that share
+     no term score ``sqrt(q.q)/sqrt(a.a + q.q)``, which orders them by ``a.a`` alone.)
+     The k-th best score is a question's threshold.
+  2. Let ``u`` be the length of the question's vector on its most common terms. A
+     paper that has no other term of it has ``q.a <= u |a|``, and so at most the
+     score of that bound, which falls with ``a.a``. All terms for which the bound at
+     the least ``a.a`` beyond the floor stays below the threshold need no list.
+  3. The lists of the other, rarer terms give candidates; the same bound with the
+     part of ``q.a`` that is known and the paper's own ``a.a`` drops most of them, and the
+     rest look up their common terms.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from litsearch.functions.text import tokens
+from litsearch.operators.lexical import join_postings
 from litsearch.schemas import INDEX_HITS
+from litsearch.session import materialize
 
 
 def _col(c) -> Column:
@@ -42,12 +50,21 @@ def _col(c) -> Column:
 
 
 def term_counts(toks) -> Column:
-    """array<struct<term, cnt>> of the distinct tokens of a token array."""
-    toks = _col(toks)
-    return F.transform(
-        F.array_distinct(toks),
-        lambda t: F.struct(t.alias("term"),
-                           F.size(F.filter(toks, lambda x: x == t)).cast("long").alias("cnt")))
+    """array<struct<term, cnt>> of the distinct tokens of a token array.
+
+    The sorted array is cut where a token differs from the one before; a token's
+    count is the distance to the next cut.
+    """
+    def counted(sorted_toks):
+        n = F.size(sorted_toks)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                          lambda i: (i < n) & ((i == 0) | (F.get(sorted_toks, i) != F.get(sorted_toks, i - 1))))
+        return F.transform(starts, lambda i, at: F.struct(
+            F.get(sorted_toks, i).alias("term"),
+            (F.coalesce(F.get(starts, at + 1), n) - i).cast("long").alias("cnt")))
+
+    # a one-element array binds the sorted tokens, so that they are sorted once
+    return F.transform(F.array(F.array_sort(_col(toks))), counted)[0]
 
 
 def sum_of_squares(toks) -> Column:
@@ -76,18 +93,6 @@ def question_map(q_counts) -> Column:
     return F.map_from_entries(_col(q_counts))
 
 
-def dot_in_row(q_map, a_tokens) -> Column:
-    """q.a in one pass over the abstract tokens, a map lookup per token.
-
-    ``q_map`` should be a stored column (not an expression) so it is not
-    rebuilt for every token.
-    """
-    q_map = _col(q_map)
-    return F.aggregate(
-        _col(a_tokens), F.lit(0).cast("long"),
-        lambda acc, x: acc + F.coalesce(F.try_element_at(q_map, x), F.lit(0).cast("long")))
-
-
 def cosine(qa, qq, aa) -> Column:
     """Closed-form cosine of ``q`` and ``q + a``; 0 for an empty question."""
     qa, qq, aa = _col(qa).cast("double"), _col(qq).cast("double"), _col(aa).cast("double")
@@ -95,13 +100,6 @@ def cosine(qa, qq, aa) -> Column:
     return F.when(qq > 0, (qa + qq) / denom).otherwise(F.lit(0.0))
 
 
-def with_abstract_stats(papers: DataFrame) -> DataFrame:
-    """Adds ``n_tokens`` (P12) and ``abs_sq`` (a.a) computed once per paper."""
-    toks = tokens("abstract")
-    return papers.withColumn("_toks", toks).withColumn("n_tokens", F.size("_toks")) \
-        .withColumn("abs_sq", sum_of_squares("_toks")).drop("_toks")
-
-
 def question_vectors(queries: DataFrame) -> DataFrame:
     """(query_id, q_map, q_sq) from ``user_query``."""
     return (queries.select("query_id", tokens("user_query").alias("_qt"))
@@ -128,122 +126,137 @@ def rank_hits(scored: DataFrame, k: int = INDEX_HITS) -> DataFrame:
             .withColumn("search_score", F.col("score").cast("float")))
 
 
-def abstract_postings(index_papers: DataFrame) -> DataFrame:
-    """(term, pmc_id, tf, abs_sq) of the abstracts in the index."""
-    toks = index_papers.select("pmc_id", "abs_sq", tokens("abstract").alias("_t"))
-    exploded = toks.select("pmc_id", "abs_sq", F.explode("_t").alias("term"))
-    return exploded.groupBy("term", "pmc_id", "abs_sq").agg(F.count(F.lit(1)).alias("tf"))
+FLOOR = 320              # papers of the smallest a.a that are scored for every question, at least 16 k
+SLACK = 1e-9             # of bounds, for rounding
 
 
-def similarity_corpus(questions: DataFrame, index_papers: DataFrame,
-                      k: int = INDEX_HITS, postings: DataFrame | None = None,
-                      term_buckets: int = 0) -> DataFrame:
+def bounded_pairs(questions: DataFrame, index_papers: DataFrame, postings: DataFrame, term_buckets: int,
+                  terms: DataFrame, k: int, floor: int = FLOOR):
+    """What ``similarity_corpus`` has to score: (floor pairs with ``qa``, other open pairs with the part of ``qa``
+    that comes from rarer terms, the questions' terms that these have not looked up yet)."""
+    questions = questions.where(F.size(tokens("user_query")) > 0)
+    q = questions.select("query_id", tokens("user_query").alias("_qt"))
+    q = q.select("query_id", sum_of_squares("_qt").alias("q_sq"), F.explode(term_counts("_qt")).alias("_tc"))
+    q = q.select("query_id", "q_sq", F.col("_tc.term").alias("term"), F.col("_tc.cnt").alias("qtf"))
+    q = materialize(q.join(terms, "term", "left"), "question-vectors")
+    norms = index_papers.select("pmc_id", "abs_sq")
+    floor = max(int(floor), 16 * int(k))
+    low = materialize(norms.orderBy(F.asc("abs_sq"), F.asc("pmc_id")).limit(floor + 1), "floor")  # floor + 1 rows
+    edge = low.agg(F.count("*").alias("n"), F.max(F.struct("abs_sq", "pmc_id")).alias("last")).first()
+    more = edge["n"] > floor
+    if more:  # the last row is the first paper beyond the floor
+        low = low.where((F.col("abs_sq") < edge["last"]["abs_sq"]) | (F.col("pmc_id") < edge["last"]["pmc_id"]))
+    least = float(edge["last"]["abs_sq"]) if more else 0.0
+    keys = [c for c in ("tb", "term") if c in terms.columns]
+    known = q.where("df is not null")
+    in_low = postings.join(F.broadcast(low), "pmc_id")
+    shared = (known.join(in_low, keys).groupBy("query_id", "pmc_id")
+              .agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"), F.max("abs_sq").alias("abs_sq"), F.max("q_sq").alias("q_sq")))
+    # of papers that share nothing only the first k can be among the best k
+    first = F.array(*[F.struct(F.lit(r["pmc_id"]).alias("pmc_id"), F.lit(int(r["abs_sq"])).cast("long").alias("abs_sq"))
+                      for r in low.orderBy(F.asc("abs_sq"), F.asc("pmc_id")).limit(int(k)).collect()])  # k rows
+    alone = (q.groupBy("query_id").agg(F.max("q_sq").alias("q_sq")).select("query_id", "q_sq", F.explode(first).alias("p"))
+             .select("query_id", F.col("p.pmc_id").alias("pmc_id"), F.lit(0).cast("long").alias("qa"),
+                     F.col("p.abs_sq").alias("abs_sq"), "q_sq")) if edge["n"] else shared.limit(0).select(
+                         "query_id", "pmc_id", "qa", "abs_sq", "q_sq")
+    at_floor = (shared.select(*alone.columns).unionByName(alone).groupBy("query_id", "pmc_id")
+                .agg(*[F.max(c).alias(c) for c in ("qa", "abs_sq", "q_sq")]))
+    at_floor = materialize(at_floor, "floor-pairs")
+    if not more:
+        return at_floor, None, None
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("pmc_id"))
+    threshold = (at_floor.withColumn("score", cosine("qa", "q_sq", "abs_sq")).withColumn("_rk", F.row_number().over(w))
+                 .where(F.col("_rk") == int(k)).select("query_id", F.col("score").alias("threshold")))
+    common = Window.partitionBy("query_id").orderBy(F.desc("df"), "term")
+    length = F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).over(common).cast("double"))
+    plan = known.join(threshold, "query_id", "left").withColumn("u", length).withColumn(
+        "bound", cosine(F.col("u") * math.sqrt(least), "q_sq", F.lit(least)))
+    plan = plan.withColumn("skipped", F.col("bound") < F.coalesce("threshold", F.lit(-1.0)) - SLACK)
+    plan = materialize(plan, "term-plan")
+    unread = plan.where("skipped")
+    left = unread.groupBy("query_id").agg(F.max("u").alias("u"))
+    part = (join_postings(plan.where("not skipped").select("query_id", "q_sq", "qtf", "threshold", *keys), postings,
+                          term_buckets)
+            .groupBy("query_id", "pmc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"), F.max("q_sq").alias("q_sq"),
+                                               F.max("threshold").alias("threshold")))
+    beyond = norms.join(F.broadcast(low.select("pmc_id")), "pmc_id", "left_anti")
+    part = part.join(beyond, "pmc_id").join(left, "query_id", "left")
+    most = F.col("qa") + F.coalesce("u", F.lit(0.0)) * F.sqrt(F.col("abs_sq").cast("double"))
+    part = part.where(F.col("threshold").isNull() | (cosine(most, "q_sq", "abs_sq") >= F.col("threshold") - SLACK))
+    return at_floor, part.select("query_id", "pmc_id", "qa", "abs_sq", "q_sq"), unread.select("query_id", "qtf", *keys)
+
+
+def similarity_corpus(questions: DataFrame, index_papers: DataFrame, postings: DataFrame, terms: DataFrame,
+                      k: int = INDEX_HITS, term_buckets: int = 0, floor: int = FLOOR) -> DataFrame:
     """Exact top ``k`` of every question over a whole index (sparse score).
 
-    ``questions``: query_id, user_query. ``index_papers``: pmc_id, abs_sq
-    (already filtered to indexable rows; also ``abstract`` when no postings
-    are given). ``postings``: term, pmc_id, tf over abstracts (optionally
-    bucketed by ``tb``). Output: query_id, pmc_id, score, search_score,
-    hit_rank.
+    ``questions``: query_id, user_query. ``index_papers``: pmc_id, abs_sq (already
+    filtered to indexable rows). ``postings``: term, pmc_id, tf over abstracts and
+    ``terms``: term, df (optionally both bucketed by ``tb``). A question without tokens
+    has no hits. Output: query_id, pmc_id, score, search_score, hit_rank.
     """
-    from litsearch.operators.lexical import join_postings
-
-    # A question without tokens has no hits (every score would be 0).
-    questions = questions.where(F.size(tokens("user_query")) > 0)
-    qtoks = questions.select("query_id", tokens("user_query").alias("_qt"))
-    qtoks = qtoks.select("query_id", sum_of_squares("_qt").alias("q_sq"),
-                         term_counts("_qt").alias("_tc"))
-    qv = qtoks.select("query_id", "q_sq", F.explode("_tc").alias("tc"))
-    qv = qv.select("query_id", "q_sq", F.col("tc.term").alias("term"), F.col("tc.cnt").alias("qtf"))
-    norms = index_papers.select("pmc_id", "abs_sq")
-    if postings is None:
-        postings = abstract_postings(index_papers).drop("abs_sq")
-        term_buckets = 0
-    shared = (join_postings(qv, postings, term_buckets)
-              .groupBy("query_id", "pmc_id")
-              .agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"), F.max("q_sq").alias("q_sq")))
-    sharing = shared.join(norms, "pmc_id")          # only indexable papers, with a.a
-    # The k papers with the smallest a.a: bounded driver read (k rows).
-    floor_rows = norms.orderBy(F.asc("abs_sq"), F.asc("pmc_id")).limit(int(k)).collect()
-    q_norms = qtoks.select("query_id", "q_sq")
-    if floor_rows:
-        floor = F.array(*[F.struct(F.lit(r["pmc_id"]).alias("pmc_id"),
-                                   F.lit(int(r["abs_sq"])).cast("long").alias("abs_sq"))
-                          for r in floor_rows])
-        fallback = (q_norms.select("query_id", "q_sq", F.explode(floor).alias("p"))
-                    .select("query_id", F.col("p.pmc_id").alias("pmc_id"),
-                            F.lit(0).cast("long").alias("qa"),
-                            F.col("p.abs_sq").alias("abs_sq"), "q_sq"))
-        pairs = (sharing.select("query_id", "pmc_id", "qa", "abs_sq", "q_sq")
-                 .unionByName(fallback)
-                 .groupBy("query_id", "pmc_id")
-                 .agg(F.max("qa").alias("qa"), F.max("abs_sq").alias("abs_sq"),
-                      F.max("q_sq").alias("q_sq")))
-    else:
-        pairs = sharing
-    scored = pairs.withColumn("score", cosine("qa", "q_sq", "abs_sq"))
-    return rank_hits(scored, k).select("query_id", "pmc_id", "score", "search_score", "hit_rank")
+    pairs, others, unread = bounded_pairs(questions, index_papers, postings, term_buckets, terms, k, floor)
+    if others is not None:
+        others = materialize(others, "open-pairs")
+        wanted = others.select("query_id", "pmc_id").join(unread, "query_id")
+        more = (join_postings(wanted, postings, term_buckets, keys=("term", "pmc_id")).groupBy("query_id", "pmc_id")
+                .agg(F.sum(F.col("qtf") * F.col("tf")).alias("more")))
+        others = others.join(more, ["query_id", "pmc_id"], "left").withColumn(
+            "qa", F.col("qa") + F.coalesce("more", F.lit(0)))
+        pairs = pairs.unionByName(others.select(*pairs.columns))
+    return rank_hits(pairs.withColumn("score", cosine("qa", "q_sq", "abs_sq")), k).select(
+        "query_id", "pmc_id", "score", "search_score", "hit_rank")
 
 
 # --- dense vectors ----------------------------------------------------------
 
-def _block_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int):
-    """mapInPandas body: exact local top ``k`` of each question per partition."""
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf["vec_id"].to_numpy()
-            mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            scores = q_mat @ mat.T                      # (questions, rows)
-            kk = min(k, scores.shape[1])
-            # stable order: score desc, then id asc
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :kk]
-            rows_q = np.repeat(q_ids, kk)
-            rows_i = ids[order].reshape(-1)
-            rows_s = np.take_along_axis(scores, order, axis=1).reshape(-1)
-            yield pd.DataFrame({"query_vec_id": rows_q, "vec_id": rows_i, "score": rows_s})
-
-    return run
-
-
-DENSE_BLOCK_ROWS = 4096   # questions per broadcast block (64 dims -> 2 MiB)
+QUESTION_ROWS, INDEX_ROWS = 4096, 16384   # rows of a block; a task holds one block of each
+STEP = 1024                               # index rows that are scored at once
+
+
+def block_topk(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Exact top ``k`` of each question within one index block, ties by id."""
+    q_ids = questions["vec_id"].to_numpy()
+    if not len(q_ids) or not len(index):
+        return pd.DataFrame({"query_vec_id": q_ids[:0], "vec_id": q_ids[:0], "score": np.zeros(0)})
+    q_mat = np.stack(questions["embedding"].to_numpy()).astype(np.float64)
+    index = index.sort_values("vec_id", ignore_index=True)
+    ids, mat = index["vec_id"].to_numpy(), np.stack(index["embedding"].to_numpy()).astype(np.float64)
+    best_ids = np.zeros((len(q_ids), 0), dtype=np.int64)
+    best = np.zeros((len(q_ids), 0))
+    for at in range(0, len(ids), STEP):
+        scores = np.concatenate([best, q_mat @ mat[at:at + STEP].T], axis=1)
+        places = np.concatenate([best_ids, np.broadcast_to(ids[at:at + STEP], (len(q_ids), len(ids[at:at + STEP])))], axis=1)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # earlier columns have lesser ids
+        best, best_ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(places, order, axis=1)
+    return pd.DataFrame({"query_vec_id": np.repeat(q_ids, best.shape[1]), "vec_id": best_ids.reshape(-1),
+                         "score": best.reshape(-1)})
 
 
 def dense_topk(questions: DataFrame, index: DataFrame, k: int = INDEX_HITS,
-               block_rows: int = DENSE_BLOCK_ROWS) -> DataFrame:
+               question_rows: int = QUESTION_ROWS, index_rows: int = INDEX_ROWS) -> DataFrame:
     """Exact top ``k`` by dot product (cosine on unit vectors).
 
-    ``questions``/``index``: vec_id BIGINT, embedding ARRAY<FLOAT>. Questions
-    are shipped to the executors in blocks of at most ``block_rows``
-    vectors (size checked by a count, one broadcast per block); each index
-    partition emits only its local top ``k`` per question, and a literal
-    ``row_number`` limit finishes the top ``k`` after one shuffle.
+    ``questions``/``index``: vec_id BIGINT, embedding ARRAY<FLOAT>. Both sides are dealt
+    by a hash of the id into blocks, and every pair of blocks meets in one task
+    (co-grouped by the pair). A task returns the local top ``k`` of its questions, and a
+    literal ``row_number`` limit finishes after one more shuffle. The driver sees two
+    counts. Every question meets every vector, so the work is their product; what one
+    task holds is not. Null vectors are left out.
     """
     spark = index.sparkSession
-    n_questions = questions.count()
-    out_schema = T.StructType([T.StructField("query_vec_id", T.LongType()),
-                               T.StructField("vec_id", T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-    parts = []
-    ordered = questions.select("vec_id", "embedding").orderBy("vec_id")
-    for start in range(0, n_questions, block_rows):
-        block = ordered.offset(start).limit(block_rows).toPandas()
-        q_ids = block["vec_id"].to_numpy().astype(np.int64)
-        q_mat = np.stack(block["embedding"].to_numpy()).astype(np.float64)
-        b = spark.sparkContext.broadcast((q_ids, q_mat))
-
-        def run(batches, b=b):
-            ids, mat = b.value
-            return _block_topk(ids, mat, k)(batches)
-
-        parts.append(index.select("vec_id", "embedding").mapInPandas(run, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("hit_rank", T.IntegerType()))
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
+    sides = [df.select("vec_id", "embedding").where("embedding is not null") for df in (questions, index)]
+    n_q, n_i = (max(1, -(-df.count() // rows)) for df, rows in zip(sides, (question_rows, index_rows)))
+
+    def dealt(df, own, own_blocks, other, other_blocks):
+        return (df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(own_blocks)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+                .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_q * n_i, 100_000)), "qb", "ib"))
+
+    q = dealt(sides[0], "qb", n_q, "ib", n_i).groupBy("qb", "ib")
+    i = dealt(sides[1], "ib", n_i, "qb", n_q).groupBy("qb", "ib")
+    local = q.cogroup(i).applyInPandas(lambda one, other: block_topk(one, other, k),
+                                       "query_vec_id long, vec_id long, score double")
     w = Window.partitionBy("query_vec_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (local.withColumn("hit_rank", F.row_number().over(w))
             .where(F.col("hit_rank") <= F.lit(int(k))))

@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litsearch.operators.feedback import feedback_query, keyword_weights, top_keywords
-from litsearch.operators.lexical import (DEFAULT_FIELDS, LexicalIndex, join_postings,
-                                         match_terms, term_bucket, terms_from_text,
-                                         top_candidates)
+from litsearch.operators.lexical import (DEFAULT_FIELDS, LexicalIndex, champion_postings, join_postings,
+                                         match_terms, ranked_candidates, term_bucket, term_table,
+                                         terms_from_text, top_candidates)
 from litsearch.operators.merge import (all_abstracts_empty, dedupe_last,
                                        first_per_paper, result_counts, score_papers_left)
 from litsearch.operators.ranking import rank_results
@@ -28,10 +29,11 @@ from litsearch.functions.text import tokens
 from litsearch.operators.similarity import question_vectors, score_own_index
 from litsearch.schemas import (CANDIDATE_FACTOR, INDEX_HITS, MAX_INDEX_TOKENS, MAX_REFINEMENTS,
                                PAPER_COLUMNS, TOP_KEYWORDS)
-from litsearch.session import scratch_path
+from litsearch.session import materialize, scratch_path
 from litsearch.sources.requests import apply_defaults
 
 RESULT_COLUMNS = ["query_id", "round", "hit_rank"] + PAPER_COLUMNS + ["search_score"]
+INDEX_COLUMNS = ["query_id", "pmc_id", "abs_sq", "qa", "round"]
 ROW_COLUMNS = ["query_id", "round", "hit_rank", "pmc_id", "keywords", "search_score", "pk"]
 
 
@@ -78,13 +80,6 @@ class SearchOutput:
     ends: DataFrame | None = None       # per question: last round and why it ended there
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared checkpoint folder and read back (lineage cut)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def default_term_buckets(spark: SparkSession) -> int:
     return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -112,14 +107,6 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     postings = postings_from_fields(base, fields)
     if persist:  # counts first: both uses below read them, not the text
         postings = materialize(postings, "counts")
-    doc_freq = postings.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    postings = (postings.join(doc_freq, "term", "left")
-                .withColumn("tb", term_bucket("term", buckets)))
-    if persist:
-        path = scratch_path(spark, "postings")
-        (postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term")
-         .write.partitionBy("tb").parquet(path))
-        postings = spark.read.parquet(path)
     per_paper = postings.groupBy("pmc_id").agg(
         F.sum("tf_abs").alias("n_tokens"),
         F.sum(F.col("tf_abs") * F.col("tf_abs")).alias("abs_sq"),
@@ -134,7 +121,22 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
         stats = materialize(stats, "paper-stats")
     agg = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).first()
     n_docs, total = int(agg["n"] or 0), int(agg["total"] or 0)
-    lexical = LexicalIndex(postings, n_docs, (total / n_docs) if n_docs else 0.0, buckets)
+    doc_freq = postings.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = (postings.join(doc_freq, "term", "left")
+                .withColumn("tb", term_bucket("term", buckets)))
+    if persist:
+        path = scratch_path(spark, "postings")
+        (postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term")
+         .write.partitionBy("tb").parquet(path))
+        postings = spark.read.schema(postings.schema).parquet(path)
+    avg_len = (total / n_docs) if n_docs else 0.0
+    champions = champion_postings(postings, avg_len)
+    if persist:
+        champions = materialize(champions, "champions")
+    terms = term_table(postings, champions, buckets)
+    if persist:
+        terms = materialize(terms, "terms")
+    lexical = LexicalIndex(postings, n_docs, avg_len, buckets, terms, champions)
     return Corpus(papers, stats, lexical)
 
 
@@ -225,8 +227,11 @@ def round_candidates(active: DataFrame, terms: DataFrame, corpus: Corpus, cfg: S
     indexable flags (A1, F2, F3), and q.a - all from narrow tables.
     """
     limits = active.select("query_id", (F.col("amount").cast("long") * CANDIDATE_FACTOR).alias("limit"))
-    matches = match_terms(terms, corpus.lexical, cfg.match)
-    cands = top_candidates(matches, limits, CANDIDATE_FACTOR * max_amount)
+    most = CANDIDATE_FACTOR * max_amount
+    if cfg.match == "any":
+        cands = ranked_candidates(terms, corpus.lexical, limits, most)
+    else:
+        cands = top_candidates(match_terms(terms, corpus.lexical, cfg.match), limits, most)
     cands = cands.select("query_id", "pmc_id", "rk").join(
         corpus.stats.select("pmc_id", "real_id", "keywords", "empty_abstract", "n_tokens", "abs_sq"), "pmc_id")
     cands = dedupe_last(cands, ("query_id", "real_id"))                    # J3
@@ -338,38 +343,33 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
                 F.lit("initial").alias("kind")), "active")
     terms = query_terms.where(F.col("alt") == 0).select("query_id", "group_id", "term")
 
-    attempt_parts, outcome_parts = [], []
-    index_acc = None
-    rows_acc = None
     n_rounds = cfg.max_refinements + 1
     if cfg.rounds is not None:
         n_rounds = min(n_rounds, cfg.rounds)
+    scored_log, record_log = RoundLog(spark, "scored"), RoundLog(spark, "rounds")
+    initial = active
     rounds_run, active_counts = 0, []
     for round_no in range(n_rounds):
         n_active = active.count()
         active_counts.append(n_active)
         if n_active == 0:
             break
-        attempt_parts.append(active.select("query_id", F.lit(round_no).cast("int").alias("round"),
-                                           "query_text", "kind"))
         cands = materialize(round_candidates(active, terms, corpus, cfg, max(max_amount, 1)),
                             f"cands-r{round_no}")
+        index_acc = scored_log.rows.where(F.col("indexable")).select(*INDEX_COLUMNS) if round_no else None
         scored, _, empty = round_scores(round_no, active, cands, index_acc, cfg)
-        scored = materialize(scored, f"scored-r{round_no}")
-        # from the stored rows, so that later rounds do not plan this one again
-        new_index = (scored.where(F.col("indexable"))
-                     .select("query_id", "pmc_id", "abs_sq", "qa", "round"))
-        new_rows = scored.where(F.col("passing")).select(*ROW_COLUMNS)
-        rows_acc = new_rows if rows_acc is None else rows_acc.unionByName(new_rows)
+        scored_log.add(scored, round_no)
+        scored = scored_log.rows.where(F.col("round") == round_no)
+        rows_acc = scored_log.rows.where(F.col("passing")).select(*ROW_COLUMNS)
         rows_view = first_per_paper(rows_acc) if cfg.distinct_papers else rows_acc
-        index_acc = new_index if index_acc is None else index_acc.unionByName(new_index)
         outcome = round_outcome(active, scored, empty, rows_view, query_terms, cfg)
         rounds_run += 1
         # One table per round: the outcome of every question plus, for those
         # that go on, the next round's state (lineage cut here).
-        alt_text = rendered.withColumnRenamed("alt", "next_alt")
-        record = (outcome.join(active.drop("next_alt", "query_text", "kind"), "query_id")
-                  .join(alt_text, ["query_id", "next_alt"], "left")
+        alt_text = rendered.withColumnRenamed("alt", "next_alt").withColumnRenamed("query_text", "alt_text")
+        added = scored.where(F.col("passing")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_added"))
+        record = (outcome.join(active.drop("next_alt"), "query_id")
+                  .join(alt_text, ["query_id", "next_alt"], "left").join(added, "query_id", "left")
                   .select(
                       "query_id", "status", "n_results", "next_query", "next_alt",
                       F.lit(round_no).cast("int").alias("round"),
@@ -377,11 +377,11 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
                       F.when(F.col("status") == "requery", F.col("next_alt") + 1)
                        .otherwise(F.col("next_alt")).alias("_next_alt"),
                       F.when(F.col("status") == "feedback", F.col("next_query"))
-                       .otherwise(F.coalesce(F.col("query_text"), F.lit(""))).alias("_query_text")))
-        record = materialize(record, f"round-r{round_no}")
-        outcome_parts.append(record.select("query_id", "status", "n_results", "next_query",
-                                           "next_alt", "round"))
-        active = (record.where(F.col("status").isin("feedback", "requery"))
+                       .otherwise(F.coalesce(F.col("alt_text"), F.lit(""))).alias("_query_text"),
+                      fixed_point().alias("fixed")))
+        record_log.add(record, round_no)
+        record = record_log.rows.where(F.col("round") == round_no)
+        active = (record.where(F.col("status").isin("feedback", "requery") & ~F.col("fixed"))
                   .select("query_id", "user_query", "amount", "threshold", "q_map", "q_sq",
                           F.col("_next_alt").alias("next_alt"),
                           F.col("_query_text").alias("query_text"),
@@ -393,22 +393,55 @@ def search(queries: DataFrame, query_terms: DataFrame, papers: DataFrame | None
                     .select("query_id", "group_id", "term"))
         terms = fb_terms.unionByName(rq_terms)
 
-    rows = rows_acc if rows_acc is not None else _empty_rows(spark)
+    rows = (scored_log.rows.where(F.col("passing")).select(*ROW_COLUMNS) if scored_log.rows is not None
+            else _empty_rows(spark))
     if cfg.distinct_papers:
         rows = first_per_paper(rows)
     rows = rows.join(corpus.papers.drop("keywords", "pmc_id"), "pk")
-    attempts = attempt_parts[0] if attempt_parts else spark.createDataFrame(
-        [], "query_id string, round int, query_text string, kind string")
-    for part in attempt_parts[1:]:
-        attempts = attempts.unionByName(part)
     ranked = rank_results(rows, q)
+    attempts = initial.select("query_id", F.lit(0).cast("int").alias("round"), "query_text", "kind")
+    if not n_rounds:
+        attempts = attempts.limit(0)
     outcomes = None
-    for part in outcome_parts:
-        outcomes = part if outcomes is None else outcomes.unionByName(part)
+    if record_log.rows is not None:
+        records = with_repeats(record_log.rows, n_rounds)
+        outcomes = records.select("query_id", "status", "n_results", "next_query", "next_alt", "round")
+        attempts = attempts.unionByName(
+            records.where(F.col("status").isin("feedback", "requery") & (F.col("round") + 1 < n_rounds))
+            .select("query_id", (F.col("round") + 1).cast("int").alias("round"), F.col("_query_text").alias("query_text"),
+                    F.col("status").alias("kind")))
     return SearchOutput(rows.select(*RESULT_COLUMNS), attempts, ranked, q, rounds_run,
                         active_counts, outcomes, end_status(outcomes))
 
 
+class RoundLog:
+    """A table of the shared folder with one partition per round; ``rows`` reads all rounds written so far."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.rows = spark, scratch_path(spark, name), None
+
+    def add(self, df: DataFrame, round_no: int) -> None:
+        df.drop("round").write.mode("overwrite").parquet(f"{self.path}/round={round_no}")
+        schema = df.drop("round").schema.add("round", T.IntegerType())
+        self.rows = self.spark.read.schema(schema).parquet(self.path)
+
+
+def fixed_point():
+    """Whether all further rounds of a question equal the one just run.
+
+    It searched with a feedback string, added no row, and gets the same string again: the same
+    candidates are then put into the same index, and rows and scored papers stay what they are.
+    """
+    return ((F.col("status") == "feedback") & (F.col("kind") == "feedback") & F.col("n_added").isNull()
+            & (F.col("next_query") == F.col("query_text")))
+
+
+def with_repeats(records: DataFrame, n_rounds: int) -> DataFrame:
+    """``records`` and, for questions at a fixed point, the rounds up to the bound, which were not run."""
+    later = F.sequence(F.col("round"), F.when(F.col("fixed"), F.lit(n_rounds - 1)).otherwise(F.col("round")))
+    return records.withColumn("round", F.explode(later))
+
+
 def end_status(outcomes: DataFrame | None) -> DataFrame | None:
     """Per question its last round and status; ``bound`` where only the round bound stopped it."""
     if outcomes is None:

@@ -77,6 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write to the shared checkpoint folder and read back (lineage cut, no schema inference)."""
+    path = scratch_path(df.sparkSession, name)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -10,10 +10,13 @@ from litsearch.functions.text import abstract_text, token_count, trim_ws
 from litsearch.operators import feedback as FB
 from litsearch.operators import merge as MG
 from litsearch.operators.index import index_rows, latest_per_object
-from litsearch.operators.lexical import build_lexical_index, match_terms, terms_from_text
+from litsearch.operators.lexical import (CHAMPIONS, match_terms, open_candidates, ranked_candidates,
+                                         terms_from_text, top_candidates)
 from litsearch.operators.ranking import rank_results
-from litsearch.operators.similarity import (cosine, similarity_corpus, sum_of_squares,
-                                            with_abstract_stats)
+from litsearch.operators.similarity import (bounded_pairs, cosine, dense_topk, similarity_corpus, sum_of_squares,
+                                            term_counts)
+from litsearch.plans.search import prepare_corpus
+from litsearch.schemas import PAPER_COLUMNS
 from litsearch.plans.results import result_documents, result_rows
 from litsearch.sources.requests import validate_requests, with_ids
 
@@ -132,49 +135,114 @@ def test_sum_of_squares_and_cosine(spark):
     assert one == pytest.approx(5 / (math.sqrt(3) * math.sqrt(6 + 4 + 3)))
 
 
+def corpus_of(spark, papers):
+    """A prepared corpus of (pmc_id, title, abstract)."""
+    rows = [{**dict.fromkeys(PAPER_COLUMNS, ""), "pmc_id": i, "article_title": t, "abstract": a, "keywords": []}
+            for i, t, a in papers]
+    return prepare_corpus(spark.createDataFrame(
+        [[r[c] for c in PAPER_COLUMNS] for r in rows],
+        ", ".join(f"{c} {'array<string>' if c == 'keywords' else 'string'}" for c in PAPER_COLUMNS)), term_buckets=4)
+
+
+def zipf_papers(seed, n, longest):
+    import random
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    return [(f"p{i:05d}", "", "the " * rnd.randint(1, 3) + " ".join(rnd.choices(words, weights, k=rnd.randint(0, longest))))
+            for i in range(n)]
+
+
 def test_similarity_corpus_is_exact(spark):
     """Whole-corpus top k equals brute force over all pairs, incl. papers
     that share no term with the question."""
-    import itertools
     import math
     import random
-    rnd = random.Random(7)
-    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
-    papers = [(f"p{i}", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))))
-              for i in range(40)]
-    qs = [("q1", "alpha beta"), ("q2", "zzz unknown"), ("q3", "gamma gamma eps")]
-    pdf = with_abstract_stats(spark.createDataFrame(papers, "pmc_id string, abstract string"))
-    got = similarity_corpus(spark.createDataFrame(qs, "query_id string, user_query string"),
-                            pdf.select("pmc_id", "abstract", "abs_sq"), k=5)
-    got = {(r.query_id, r.hit_rank): r.pmc_id for r in got.collect()}
-
-    def vec(t):
-        v = {}
-        for w in t.lower().split():
-            v[w] = v.get(w, 0) + 1
-        return v
-    for qid, q in qs:
-        qv = vec(q)
-        scores = []
-        for pid, a in papers:
-            dv = vec(f"[{q}] - {a}".replace("[", "").replace("]", "").replace(" - ", " "))
-            dot = sum(qv[w] * dv.get(w, 0) for w in qv)
-            qq = sum(x * x for x in qv.values())
-            dd = sum(x * x for x in dv.values())
-            scores.append((-(dot / (math.sqrt(qq) * math.sqrt(dd))), pid))
-        expected = [pid for _, pid in sorted(scores)[:5]]
-        assert [got[(qid, i)] for i in range(1, 6)] == expected, qid
-    assert list(itertools.islice(got, 1))
+    from collections import Counter
+    papers = zipf_papers(7, 300, 60)
+    rnd = random.Random(1)
+    qs = [("q1", "w1 w2"), ("q2", "zzz unknown"), ("q3", "w3 w3 w300"), ("q4", ""), ("q5", "the"), ("q6", "the w399 w398 w390")]
+    qs += [(f"r{i}", " ".join(rnd.choices(papers[rnd.randrange(300)][2].split(), k=12)) + " w9") for i in range(8)]
+    corpus = corpus_of(spark, papers)
+    post = corpus.lexical.postings.where("tf_abs > 0").select("tb", "term", "pmc_id", F.col("tf_abs").alias("tf"))
+    for floor in (1, 4, 10_000):
+        got = similarity_corpus(spark.createDataFrame(qs, "query_id string, user_query string"),
+                                corpus.stats.select("pmc_id", "abs_sq"), post, corpus.lexical.terms.drop("rest"), k=5,
+                                term_buckets=4, floor=floor)
+        got = {(r.query_id, r.hit_rank): (r.pmc_id, r.score) for r in got.collect()}
+        vectors = {pid: Counter(a.split()) for pid, _, a in papers}
+        for qid, q in qs:
+            qv = Counter(q.split())
+            qq, scores = sum(x * x for x in qv.values()), []
+            for pid, a in vectors.items():
+                qa, aa = sum(qv[w] * a[w] for w in qv), sum(x * x for x in a.values())
+                scores.append((-((qa + qq) / (math.sqrt(qq) * math.sqrt(aa + 2.0 * qa + qq))) if qq else 0, pid))
+            expected = [pid for _, pid in sorted(scores)[:5]] if qq else []
+            assert [got[(qid, i)][0] for i in range(1, 6) if (qid, i) in got] == expected, (qid, floor)
+
+
+def test_similarity_pairs_do_not_follow_a_word_of_all_papers(spark):
+    papers = zipf_papers(3, 3000, 80)
+    corpus = corpus_of(spark, papers)
+    post = corpus.lexical.postings.where("tf_abs > 0").select("tb", "term", "pmc_id", F.col("tf_abs").alias("tf"))
+    q = spark.createDataFrame([("q", "the"), ("r", "the w350 w351 w352")], "query_id string, user_query string")
+    floor, others, _ = bounded_pairs(q, corpus.stats.select("pmc_id", "abs_sq"), post, 4,
+                                     corpus.lexical.terms.drop("rest"), 5)
+    assert floor.count() <= 2 * 330 and others.count() < 100
+
+
+def test_ranked_candidates_equal_scoring_every_match(spark):
+    import random
+    rnd = random.Random(4)
+    papers = zipf_papers(5, 1500, 50)
+    corpus = corpus_of(spark, papers)
+    qs = [("stop", "the"), ("rare", "w399"), ("none", "zzz"), ("mixed", "the w1 w2 w399"), ("few", "w390 w391")]
+    qs += [(f"q{i}", " ".join({*rnd.choices(papers[rnd.randrange(1500)][2].split(), k=15), "the"})) for i in range(15)]
+    terms = terms_from_text(spark.createDataFrame(qs, "query_id string, text string"), "text", "any")
+    limits = spark.createDataFrame([(q, 2 + 3 * (i % 4)) for i, (q, _) in enumerate(qs)], "query_id string, limit long")
+    want = top_candidates(match_terms(terms, corpus.lexical, "any"), limits, 11)
+    got = ranked_candidates(terms, corpus.lexical, limits, 11)
+    key = lambda df: {(r.query_id, r.rk): (r.pmc_id, round(r.bm25, 5)) for r in df.collect()}
+    assert key(got) == key(want) and len(key(got)) > 80
+
+
+def test_scored_papers_do_not_follow_a_word_of_all_papers(spark):
+    corpus = corpus_of(spark, [(f"p{i:05d}", "", "the " * (1 + i % 5) + f"a{i} " * (i % 97)) for i in range(4000)])
+    terms = spark.createDataFrame([("q", "the")], "query_id string, term string")
+    limits = spark.createDataFrame([("q", 6)], "query_id string, limit long")
+    kept, unread = open_candidates(terms, corpus.lexical, limits, 6)
+    assert 6 <= kept.count() <= CHAMPIONS and unread.count() == 1
+
+
+def test_term_counts(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (["x"],)], "t array<string>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(term_counts("t")).collect()]
+    assert got == [[("a", 1), ("b", 3), ("c", 1)], [], [("x", 1)]]
+
+
+def test_dense_topk_in_blocks(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    mat = rng.normal(size=(150, 8)).round(1)
+    mat[20] = mat[90] = mat[3]
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(mat)] + [(900, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    hits = dense_topk(df.where("vec_id % 2 = 0"), df, k=7, question_rows=20, index_rows=40)
+    assert "BatchEvalPython" not in hits._jdf.queryExecution().toString()
+    got = {(r.query_vec_id, r.hit_rank): r.vec_id for r in hits.collect()}
+    single = mat.astype(np.float32).astype(np.float64)
+    for q in range(0, 150, 2):
+        order = np.lexsort((np.arange(150), -(single @ single[q])))[:7]
+        assert [got[(q, i)] for i in range(1, 8)] == list(order)
+    assert len(got) == 75 * 7
+    assert dense_topk(df.limit(0), df, k=3).count() == 0
 
 
 def test_boolean_match_all_and_any(spark):
-    papers = spark.createDataFrame([("p1", "red apple", ""), ("p2", "red pear", ""),
-                                    ("p3", "green apple", "")],
-                                   "pmc_id string, article_title string, abstract string")
-    lex = build_lexical_index(papers)
-    q = spark.createDataFrame([("q", "red apple")], "query_id string, text string")
+    lex = corpus_of(spark, [("p1", "red apple", ""), ("p2", "red pear", ""), ("p3", "green apple", "")]).lexical
+    q = spark.createDataFrame([("q", "red apple"), ("no", "red zebra")], "query_id string, text string")
     all_ = {r.pmc_id for r in match_terms(terms_from_text(q, "text", "all"), lex, "all").collect()}
-    any_ = {r.pmc_id for r in match_terms(terms_from_text(q, "text", "any"), lex, "any").collect()}
+    any_ = {r.pmc_id for r in match_terms(terms_from_text(q.where("query_id = 'q'"), "text", "any"), lex, "any").collect()}
     assert all_ == {"p1"} and any_ == {"p1", "p2", "p3"}
     # (red or green) and (apple)
     t = spark.createDataFrame([("q", 0, "red"), ("q", 0, "green"), ("q", 1, "apple")],
