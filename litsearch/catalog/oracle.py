@@ -233,6 +233,34 @@ UNION ALL
 SELECT query_id, 1 AS alt, pmc_id, bm25, n_groups FROM a1"""
 
 
+def sql_boolean_strings() -> str:
+    """The meaning of each form written out; the strings only as text."""
+    used = match_cte("used", "SELECT query_id, 0 AS group_id, term FROM word WHERE NOT (form = 3 AND pos = 4)", "any")
+    return with_(PAPERS, QUERIES, LEXICAL, """
+word AS (
+  SELECT query_id, CAST(query_id AS BIGINT) % 6 AS form, pos, toks[pos] AS term FROM qtok, range(1, 5) AS r(pos)),
+string AS (
+  SELECT query_id, CAST(query_id AS BIGINT) % 6 AS form, CASE CAST(query_id AS BIGINT) % 6
+    WHEN 0 THEN '("' || toks[1] || '" and "' || toks[2] || '") or ("' || toks[3] || '" and "' || toks[4] || '")'
+    WHEN 1 THEN '"' || toks[1] || '" AND ("' || toks[2] || '" or ("' || toks[3] || '" and "' || toks[4] || '"))'
+    WHEN 2 THEN toks[1] || ' ' || toks[2] || ' or "' || toks[3] || ' ' || toks[4] || '"'
+    WHEN 3 THEN '"' || toks[1] || '" or "' || toks[2] || '" and "' || toks[3] || '"'
+    WHEN 4 THEN '("' || toks[1] || '" and ("' || toks[2] || '")'
+    ELSE '"' || toks[1] || '" or' END AS search_string
+  FROM qtok),
+has AS (
+  SELECT w.query_id, w.form, p.pmc_id, bool_or(pos = 1) AS a, bool_or(pos = 2) AS b, bool_or(pos = 3) AS c,
+         bool_or(pos = 4) AS d
+  FROM word w JOIN postings p USING (term) GROUP BY w.query_id, w.form, p.pmc_id)""", used) + """
+SELECT s.query_id, s.search_string, h.pmc_id, u.bm25, NULL AS reason
+FROM has h JOIN string s USING (query_id) JOIN used u ON u.query_id = h.query_id AND u.pmc_id = h.pmc_id
+WHERE CASE h.form WHEN 0 THEN (a AND b) OR (c AND d) WHEN 1 THEN a AND (b OR (c AND d)) WHEN 2 THEN (a AND b) OR (c AND d)
+      WHEN 3 THEN (a OR b) AND c ELSE false END
+UNION ALL
+SELECT query_id, search_string, NULL, NULL, CASE form WHEN 4 THEN 'unbalanced parenthesis'
+  ELSE 'operator without operand' END FROM string WHERE form > 3"""
+
+
 def sql_similarity_tf() -> str:
     return with_(PAPERS, QUERIES, f"""
 idx AS (SELECT pmc_id, abs_sq FROM papers_s WHERE abstract <> '' AND n_tokens <= {MAX_INDEX_TOKENS}),
@@ -531,6 +559,38 @@ SELECT query_id, CAST(rk AS INTEGER) AS rk, pmc_id, search_score,
 FROM ranked WHERE amount > n_found OR rk <= amount"""
 
 
+def sql_result_document() -> str:
+    """The JSON text of every question's result, field by field."""
+    strings = ["article_title", "abstract", "keywords", "doi", "pmc_id", "pm_id", "author", "url", "pub_year"]
+    listed = ("CASE WHEN len(p.keywords) = 0 THEN 'null' ELSE '[' || array_to_string(list_transform(p.keywords, "
+              "lambda k: CAST(to_json(k) AS VARCHAR)), ',') || ']' END")
+    fields = " || ".join(f"',\"{c}\":' || " + (listed if c == "keywords" else f"CAST(to_json(p.{c}) AS VARCHAR)")
+                         for c in strings)
+    escaped = "doc"
+    for char, code in (("'&'", "\\u0026"), ("'<'", "\\u003c"), ("'>'", "\\u003e"), ("chr(8232)", "\\u2028"),
+                       ("chr(8233)", "\\u2029")):
+        escaped = f"replace({escaped}, {char}, '{code}')"
+    ranked = sql_search_iterative().rsplit("\nSELECT query_id, CAST(rk", 1)[0]
+    return ranked + f""",
+shown AS (
+  SELECT r.query_id, least(r.amount, r.n_found) AS paper_count, r.rk,
+         '{{"search_score":' || CAST(r.search_score AS VARCHAR) || {fields} || '}}' AS paper
+  FROM ranked r JOIN papers p USING (pmc_id) WHERE r.amount > r.n_found OR r.rk <= r.amount),
+lists AS (
+  SELECT query_id, '[' || string_agg(paper, ',' ORDER BY rk) || ']' AS papers, max(paper_count) AS paper_count
+  FROM shown GROUP BY query_id),
+tried AS (
+  SELECT query_id, '[' || string_agg(CAST(to_json(query_text) AS VARCHAR), ',' ORDER BY round) || ']' AS strings
+  FROM asked GROUP BY query_id),
+documents_json AS (
+  SELECT q.query_id, '{{"ts":1700000000000,"data":{{"resq":{{"query":' || CAST(to_json(q.user_query) AS VARCHAR)
+    || ',"papers":' || coalesce(l.papers, 'null') || ',"keywords":' || coalesce(t.strings, 'null')
+    || ',"threshold":' || CAST(q.threshold AS VARCHAR) || ',"paper_count":'
+    || CAST(coalesce(l.paper_count, 0) AS VARCHAR) || '}}}}}}' AS doc
+  FROM params q LEFT JOIN lists l USING (query_id) LEFT JOIN tried t USING (query_id))
+SELECT query_id, {escaped} AS document FROM documents_json"""
+
+
 def sql_query_log() -> str:
     return _loop() + "\nSELECT query_id, round, query_text, kind FROM asked"
 
@@ -689,6 +749,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "candidates_topk": sql_candidates_topk(),
         "candidates_boolean": sql_candidates_boolean(),
+        "boolean_strings": sql_boolean_strings(),
         "similarity_tf": sql_similarity_tf(),
         "similarity_embedding": sql_similarity_embedding(),
         "threshold_hits": sql_threshold_hits(),
@@ -707,6 +768,7 @@ def oracle_sql() -> dict[str, str]:
         "query_log": sql_query_log(),
         "requery_alternatives": sql_requery_alternatives(),
         "search_ends": sql_search_ends(),
+        "result_document": sql_result_document(),
         "stream_search": sql_search_iterative(),
         "search_repeated_ids": sql_search_repeated_ids(),
         "index_rows": sql_index_rows(),

@@ -106,6 +106,19 @@ def q_candidates_boolean(spark, sf_dir):
     return out
 
 
+def q_boolean_strings(spark, sf_dir):
+    """Search strings as text; those that cannot be read come with the reason and no paper."""
+    from litsearch.operators.boolean import match_strings, parsed_strings
+    parsed = parsed_strings(FX.search_strings_from_queries(_tables(spark, sf_dir)["queries"]))
+    matches = match_strings(parsed, corpus_for(spark, sf_dir).lexical)
+    strings = parsed.select("query_id", "search_string", "reason")
+    rejected = strings.where("reason is not null").select(
+        "query_id", "search_string", F.lit(None).cast("string").alias("pmc_id"), F.lit(None).cast("double").alias("bm25"),
+        "reason")
+    return strings.join(matches, "query_id").select("query_id", "search_string", "pmc_id", "bm25", "reason").unionByName(
+        rejected)
+
+
 # --- similarity ------------------------------------------------------------------
 
 def _similarity(spark, sf_dir):
@@ -533,6 +546,7 @@ def registry() -> dict:
     return {
         "candidates_topk": q_candidates_topk,
         "candidates_boolean": q_candidates_boolean,
+        "boolean_strings": q_boolean_strings,
         "similarity_tf": q_similarity_tf,
         "similarity_embedding": q_similarity_embedding,
         "threshold_hits": q_threshold_hits,

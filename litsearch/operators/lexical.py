@@ -153,7 +153,8 @@ def question_terms(terms: DataFrame) -> DataFrame:
             .withColumn("primary", F.col("group_id") == F.min("group_id").over(by_term)))
 
 
-def _postings(index: LexicalIndex) -> DataFrame:
+def searchable_postings(index: LexicalIndex) -> DataFrame:
+    """The postings of the searched fields."""
     cols = ["term", "pmc_id", "tf", "doc_len", "df"] + (["tb"] if index.term_buckets else [])
     return index.postings.where(F.col("tf") > 0).select(*cols)
 
@@ -179,11 +180,11 @@ def match_terms(terms: DataFrame, index: LexicalIndex, match: str = "all") -> Da
                 .groupBy("query_id").agg(F.min_by("group_id", F.struct("size", "group_id")).alias("group_id"),
                                          F.min("size").alias("size")).where("size > 0").drop("size"))
         first = qt.where("df is not null").join(size, ["query_id", "group_id"]).select("query_id", "term")
-        found = join_postings(first, _postings(index), index.term_buckets).select("query_id", "pmc_id").distinct()
+        found = join_postings(first, searchable_postings(index), index.term_buckets).select("query_id", "pmc_id").distinct()
         pairs = found.join(qt.where("df is not null").drop("df"), "query_id")
-        joined = join_postings(pairs, _postings(index), index.term_buckets, keys=("term", "pmc_id"))
+        joined = join_postings(pairs, searchable_postings(index), index.term_buckets, keys=("term", "pmc_id"))
     else:
-        joined = join_postings(qt, _postings(index), index.term_buckets)
+        joined = join_postings(qt, searchable_postings(index), index.term_buckets)
     agg = joined.groupBy("query_id", "pmc_id").agg(
         F.sum(F.when(F.col("primary"), contribution(index)).otherwise(F.lit(0.0))).alias("bm25_raw"),
         F.size(F.collect_set("group_id")).alias("n_matched"),
@@ -206,7 +207,7 @@ def _best(scored: DataFrame, limits: DataFrame, by: str, most: int, times: int =
 def _looked_up(pairs: DataFrame, lists: DataFrame, index: LexicalIndex) -> DataFrame:
     """``pairs`` (query_id, pmc_id, known) with ``score``: ``known`` and what the terms of ``lists`` add."""
     wanted = pairs.select("query_id", "pmc_id").join(lists.select("query_id", "term"), "query_id")
-    more = (join_postings(wanted, _postings(index), index.term_buckets, keys=("term", "pmc_id"))
+    more = (join_postings(wanted, searchable_postings(index), index.term_buckets, keys=("term", "pmc_id"))
             .groupBy("query_id", "pmc_id").agg(F.sum(contribution(index)).alias("more")))
     return pairs.join(more, ["query_id", "pmc_id"], "left").withColumn(
         "score", F.col("known") + F.coalesce("more", F.lit(0.0))).drop("more")
@@ -234,7 +235,7 @@ def open_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, mo
     def read(whole: DataFrame, champions: DataFrame) -> DataFrame:
         part = contribution(index)
         zero = F.lit(0.0)
-        rows = join_postings(whole.select("query_id", *[c for c in cols if c != "rest"]), _postings(index),
+        rows = join_postings(whole.select("query_id", *[c for c in cols if c != "rest"]), searchable_postings(index),
                              index.term_buckets).select("query_id", "pmc_id", part.alias("known"),
                                                         zero.alias("top"), zero.alias("rest"))
         keys = [c for c in cols if c != "rest"]

@@ -107,6 +107,27 @@ def query_terms_from_queries(queries: DataFrame) -> DataFrame:
         "query_id", F.col("alt").cast("int"), F.col("group_id").cast("int"), "term")
 
 
+def search_strings_from_queries(queries: DataFrame) -> DataFrame:
+    """A search string per question from its first four words a, b, c, d, in six forms by number modulo 6.
+
+    The last two cannot be read: a parenthesis stays open, an operator has no right side.
+    """
+    word = [F.get(tokens("user_query"), F.lit(i)) for i in range(4)]
+    a, b, c, d = word
+    quoted = [F.concat(F.lit('"'), w, F.lit('"')) for w in word]
+    form = F.col("query_id").cast("long") % 6
+
+    def text(pattern: str):
+        return F.format_string(pattern, *quoted)
+
+    return queries.select("query_id", F.when(form == 0, text("(%1$s and %2$s) or (%3$s and %4$s)"))
+                          .when(form == 1, text("%1$s AND (%2$s or (%3$s and %4$s))"))
+                          .when(form == 2, F.format_string('%s %s or "%s %s"', a, b, c, d))
+                          .when(form == 3, text("%1$s or %2$s and %3$s"))
+                          .when(form == 4, text("(%1$s and (%2$s)"))
+                          .otherwise(text("%1$s or")).alias("search_string"))
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three pipeline inputs derived from one scale-factor folder."""
     documents = read_table(spark, sf_dir, "documents")

@@ -9,6 +9,7 @@ from litsearch.functions.paper import author, effective_amount, effective_thresh
 from litsearch.functions.text import abstract_text, token_count, trim_ws
 from litsearch.operators import feedback as FB
 from litsearch.operators import merge as MG
+from litsearch.operators.boolean import Unreadable, match_strings, parsed_strings, postfix_of
 from litsearch.operators.index import index_rows, latest_per_object
 from litsearch.operators.lexical import (CHAMPIONS, match_terms, open_candidates, ranked_candidates,
                                          terms_from_text, top_candidates)
@@ -309,3 +310,59 @@ def test_result_document_nulls_and_escaping(spark):
 def test_token_count_counts_letters_and_digits(spark):
     df = spark.createDataFrame([("Hello, world 42! Ça-va",)], "t string")
     assert df.select(token_count("t")).first()[0] == 5
+
+
+@pytest.mark.parametrize("text, postfix, leaves", [
+    ('("bacteria" and "cancer") and ("a" or "b" or "c d")', [0, 1, -1, 2, 3, -2, 4, -2, -1], ["bacteria", "cancer", "a", "b", "c d"]),
+    ("a b OR c", [0, 1, -1, 2, -2], ["a", "b", "c"]),
+    ("a or b and c", [0, 1, -2, 2, -1], ["a", "b", "c"]),
+    ('((("x")))', [0], ["x"]),
+    ('a(b or"and")c', [0, 1, 2, -2, -1, 3, -1], ["a", "b", "and", "c"]),
+])
+def test_search_string_is_read(text, postfix, leaves):
+    assert postfix_of(text) == (postfix, leaves)
+
+
+@pytest.mark.parametrize("text, reason", [
+    ("", "empty"), ("  \n", "empty"), ("()", "operator without operand"), ("(a", "unbalanced parenthesis"),
+    ("a)", "unbalanced parenthesis"), ("a and", "operator without operand"), ("or a", "operator without operand"),
+    ("a and or b", "operator without operand"), ('"a', "unterminated quote"), ("(a or)", "operator without operand"),
+    ('"a" "', "unterminated quote")])
+def test_search_string_that_cannot_be_read(text, reason):
+    with pytest.raises(Unreadable, match=reason):
+        postfix_of(text)
+
+
+def test_search_strings_against_plain_sets(spark):
+    import random
+    rnd = random.Random(8)
+    words = list("abcdefgh")
+    papers = [(f"p{i}", "", " ".join(rnd.sample(words, rnd.randint(0, 6)))) for i in range(60)]
+    has = {w: {p for p, _, a in papers if w in a.split()} for w in words + ["zz"]}
+
+    def tree(depth):
+        if not depth or rnd.random() < 0.2:
+            some = rnd.sample(words + ["zz"], rnd.choice([1, 1, 2]))
+            return '"' + " ".join(some).upper() + '"', set.intersection(*[has[w] for w in some])
+        (a, x), (b, y) = tree(depth - 1), tree(depth - 1)
+        op = rnd.choice(["and", "or"])
+        return f"({a} {op} {b})", x & y if op == "and" else x | y
+
+    cases = {f"q{i}": tree(i % 5) for i in range(40)}
+    deep = "(" * 60 + "a" + " or b) and c" + ")" * 59  # many levels
+    cases["deep"] = (deep, (has["a"] | has["b"]) & has["c"])
+    rows = [(q, t) for q, (t, _) in cases.items()] + [("null", None), ("dash", '"—" or a'), ("open", "(a")]
+    parsed = parsed_strings(spark.createDataFrame(rows, "query_id string, search_string string"))
+    assert {r.query_id: r.reason for r in parsed.where("reason is not null").collect()} == {
+        "null": "empty", "dash": "term without letters or digits", "open": "unbalanced parenthesis"}
+    got = {}
+    for r in match_strings(parsed, corpus_of(spark, papers).lexical).collect():
+        got.setdefault(r.query_id, set()).add(r.pmc_id)
+    assert {q: got.get(q, set()) for q in cases} == {q: x for q, (_, x) in cases.items()}
+
+
+def test_search_string_reads_the_lists_of_its_cover_only(spark):
+    from litsearch.operators.boolean import cover
+    df = spark.createDataFrame([([0, 1, -2, 2, -1], [10, 10, 7]), ([0, 1, -2, 2, -1], [3, 2, 7])],
+                               "postfix array<int>, costs array<long>")
+    assert [sorted(r[0]) for r in df.select(cover(F.col("postfix"), F.col("costs"))).collect()] == [[2], [0, 1]]
