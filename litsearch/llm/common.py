@@ -44,6 +44,9 @@ def fold_of(doc_id, folds: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+MOST_GROUPS = 10_000  # rows of counts that are broadcast
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned CRC-32 of an ASCII string, bit by bit."""
     bits = (f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))")
@@ -59,7 +62,8 @@ def hash_sample(df: DataFrame, limit: int, by: list[str], key: str = "doc_id", s
     """
     counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
     share = (F.xxhash64(F.lit(seed), F.col(key)) / F.lit(2.0 ** 63) + 1) / 2
-    return (df.join(F.broadcast(counts.limit(10_000)), by)
+    few = counts.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS  # more groups are joined without a broadcast
+    return (df.join(F.broadcast(counts) if few else counts, by)
             .where(share * F.col("_n") <= F.lit(float(limit))).drop("_n"))
 
 

@@ -109,7 +109,12 @@ def repeated_words(codes: np.ndarray) -> int:
     """Words inside 3-word windows that occur twice or more (first occurrences included)."""
     if len(codes) < 4:
         return 0
-    windows = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+    if codes.max() < 1 << 21:
+        windows = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+    else:  # three codes do not fit into 64 bits: number the pairs first
+        _, own = np.unique(codes, return_inverse=True)
+        _, pairs = np.unique(own[:-1] * (own.max() + 1) + own[1:], return_inverse=True)
+        windows = pairs[:-1] * (own.max() + 1) + own[2:]
     _, which, count = np.unique(windows, return_inverse=True, return_counts=True)
     twice = count[which] > 1
     marked = np.zeros(len(codes), bool)

@@ -68,3 +68,26 @@ def test_clean_labelled_texts_stay():
     clean = d[(d.quality == 1) & ~d.base]
     assert clean.kept.mean() > 0.98
     assert d[(d.quality == 0)].kept.mean() < 0.4
+
+
+def test_repeated_words_with_many_codes():
+    import numpy as np
+    from litsearch.llm.fertility import repeated_words
+
+    def plain(codes):
+        seen, marked = {}, set()
+        for i in range(len(codes) - 2):
+            seen.setdefault(tuple(codes[i:i + 3]), []).append(i)
+        for at in seen.values():
+            if len(at) > 1:
+                marked |= {i + k for i in at for k in range(3)}
+        return len(marked)
+
+    assert repeated_words(np.array([0, 0, 2 ** 21, 50, 0, 1, 0])) == 0
+    rng = np.random.default_rng(3)
+    for high in (5, 2 ** 21 - 1, 2 ** 21 + 3, 2 ** 40):
+        words = rng.integers(0, high, 12)
+        codes = words[rng.integers(0, 12, 400)]
+        assert repeated_words(codes) == plain(codes.tolist())
+    many = np.arange(2_200_000)
+    assert repeated_words(np.concatenate([many, many[-5:]])) == 10
