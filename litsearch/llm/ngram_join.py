@@ -189,7 +189,8 @@ def find_links(docs: DataFrame, sets: DataFrame, words: int, percent: int,
 
 def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, boundary: int | None = None,
                    block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per input row: doc_id, th, n_shingles, component_id (least doc_id reachable by links)."""
+    """One row per input row: doc_id, th, n_shingles, component_id (least doc_id reachable by links) and root,
+    which names the group (null without words; two groups may have the same least id if an id is repeated)."""
     if boundary is None:
         boundary = choose_boundary(size_histogram(docs), percent)
     sets = stored(signed(docs, words, percent, boundary), "signed")
@@ -197,27 +198,29 @@ def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, boundary:
     found = nodes.join(components(links), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "least_id")
     least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = stored(found.join(least, "root").select("node", "component_id"), "component-ids")
+    named = stored(found.join(least, "root").select("node", "root", "component_id"), "component-ids")
     linked = sets.where("node is not null").select("doc_id", "th", "n_shingles", "node").join(named, "node")
     alone = sets.where("node is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "th", "n_shingles", "component_id").unionByName(alone)
+    return linked.select("doc_id", "th", "n_shingles", "component_id", "root").unionByName(
+        alone.withColumn("root", F.lit(None).cast(linked.schema["root"].dataType)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of which each group keeps one: the row with the least doc_id.
 
-    Of rows that are equal in id and text one stays; documents without words all
-    stay, as they are linked with nothing.
+    Null ids come last, and of rows that are equal in id one stays, whatever their texts;
+    documents without words all stay, as they are linked with nothing.
     """
-    groups = similar_groups(docs, words, percent)
-    stays = stored(groups.where("n_shingles = 0 or doc_id <=> component_id")
-                   .select("doc_id", "th", "n_shingles").distinct(), "stays")
+    groups = similar_groups(docs, words, percent).where("root is not null")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    stays = stored(groups.groupBy("root").agg(F.min(first).alias("f")).select(
+        _row_key("f.doc_id", F.col("f.th")).alias("key")).distinct(), "stays")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = (docs.select(row, _row_key("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("key"))
-            .join(stays.select(_row_key("doc_id", F.col("th")).alias("key"), "n_shingles"), "key"))
-    # the join has brought equal rows together; of those with words the first stays
-    one = kept.groupBy("key").agg(F.first("n_shingles").alias("n"), F.collect_list("row").alias("rows"))
-    return one.select(F.explode(F.when(F.col("n") > 0, F.slice("rows", 1, 1)).otherwise(F.col("rows"))).alias("row")).select("row.*")
+    worded = F.coalesce("text", F.lit("")).rlike(WORD)
+    # equal rows become one before they meet, so none of them pile up in a task
+    rows = (docs.where(worded).select(row, _row_key("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("key"))
+            .groupBy("key").agg(F.first("row").alias("row")))
+    return rows.join(stays, "key", "left_semi").select("row.*").unionByName(docs.where(~worded))
 
 
 def _row_key(doc_id, text_hash):
