@@ -143,7 +143,7 @@ def match_strings(parsed: DataFrame, index: LexicalIndex) -> DataFrame:
     postings = searchable_postings(index)
     papers = join_postings(first, postings, index.term_buckets).select("query_id", "pmc_id").distinct()
     scored = words.groupBy("query_id", "term").agg(F.min("leaf").alias("scored"))
-    wanted = words.where("df > 0").drop("df").join(scored, ["query_id", "term"])
+    wanted = words.where("df > 0").join(scored, ["query_id", "term"])
     found = join_postings(papers.join(wanted, "query_id"), postings, index.term_buckets, keys=("term", "pmc_id"))
     per_leaf = found.groupBy("query_id", "pmc_id", "leaf").agg(
         (F.count("*") == F.max("n_words")).alias("whole"),

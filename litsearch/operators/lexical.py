@@ -54,7 +54,7 @@ DEFAULT_FIELDS = ("article_title", "abstract")
 class LexicalIndex:
     """Postings of a corpus plus the two corpus-wide scalars of BM25.
 
-    ``postings``: term, pmc_id, tf, doc_len, df and optionally ``tf_abs``
+    ``postings``: term, pmc_id, tf, doc_len and optionally ``tf_abs``
     (count in the abstract alone) and ``tb`` (term bucket, the partition
     column of a stored index). ``terms``: tb, term, df, rest (the most that a posting
     beyond the champions has as ``impact``; 0 if there is none). ``champions``: as
@@ -154,8 +154,8 @@ def question_terms(terms: DataFrame) -> DataFrame:
 
 
 def searchable_postings(index: LexicalIndex) -> DataFrame:
-    """The postings of the searched fields."""
-    cols = ["term", "pmc_id", "tf", "doc_len", "df"] + (["tb"] if index.term_buckets else [])
+    """The postings of the searched fields; a term's ``df`` comes from ``index.terms``."""
+    cols = ["term", "pmc_id", "tf", "doc_len"] + (["tb"] if index.term_buckets else [])
     return index.postings.where(F.col("tf") > 0).select(*cols)
 
 
@@ -173,15 +173,15 @@ def match_terms(terms: DataFrame, index: LexicalIndex, match: str = "all") -> Da
     """
     if match not in ("all", "any"):
         raise ValueError(f"match must be 'all' or 'any', not {match!r}")
-    qt = question_terms(terms)
+    qt = question_terms(terms).join(index.terms.select("term", "df"), "term", "left" if match == "all" else "inner")
     if match == "all":
-        qt = materialize(qt.join(index.terms.select("term", "df"), "term", "left"), "question-terms")
+        qt = materialize(qt, "question-terms")
         size = (qt.groupBy("query_id", "group_id").agg(F.sum(F.coalesce("df", F.lit(0))).alias("size"))
                 .groupBy("query_id").agg(F.min_by("group_id", F.struct("size", "group_id")).alias("group_id"),
                                          F.min("size").alias("size")).where("size > 0").drop("size"))
         first = qt.where("df is not null").join(size, ["query_id", "group_id"]).select("query_id", "term")
         found = join_postings(first, searchable_postings(index), index.term_buckets).select("query_id", "pmc_id").distinct()
-        pairs = found.join(qt.where("df is not null").drop("df"), "query_id")
+        pairs = found.join(qt.where("df is not null"), "query_id")
         joined = join_postings(pairs, searchable_postings(index), index.term_buckets, keys=("term", "pmc_id"))
     else:
         joined = join_postings(qt, searchable_postings(index), index.term_buckets)
@@ -206,7 +206,7 @@ def _best(scored: DataFrame, limits: DataFrame, by: str, most: int, times: int =
 
 def _looked_up(pairs: DataFrame, lists: DataFrame, index: LexicalIndex) -> DataFrame:
     """``pairs`` (query_id, pmc_id, known) with ``score``: ``known`` and what the terms of ``lists`` add."""
-    wanted = pairs.select("query_id", "pmc_id").join(lists.select("query_id", "term"), "query_id")
+    wanted = pairs.select("query_id", "pmc_id").join(lists.select("query_id", "term", "df"), "query_id")
     more = (join_postings(wanted, searchable_postings(index), index.term_buckets, keys=("term", "pmc_id"))
             .groupBy("query_id", "pmc_id").agg(F.sum(contribution(index)).alias("more")))
     return pairs.join(more, ["query_id", "pmc_id"], "left").withColumn(
@@ -229,17 +229,15 @@ def open_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, mo
     cols = (["tb"] if index.term_buckets else []) + ["term", "df", "rest"]
     lists = materialize(terms.select("query_id", "term").distinct().join(index.terms.select(*cols), "term")
                         .withColumn("rest", weight * F.col("rest")), "question-lists")
-    cols.remove("df")  # the postings have it
+    keys = [c for c in cols if c in ("tb", "term")]
     long_lists = lists.where("rest > 0").select("query_id", *cols)
 
     def read(whole: DataFrame, champions: DataFrame) -> DataFrame:
         part = contribution(index)
         zero = F.lit(0.0)
-        rows = join_postings(whole.select("query_id", *[c for c in cols if c != "rest"]), searchable_postings(index),
-                             index.term_buckets).select("query_id", "pmc_id", part.alias("known"),
-                                                        zero.alias("top"), zero.alias("rest"))
-        keys = [c for c in cols if c != "rest"]
-        tops = champions.join(index.champions.drop("impact"), keys).select(
+        rows = join_postings(whole.select("query_id", "df", *keys), searchable_postings(index), index.term_buckets).select(
+            "query_id", "pmc_id", part.alias("known"), zero.alias("top"), zero.alias("rest"))
+        tops = champions.join(index.champions.select("pmc_id", "tf", "doc_len", *keys), keys).select(
             "query_id", "pmc_id", zero.alias("known"), part.alias("top"), "rest")
         return rows.unionByName(tops).groupBy("query_id", "pmc_id").agg(
             *[F.sum(c).alias(c) for c in ("known", "top", "rest")])

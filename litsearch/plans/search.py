@@ -107,37 +107,45 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     postings = postings_from_fields(base, fields)
     if persist:  # counts first: both uses below read them, not the text
         postings = materialize(postings, "counts")
-    per_paper = postings.groupBy("pmc_id").agg(
+    stats = paper_stats(base, postings)
+    if persist:
+        stats = materialize(stats, "paper-stats")
+    n_docs, avg_len = corpus_size(stats)
+    save = materialize if persist else (lambda df, *_: df)
+    postings, champions, terms = lexical_tables(postings, avg_len, buckets, save)
+    return Corpus(papers, stats, LexicalIndex(postings, n_docs, avg_len, buckets, terms, champions))
+
+
+def paper_stats(papers: DataFrame, counts: DataFrame) -> DataFrame:
+    """One narrow row per paper: token count, a.a and BM25 length come from the (term, paper) counts."""
+    per_paper = counts.groupBy("pmc_id").agg(
         F.sum("tf_abs").alias("n_tokens"),
         F.sum(F.col("tf_abs") * F.col("tf_abs")).alias("abs_sq"),
         F.max("doc_len").alias("doc_len"))
-    stats = (base.select("pmc_id", "real_id", "keywords",
-                         (F.col("abstract") == F.lit("")).alias("empty_abstract"))
-             .join(per_paper, "pmc_id", "left")
-             .select("pmc_id", "real_id", "keywords", "empty_abstract",
-                     *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                       for c in ("n_tokens", "abs_sq", "doc_len")]))
-    if persist:
-        stats = materialize(stats, "paper-stats")
+    return (papers.select("pmc_id", "real_id", "keywords", (F.col("abstract") == F.lit("")).alias("empty_abstract"))
+            .join(per_paper, "pmc_id", "left")
+            .select("pmc_id", "real_id", "keywords", "empty_abstract",
+                    *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                      for c in ("n_tokens", "abs_sq", "doc_len")]))
+
+
+def corpus_size(stats: DataFrame) -> tuple[int, float]:
+    """Number of papers and average BM25 length: the two scalars that the driver reads."""
     agg = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).first()
     n_docs, total = int(agg["n"] or 0), int(agg["total"] or 0)
-    doc_freq = postings.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    postings = (postings.join(doc_freq, "term", "left")
-                .withColumn("tb", term_bucket("term", buckets)))
-    if persist:
-        path = scratch_path(spark, "postings")
-        (postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term")
-         .write.partitionBy("tb").parquet(path))
-        postings = spark.read.schema(postings.schema).parquet(path)
-    avg_len = (total / n_docs) if n_docs else 0.0
-    champions = champion_postings(postings, avg_len)
-    if persist:
-        champions = materialize(champions, "champions")
-    terms = term_table(postings, champions, buckets)
-    if persist:
-        terms = materialize(terms, "terms")
-    lexical = LexicalIndex(postings, n_docs, avg_len, buckets, terms, champions)
-    return Corpus(papers, stats, lexical)
+    return n_docs, (total / n_docs) if n_docs else 0.0
+
+
+def lexical_tables(counts: DataFrame, avg_len: float, buckets: int, save) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (partitioned by term bucket), champions and terms of (term, paper) ``counts``.
+
+    ``save(df, name, partition_by)`` stores a table and returns it.
+    """
+    doc_freq = counts.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = counts.join(doc_freq, "term", "left").withColumn("tb", term_bucket("term", buckets))
+    postings = save(postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term"), "postings", "tb")
+    champions = save(champion_postings(postings, avg_len), "champions")
+    return postings, champions, save(term_table(postings, champions, buckets), "terms")
 
 
 def with_paper_key(papers: DataFrame) -> DataFrame:
