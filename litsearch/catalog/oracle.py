@@ -305,6 +305,30 @@ SELECT c.query_id, c.pmc_id, CAST(c.rk AS INTEGER) AS rk, CAST(h.hit_rank AS INT
 FROM c2 c JOIN h2 h ON h.query_id = c.query_id AND h.pmc_id = c.pmc_id"""
 
 
+def sql_score_papers_bm25() -> str:
+    k1, b = repr(BM25_K1), repr(BM25_B)
+    return with_(*ROUND0[:5], f"""
+part AS (
+  SELECT c.query_id, c.pmc_id, sum(v.qtf
+    * ln(CAST(1.0 AS DOUBLE) + ((s.n_docs - d.df) + CAST(0.5 AS DOUBLE)) / (d.df + CAST(0.5 AS DOUBLE)))
+    * (a.tf * CAST({repr(BM25_K1 + 1.0)} AS DOUBLE))
+    / (a.tf + CAST({k1} AS DOUBLE) * (CAST({repr(1.0 - BM25_B)} AS DOUBLE)
+       + (CAST({b} AS DOUBLE) * ps.n_tokens) / s.avg_len))) AS qa
+  FROM c2 c JOIN papers_s ps USING (pmc_id) JOIN abs_terms a ON a.pmc_id = c.pmc_id
+  JOIN qv v ON v.query_id = c.query_id AND v.term = a.term JOIN dfreq d ON d.term = a.term CROSS JOIN lstats s
+  GROUP BY c.query_id, c.pmc_id),
+own AS (
+  SELECT c.query_id, c.pmc_id, c.rk, round(coalesce(p.qa, CAST(0 AS DOUBLE))
+         / (coalesce(p.qa, CAST(0 AS DOUBLE)) + q.q_sq), {SCORE_DIGITS}) AS score
+  FROM c2 c JOIN papers_s ps USING (pmc_id) JOIN qsq q ON q.query_id = c.query_id
+  LEFT JOIN part p ON p.query_id = c.query_id AND p.pmc_id = c.pmc_id
+  WHERE ps.abstract <> '' AND ps.n_tokens <= {MAX_INDEX_TOKENS})""") + f"""
+SELECT query_id, pmc_id, CAST(rk AS INTEGER) AS rk, CAST(hit_rank AS INTEGER) AS hit_rank,
+       CAST(score AS FLOAT) AS search_score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pmc_id) AS hit_rank FROM own)
+WHERE hit_rank <= {INDEX_HITS}"""
+
+
 def sql_score_papers_left() -> str:
     return with_(*ROUND0, _scored_left("c2", "h2")) + """
 SELECT query_id, pmc_id, CAST(rk AS INTEGER) AS rk, CAST(hit_rank AS INTEGER) AS hit_rank, search_score
@@ -754,6 +778,8 @@ def oracle_sql() -> dict[str, str]:
         "similarity_embedding": sql_similarity_embedding(),
         "threshold_hits": sql_threshold_hits(),
         "score_papers": sql_score_papers(),
+        "score_papers_bm25": sql_score_papers_bm25(),
+        "candidates_after_upserts": sql_candidates_topk(),
         "score_papers_left": sql_score_papers_left(),
         "rank_results": sql_rank_results(),
         "all_abstracts_empty": sql_all_abstracts_empty(),

@@ -66,17 +66,17 @@ class Round:
     def candidate_stats(self) -> DataFrame:
         return self.cands.select("query_id", "pmc_id", "rk").join(self.corpus.stats, "pmc_id")
 
-    def hits(self) -> DataFrame:
+    def hits(self, score=SIM.COSINE) -> DataFrame:
         from litsearch.plans.search import candidate_dots
         c = self.candidate_stats().where(
             (~F.col("empty_abstract")) & (F.col("n_tokens") <= F.lit(MAX_INDEX_TOKENS)))
         active = self.params.join(SIM.question_vectors(self.params), "query_id")
-        dots = candidate_dots(c.select("query_id", "pmc_id"), active, self.corpus.lexical)
+        dots = candidate_dots(c.select("query_id", "pmc_id", "n_tokens"), active, self.corpus.lexical, score)
         entries = (c.join(dots, ["query_id", "pmc_id"], "left")
                    .join(active.select("query_id", "q_sq"), "query_id")
                    .select("query_id", "pmc_id", "abs_sq", "q_sq",
-                           F.coalesce(F.col("qa"), F.lit(0).cast("long")).alias("qa")))
-        return SIM.score_own_index(entries)
+                           F.coalesce(F.col("qa"), F.lit(0)).alias("qa")))
+        return SIM.score_own_index(entries, score=score)
 
     def scored_left(self) -> DataFrame:
         c = self.candidate_stats().select("query_id", "pmc_id", "rk", "keywords")
@@ -160,6 +160,14 @@ def q_score_papers(spark, sf_dir):
         "query_id", "pmc_id", F.col("rk").cast("int"), F.col("hit_rank").cast("int"), "search_score")
 
 
+def q_score_papers_bm25(spark, sf_dir):
+    """J1 with another score: the hits of each question's own index by BM25 of the abstract."""
+    r = Round(spark, sf_dir)
+    c = MG.dedupe_last(r.cands.select("query_id", "pmc_id", "rk"))
+    return MG.score_papers(c, r.hits(SIM.BM25)).select(
+        "query_id", "pmc_id", F.col("rk").cast("int"), F.col("hit_rank").cast("int"), "search_score")
+
+
 def q_score_papers_left(spark, sf_dir):
     r = Round(spark, sf_dir)
     return r.scored_left().select("query_id", "pmc_id", F.col("rk").cast("int"),
@@ -227,6 +235,40 @@ def q_index_rows(spark, sf_dir):
                                 "n_tokens")
 
 
+def q_index_rows_vocabulary(spark, sf_dir):
+    """S6 with P12 counted by a byte-level vocabulary instead of letter and digit runs."""
+    from litsearch.functions.vocabulary import token_counter
+    r = Round(spark, sf_dir)
+    c = r.candidate_papers().join(r.params.select("query_id", "user_query"), "query_id")
+    return index_rows(c, count=token_counter()).select("query_id", "object_id", "data", "properties", "category",
+                                                       "n_tokens")
+
+
+def q_candidates_after_upserts(spark, sf_dir):
+    """The candidates of an index that grew by upserts and a deletion.
+
+    Old versions of a third of the papers (title and abstract exchanged) and some papers that go again come
+    first, then half of the papers as they are, a deletion, and the other half.
+    """
+    from litsearch.plans.segments import SegmentedIndex
+    from litsearch.session import scratch_path
+    d = _tables(spark, sf_dir)
+    papers, number = d["papers"], F.regexp_replace("pmc_id", "^PMC", "").cast("long")
+    index = SegmentedIndex(spark, scratch_path(spark, "segments"))
+    old = papers.where(number % 3 == 0).withColumn("_title", F.col("article_title")).withColumn(
+        "article_title", F.col("abstract")).withColumn("abstract", F.col("_title")).drop("_title")
+    leaving = papers.where(number % 5 == 0).withColumn("pmc_id", F.concat(F.lit("X"), F.col("pmc_id")))
+    index.upsert(old.unionByName(leaving))
+    index.upsert(papers.where(number % 2 == 0))
+    index.delete(leaving.select("pmc_id"))
+    index.upsert(papers.where(number % 2 == 1))
+    terms = d["query_terms"].where(F.col("alt") == 2).select("query_id", "group_id", "term")
+    most = CANDIDATE_FACTOR * int(d["params"].agg(F.max("amount")).first()[0] or 1)
+    limits = d["params"].select("query_id", (F.col("amount").cast("long") * CANDIDATE_FACTOR).alias("limit"))
+    return LX.ranked_candidates(terms, index.corpus().lexical, limits, most).select(
+        "query_id", "pmc_id", "bm25", F.col("rk").cast("int").alias("rk"))
+
+
 def _index_log(spark, sf_dir) -> DataFrame:
     """Two versions of the index: every paper, then even doc ids again under
     the next question (question = doc_id modulo the number of questions)."""
@@ -551,6 +593,7 @@ def registry() -> dict:
         "similarity_embedding": q_similarity_embedding,
         "threshold_hits": q_threshold_hits,
         "score_papers": q_score_papers,
+        "score_papers_bm25": q_score_papers_bm25,
         "score_papers_left": q_score_papers_left,
         "rank_results": q_rank_results,
         "all_abstracts_empty": q_all_abstracts_empty,
@@ -559,6 +602,8 @@ def registry() -> dict:
         "feedback_query": q_feedback_query,
         "stop_condition": q_stop_condition,
         "index_rows": q_index_rows,
+        "index_rows_vocabulary": q_index_rows_vocabulary,
+        "candidates_after_upserts": q_candidates_after_upserts,
         "index_upsert": q_index_upsert,
         "abstract_text": q_abstract_text,
         "paper_author": q_paper_author,

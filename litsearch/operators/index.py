@@ -27,15 +27,16 @@ def indexable(papers: DataFrame, max_tokens: int = MAX_INDEX_TOKENS,
     return papers.where((F.col("abstract") != F.lit("")) & (n <= F.lit(int(max_tokens))))
 
 
-def index_rows(papers_for_question: DataFrame, max_tokens: int = MAX_INDEX_TOKENS) -> DataFrame:
+def index_rows(papers_for_question: DataFrame, max_tokens: int = MAX_INDEX_TOKENS, count=token_count) -> DataFrame:
     """Index items for (question, paper) rows.
 
-    Input: query_id, user_query, pmc_id, abstract (+ optional n_tokens).
+    Input: query_id, user_query, pmc_id, abstract (+ optional n_tokens). ``count``
+    gives an abstract's number of tokens where the rows do not bring it (P12).
     Output: query_id, object_id, data, properties, category, n_tokens.
     """
     rows = papers_for_question
     if "n_tokens" not in rows.columns:
-        rows = rows.withColumn("n_tokens", token_count("abstract"))
+        rows = rows.withColumn("n_tokens", count("abstract"))
     rows = indexable(rows, max_tokens)
     return rows.select(
         "query_id",

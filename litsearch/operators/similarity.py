@@ -33,6 +33,8 @@ Two execution shapes:
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsearch.functions.text import tokens
-from litsearch.operators.lexical import join_postings
+from litsearch.operators.lexical import BM25_B, BM25_K1, SCORE_DIGITS, LexicalIndex, join_postings, term_weight
 from litsearch.schemas import INDEX_HITS
 from litsearch.session import materialize
 
@@ -100,6 +102,37 @@ def cosine(qa, qq, aa) -> Column:
     return F.when(qq > 0, (qa + qq) / denom).otherwise(F.lit(0.0))
 
 
+@dataclass(frozen=True)
+class Score:
+    """A similarity of a question and a paper's abstract, made of parts of their common terms.
+
+    ``part``: what one term adds, from the columns ``qtf``, ``tf_abs``, ``df`` and ``n_tokens``
+    (of the abstract) and the index; ``total``: the score of the parts' sum ``qa``, from the
+    columns ``qa``, ``q_sq`` and ``abs_sq``. It has to grow with ``qa``. Both are column
+    expressions, so a score of one's own costs no more than these.
+    """
+
+    name: str
+    part: Callable[[LexicalIndex], Column]
+    total: Callable[[], Column]
+
+
+def _bm25_part(index: LexicalIndex) -> Column:
+    tf = F.col("tf_abs").cast("double")
+    length = F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("n_tokens") / F.lit(index.avg_len if index.avg_len > 0 else 1.0)
+    return F.col("qtf") * term_weight(index.n_docs) * (tf * F.lit(BM25_K1 + 1.0)) / (tf + F.lit(BM25_K1) * length)
+
+
+def _bm25_total() -> Column:
+    qa = F.col("qa").cast("double")
+    return F.round(F.when(F.col("q_sq") > 0, qa / (qa + F.col("q_sq"))).otherwise(F.lit(0.0)), SCORE_DIGITS)
+
+
+COSINE = Score("cosine", lambda index: F.col("qtf") * F.col("tf_abs"), lambda: cosine("qa", "q_sq", "abs_sq"))
+#: BM25 of the abstract against the question's tokens, brought below 1 by the question's own squares.
+BM25 = Score("bm25", _bm25_part, _bm25_total)
+
+
 def question_vectors(queries: DataFrame) -> DataFrame:
     """(query_id, q_map, q_sq) from ``user_query``."""
     return (queries.select("query_id", tokens("user_query").alias("_qt"))
@@ -107,14 +140,14 @@ def question_vectors(queries: DataFrame) -> DataFrame:
                     sum_of_squares("_qt").alias("q_sq")))
 
 
-def score_own_index(entries: DataFrame, k: int = INDEX_HITS) -> DataFrame:
+def score_own_index(entries: DataFrame, k: int = INDEX_HITS, score: Score = COSINE) -> DataFrame:
     """Top ``k`` hits per question over a per-question index.
 
     ``entries``: query_id, pmc_id, qa, abs_sq, q_sq (one row per indexed
     paper of the question; ``qa`` was computed when the paper was indexed).
     Output adds ``score`` (double), ``search_score`` (float), ``hit_rank``.
     """
-    scored = entries.where(F.col("q_sq") > 0).withColumn("score", cosine("qa", "q_sq", "abs_sq"))
+    scored = entries.where(F.col("q_sq") > 0).withColumn("score", score.total())
     return rank_hits(scored, k)
 
 

@@ -12,6 +12,7 @@ bound instead of spinning; questions never share state; ties are fixed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from litsearch.operators.merge import (all_abstracts_empty, dedupe_last,
                                        first_per_paper, result_counts, score_papers_left)
 from litsearch.operators.ranking import rank_results
 from litsearch.functions.text import tokens
-from litsearch.operators.similarity import question_vectors, score_own_index
+from litsearch.operators.similarity import COSINE, Score, question_vectors, score_own_index
 from litsearch.schemas import (CANDIDATE_FACTOR, INDEX_HITS, MAX_INDEX_TOKENS, MAX_REFINEMENTS,
                                PAPER_COLUMNS, TOP_KEYWORDS)
 from litsearch.session import materialize, scratch_path
@@ -46,6 +47,7 @@ class SearchConfig:
     max_tokens: int = MAX_INDEX_TOKENS
     max_refinements: int = MAX_REFINEMENTS
     distinct_papers: bool = False
+    score: Score = COSINE              # of a question and the papers of its index
     rounds: int | None = None          # stop after this many rounds (tests)
 
 
@@ -85,7 +87,7 @@ def default_term_buckets(spark: SparkSession) -> int:
 
 
 def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = True,
-                   term_buckets: int | None = None) -> Corpus:
+                   term_buckets: int | None = None, count: Callable | None = None) -> Corpus:
     """Tokenize once; write bucketed postings and narrow per-paper stats.
 
     One pass over the text explodes every token with two flags (in the
@@ -94,7 +96,9 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     a ``rebalance`` on ``tb`` (AQE splits a bucket made large by a term
     found in most papers), sorted by term inside each file. The per-paper
     stats (token count, a.a, BM25 length) are then aggregated from the
-    postings, without reading the text again.
+    postings, without reading the text again. ``count``: a column function
+    that gives an abstract's number of tokens for the index limit (P12), such as
+    ``functions.vocabulary.token_counter``; else its letter and digit runs count.
     """
     spark = papers.sparkSession
     buckets = int(term_buckets or default_term_buckets(spark))
@@ -107,7 +111,7 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     postings = postings_from_fields(base, fields)
     if persist:  # counts first: both uses below read them, not the text
         postings = materialize(postings, "counts")
-    stats = paper_stats(base, postings)
+    stats = paper_stats(base, postings, count)
     if persist:
         stats = materialize(stats, "paper-stats")
     n_docs, avg_len = corpus_size(stats)
@@ -116,14 +120,16 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     return Corpus(papers, stats, LexicalIndex(postings, n_docs, avg_len, buckets, terms, champions))
 
 
-def paper_stats(papers: DataFrame, counts: DataFrame) -> DataFrame:
+def paper_stats(papers: DataFrame, counts: DataFrame, count: Callable | None = None) -> DataFrame:
     """One narrow row per paper: token count, a.a and BM25 length come from the (term, paper) counts."""
     per_paper = counts.groupBy("pmc_id").agg(
         F.sum("tf_abs").alias("n_tokens"),
         F.sum(F.col("tf_abs") * F.col("tf_abs")).alias("abs_sq"),
         F.max("doc_len").alias("doc_len"))
-    return (papers.select("pmc_id", "real_id", "keywords", (F.col("abstract") == F.lit("")).alias("empty_abstract"))
-            .join(per_paper, "pmc_id", "left")
+    own = [count("abstract").alias("_counted")] if count else []
+    per_paper = per_paper.withColumnRenamed("n_tokens", "_counted" if not count else "_runs")
+    return (papers.select("pmc_id", "real_id", "keywords", (F.col("abstract") == F.lit("")).alias("empty_abstract"), *own)
+            .join(per_paper, "pmc_id", "left").withColumnRenamed("_counted", "n_tokens")
             .select("pmc_id", "real_id", "keywords", "empty_abstract",
                     *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                       for c in ("n_tokens", "abs_sq", "doc_len")]))
@@ -194,19 +200,20 @@ def postings_from_fields(papers: DataFrame, fields=DEFAULT_FIELDS) -> DataFrame:
         F.sum("in_lex").alias("tf"), F.sum("in_abs").alias("tf_abs"))
 
 
-def candidate_dots(pairs_idx: DataFrame, active: DataFrame, lexical: LexicalIndex) -> DataFrame:
-    """q.a for (question, indexable candidate) pairs from the postings.
+def candidate_dots(pairs_idx: DataFrame, active: DataFrame, lexical: LexicalIndex,
+                   score: Score = COSINE) -> DataFrame:
+    """The sum of a score's parts (q.a for the cosine) for (question, indexable candidate) pairs from the postings.
 
-    Each candidate is paired with its question's terms (at most the words of
-    the question) and looked up in the postings on (term, pmc_id).
+    ``pairs_idx``: query_id, pmc_id, n_tokens. Each candidate is paired with its question's
+    terms (at most the words of the question) and looked up in the postings on (term, pmc_id).
     """
-    qterms = active.select("query_id", F.explode("q_map").alias("term", "qtf"))
+    qterms = (active.select("query_id", F.explode("q_map").alias("term", "qtf"))
+              .join(lexical.terms.select("term", "df"), "term"))
     pairs = pairs_idx.join(qterms, "query_id")
     post = lexical.postings.select(*(["tb"] if lexical.term_buckets else []),
-                                   "term", "pmc_id", "tf_abs")
+                                   "term", "pmc_id", "tf_abs").where(F.col("tf_abs") > 0)
     joined = join_postings(pairs, post, lexical.term_buckets, keys=("term", "pmc_id"))
-    return joined.groupBy("query_id", "pmc_id").agg(
-        F.sum(F.col("qtf") * F.col("tf_abs")).cast("long").alias("qa"))
+    return joined.groupBy("query_id", "pmc_id").agg(F.sum(score.part(lexical)).alias("qa"))
 
 
 def render_terms(terms: DataFrame, keys=("query_id", "alt")) -> DataFrame:
@@ -245,13 +252,13 @@ def round_candidates(active: DataFrame, terms: DataFrame, corpus: Corpus, cfg: S
     cands = dedupe_last(cands, ("query_id", "real_id"))                    # J3
     ok_len = (~F.col("empty_abstract")) & (F.col("n_tokens") <= F.lit(int(cfg.max_tokens)))
     cands = cands.withColumn("indexable", ok_len)
-    dots = candidate_dots(cands.where("indexable").select("query_id", "pmc_id"), active,
-                          corpus.lexical)
+    dots = candidate_dots(cands.where("indexable").select("query_id", "pmc_id", "n_tokens"), active,
+                          corpus.lexical, cfg.score)
+    zero = F.lit(0).cast(dots.schema["qa"].dataType)
     return (cands.join(dots, ["query_id", "pmc_id"], "left")
             .select("query_id", F.col("real_id").alias("pmc_id"), F.col("pmc_id").alias("pk"), "rk",
                     "keywords", "abs_sq", "empty_abstract", "indexable",
-                    F.when(F.col("indexable"), F.coalesce(F.col("qa"), F.lit(0).cast("long")))
-                     .otherwise(F.lit(0).cast("long")).alias("qa")))
+                    F.when(F.col("indexable"), F.coalesce(F.col("qa"), zero)).otherwise(zero).alias("qa")))
 
 
 def round_scores(round_no: int, active: DataFrame, cands: DataFrame,
@@ -272,7 +279,7 @@ def round_scores(round_no: int, active: DataFrame, cands: DataFrame,
     index_all = new_index if index_acc is None else index_acc.unionByName(new_index)
     index_q = dedupe_last(index_all.join(ok, "query_id", "left_semi"), position="round")  # S7
     hits = score_own_index(index_q.join(active.select("query_id", "q_sq"), "query_id"),
-                           cfg.hits)                                       # J4 + T2
+                           cfg.hits, cfg.score)                            # J4 + T2
     scored = score_papers_left(cands_ok, hits)                             # J2
     thr = active.select("query_id", "threshold")
     scored = scored.join(thr, "query_id").withColumn(

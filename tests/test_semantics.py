@@ -366,3 +366,25 @@ def test_search_string_reads_the_lists_of_its_cover_only(spark):
     df = spark.createDataFrame([([0, 1, -2, 2, -1], [10, 10, 7]), ([0, 1, -2, 2, -1], [3, 2, 7])],
                                "postfix array<int>, costs array<long>")
     assert [sorted(r[0]) for r in df.select(cover(F.col("postfix"), F.col("costs"))).collect()] == [[2], [0, 1]]
+
+
+def test_token_limit_by_a_vocabulary(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    from litsearch.functions.vocabulary import token_counter, vocabulary_path
+    with open(vocabulary_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", "one two three", "étiologie — naïve <|endoftext|>", "word " * 5000, "a" * 3000]
+    rows = [("q", "ask", f"p{i}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "query_id string, user_query string, pmc_id string, abstract string")
+    counts = {r.pmc_id: r.n for r in df.select("pmc_id", token_counter()("abstract").alias("n")).collect()}
+    assert counts == {f"p{i}": len(plain.encode_ordinary(t)) for i, t in enumerate(texts)}
+    kept = {r.object_id: r.n_tokens for r in index_rows(df, count=token_counter()).collect()}
+    assert kept == {i: n for i, n in counts.items() if 0 < n <= 3500}
+    papers = [("a", "", "plain words"), ("b", "", "½¾ ☃☃☃☃")]
+    base = corpus_of(spark, papers).papers.drop("pk")
+    stats = {r.pmc_id: r.n_tokens for r in prepare_corpus(base, term_buckets=2, count=token_counter()).stats.collect()}
+    assert stats == {i: len(plain.encode_ordinary(t)) for i, _, t in papers}
