@@ -543,33 +543,25 @@ def _write_in_order(parts, base: str, one_file: bool = True) -> None:
 
 
 def q_stream_conversation(spark, sf_dir):
-    """C1 stream: events in time slices, one micro-batch each."""
-    from litsearch.session import scratch_path
-    from litsearch.streaming.conversation import stream_conversations
+    """C1 stream: events in time slices, one micro-batch each; user ids as text addresses."""
+    from litsearch.session import materialize, scratch_path
+    from litsearch.streaming.conversation import start_conversation_stream
     ev = FX.read_table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"), F.col("user_id").alias("addr"), "ts")
-    src, sink, ckpt = (scratch_path(spark, n) for n in ("events", "conv", "ckpt"))
-    bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
+        F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("addr"), "ts")
+    src, sink, state, ckpt = (scratch_path(spark, n) for n in ("events", "conv", "known", "ckpt"))
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    bounds = ev.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi"),
+                    F.count("*").alias("n")).first()
     slices = max(4, -(-bounds["n"] // EVENTS_PER_FILE))  # so a file stays small however long the table
-    step = (hi - lo) / slices
-    cuts = [lo + step * i for i in range(1, slices)]
-    parts = []
-    prev = None
-    for c in cuts + [None]:
-        cond = F.lit(True) if prev is None else (F.col("ts") >= F.lit(prev))
-        if c is not None:
-            cond = cond & (F.col("ts") < F.lit(c))
-        parts.append(ev.where(cond))
-        prev = c
-    _write_in_order(parts, src)
+    place = (seconds - F.lit(bounds["lo"])) / F.lit(max(bounds["hi"] - bounds["lo"], 1e-9)) * slices
+    # dealt into slices by one pass; a slice then reads its own partition only
+    dealt = materialize(ev.withColumn("slice", F.least(F.floor(place), F.lit(slices - 1)).cast("int")), "slices", "slice")
+    _write_in_order([dealt.where(F.col("slice") == i).drop("slice") for i in range(slices)], src)
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream_conversations(stream).writeStream.format("parquet")
-         .option("checkpointLocation", ckpt).outputMode("append")
-         .trigger(availableNow=True).start(sink))
-    q.awaitTermination()
-    return spark.read.parquet(sink).select(F.col("request_id").alias("event_id"), "addr",
-                                           "conversation_id")
+    start_conversation_stream(stream, sink, state, ckpt).awaitTermination()
+    out = spark.read.schema("request_id bigint, addr string, conversation_id bigint").parquet(sink)
+    return out.select(F.col("request_id").alias("event_id"), F.col("addr").cast(FX.read_table(
+        spark, sf_dir, "events").schema["user_id"].dataType).alias("addr"), "conversation_id")
 
 
 def q_stream_index_upsert(spark, sf_dir):

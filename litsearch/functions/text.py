@@ -32,11 +32,6 @@ def trim_ws(text) -> Column:
     return F.regexp_replace(head, WHITESPACE_CLASS + r"\z", "")
 
 
-def first_tokens(text, n: int) -> Column:
-    """First ``n`` tokens joined by one space."""
-    return F.array_join(F.slice(tokens(text), 1, n), " ")
-
-
 def join_paragraphs(paragraphs) -> Column:
     """Abstract paragraphs joined by a newline."""
     return F.array_join(F.coalesce(_col(paragraphs), F.array().cast("array<string>")), "\n")

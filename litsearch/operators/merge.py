@@ -60,11 +60,6 @@ def result_counts(active: DataFrame, rows: DataFrame) -> DataFrame:
             .select("query_id", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_results")))
 
 
-def append_rows(acc: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Bag union of result rows across rounds (duplicates kept)."""
-    return new if acc is None else acc.unionByName(new)
-
-
 def first_per_paper(rows: DataFrame) -> DataFrame:
     """Optional distinct-papers mode: keep the first row per (question, paper)."""
     w = Window.partitionBy("query_id", "pmc_id").orderBy("round", "hit_rank")

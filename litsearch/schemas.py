@@ -71,16 +71,3 @@ ARTICLE_ID = T.StructType([
     T.StructField("id", T.StringType(), False),
     T.StructField("type", T.StringType(), False),
 ])
-
-# What the XML decoder returns per article, before the flattening step.
-ARTICLE = T.StructType([
-    T.StructField("ok", T.BooleanType(), False),
-    T.StructField("error", T.StringType(), True),
-    T.StructField("article_title", T.StringType(), True),
-    T.StructField("abstract_p", T.ArrayType(T.StringType(), False), True),
-    T.StructField("kwd", T.ArrayType(T.StringType(), False), True),
-    T.StructField("article_ids", T.ArrayType(ARTICLE_ID, False), True),
-    T.StructField("surname", T.StringType(), True),
-    T.StructField("given_names", T.StringType(), True),
-    T.StructField("year", T.StringType(), True),
-])

@@ -3,7 +3,7 @@
 Batch: the id of an address's first request (by time, then id) is found by
 one aggregation (``min_by`` with partial aggregation, so an address with a
 third of all requests is still reduced map-side) and joined back.
-Stream: keyed state holds the id; see ``stream_conversations``.
+Stream: a table of known addresses; see ``start_conversation_stream``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litsearch.session import materialize
+
 
 def assign_conversations(requests: DataFrame, key: str = "addr", order=("ts", "request_id"),
                          request_id: str = "request_id") -> DataFrame:
@@ -20,35 +22,41 @@ def assign_conversations(requests: DataFrame, key: str = "addr", order=("ts", "r
     return requests.join(first, key).select(request_id, key, "conversation_id")
 
 
-def _first_seen(key, batches, state):
-    """Keyed state: the conversation id of an address, set on first sight."""
-    import pandas as pd
-
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if state.exists:
-        conv = state.get[0]
-    else:
-        first = pdf.sort_values(["ts", "request_id"], kind="mergesort").iloc[0]
-        conv = int(first["request_id"])
-        state.update((conv,))
-    yield pd.DataFrame({"request_id": pdf["request_id"].astype("int64"),
-                        "addr": pdf["addr"], "conversation_id": conv})
-
-
-def stream_conversations(stream: DataFrame, addr_type: str = "bigint") -> DataFrame:
-    """C1 on a stream of (request_id, addr, ts): keyed state per address.
+def start_conversation_stream(stream: DataFrame, sink_dir: str, state_dir: str, checkpoint_dir: str,
+                              available_now: bool = True, buckets: int = 64):
+    """C1 on a stream of (request_id, addr, ts): the first request of an address ever seen names it.
 
-    No timeout: an address keeps its conversation for the life of the query
-    (the service's cache has no expiry either). Rows of one micro-batch are
-    ordered by (ts, request_id) before the first is taken; the rows per key
-    and batch are bounded by the source's per-trigger limit.
+    Ids and addresses are of any type. Per micro-batch the first request of each address
+    is found by one partial aggregation, so an address with a third of all rows is no
+    task of its own; these few rows meet the table of known addresses, of which a
+    batch reads the buckets that it needs, and the rest joins back. New addresses are
+    appended under the batch's number, and so is the output: a batch that is run
+    again reads only what earlier batches left and overwrites its own rows. An address
+    keeps its conversation for good (the service's cache has no expiry either).
+    Null addresses are one address.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return stream.groupBy("addr").applyInPandasWithState(
-        _first_seen,
-        outputStructType=f"request_id bigint, addr {addr_type}, conversation_id bigint",
-        stateStructType="conversation_id bigint",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+    spark = stream.sparkSession
+    key = stream.schema["addr"].dataType.simpleString()
+    named = stream.schema["request_id"].dataType.simpleString()
+    state_schema = f"addr {key}, conversation_id {named}, batch_id bigint, bucket int"
+    spark.createDataFrame([], state_schema).write.mode("append").partitionBy("batch_id", "bucket").parquet(state_dir)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.select("request_id", "addr", "ts")
+        first = batch.groupBy("addr").agg(
+            F.min_by("request_id", F.struct("ts", "request_id")).alias("first_id"))
+        first = materialize(first.withColumn("bucket", F.pmod(F.xxhash64("addr"), F.lit(buckets)).cast("int")), "first-seen")
+        known = (spark.read.schema(state_schema).parquet(state_dir).where(F.col("batch_id") < int(batch_id))
+                 .select("bucket", F.col("addr").alias("_addr"), "conversation_id"))
+        now = first.withColumnRenamed("bucket", "_bucket").join(
+            known, (F.col("_bucket") == F.col("bucket")) & F.col("addr").eqNullSafe(F.col("_addr")), "left")
+        now = materialize(now.select("addr", "first_id", "conversation_id", F.col("_bucket").alias("bucket")), "conversations")
+        (now.where("conversation_id is null").select("addr", F.col("first_id").alias("conversation_id"), "bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{state_dir}/batch_id={int(batch_id)}"))
+        names = now.select(F.col("addr").alias("_addr"), F.coalesce("conversation_id", "first_id").alias("conversation_id"))
+        (batch.join(names, F.col("addr").eqNullSafe(F.col("_addr"))).select("request_id", "addr", "conversation_id")
+         .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={int(batch_id)}"))
+
+    writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

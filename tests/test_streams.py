@@ -24,3 +24,21 @@ def test_stream_index_upsert_equals_batch(spark):
     cols = ["object_id", "data", "version"]
     assert rows(Q.q_stream_index_upsert(spark, SF_SMALL), cols) == \
         rows(Q.q_index_upsert(spark, SF_SMALL), cols)
+
+
+def test_conversations_with_text_ids_over_batches(spark):
+    """Text ids, a null address, an address in every batch, and a batch that is run again."""
+    from litsearch.session import scratch_path
+    from litsearch.streaming.conversation import start_conversation_stream
+    src, sink, state, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "state", "ckpt"))
+    schema = "request_id string, addr string, ts long"
+    batches = [[("r2", "10.0.0.1:1", 5), ("r1", "10.0.0.1:1", 4), ("r3", None, 1)],
+               [("r0", "10.0.0.1:1", 1), ("r4", "h", 9), ("r5", "h", 9), ("r6", None, 2)], [("r7", "h", 0)]]
+    for rows_ in batches:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    want = {"r1": "r1", "r2": "r1", "r0": "r1", "r3": "r3", "r6": "r3", "r4": "r4", "r5": "r4", "r7": "r4"}
+    for checkpoint in (ckpt, ckpt + "-again"):  # without its checkpoint the stream runs all batches again
+        start_conversation_stream(stream, sink, state, checkpoint).awaitTermination()
+        got = spark.read.parquet(sink).collect()
+        assert len(got) == 8 and {r.request_id: r.conversation_id for r in got} == want
