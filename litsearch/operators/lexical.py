@@ -43,7 +43,9 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 SCORE_DIGITS = 6     # ranking uses scores rounded to 6 digits, ties by id
 CHAMPIONS = 64       # postings of greatest impact kept apart for each longer list
+LAYERS = 32          # of impact, to find a term's champions without sorting its list
 SEEDS = 4            # so many times the limit are scored in full for a threshold
+FEW_MATCHES = 20_000_000   # postings of a search's terms up to which all of them are scored
 SLACK = 2e-6         # of bounds, for rounding
 # --------------------------------------------------------------------------
 
@@ -95,6 +97,14 @@ def join_postings(left: DataFrame, postings: DataFrame, buckets: int = 0, keys=(
     return left.join(postings, keys, how)
 
 
+def of_terms(postings: DataFrame, terms: DataFrame, buckets: int = 0) -> DataFrame:
+    """The postings of the terms of ``terms`` alone: what a look-up by (term, paper) has to shuffle and sort."""
+    keys = (["tb"] if buckets else []) + ["term"]
+    if buckets and "tb" not in terms.columns:
+        terms = terms.withColumn("tb", term_bucket("term", buckets))
+    return postings.join(terms.select(*keys).distinct().where(F.length("term") > 0), keys, "left_semi")
+
+
 def searchable_text(fields=DEFAULT_FIELDS) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
 
@@ -110,16 +120,31 @@ def term_weight(n_docs: int) -> Column:
     return F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
 
 
+def term_counts_by_impact(counts: DataFrame, avg_len: float, champions: int = CHAMPIONS) -> DataFrame:
+    """term, df and ``cut``: an impact that at least ``champions`` of the term's postings reach (null if it has
+    no more than that), read off a histogram of ``LAYERS`` layers; no posting is sorted for it."""
+    layer = F.floor(impact(avg_len) / (BM25_K1 + 1.0) * LAYERS)
+    rows = counts.where(F.col("tf") > 0).select("term", F.least(layer, F.lit(LAYERS - 1)).alias("layer"))
+    sums = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *[
+        F.sum((F.col("layer") == i).cast("int")).alias(f"_{i}") for i in range(LAYERS)])
+    cut, above = F.lit(None).cast("double"), F.lit(0)
+    for i in range(LAYERS):  # from the lowest layer up: the last that leaves enough at or above it stands
+        enough = (F.col("df") - above) >= champions
+        cut = F.when(enough, F.lit(i * (BM25_K1 + 1.0) / LAYERS)).otherwise(cut)
+        above = above + F.col(f"_{i}")
+    return sums.select("term", "df", F.when(F.col("df") > champions, cut).alias("cut"))
+
+
 def champion_postings(postings: DataFrame, avg_len: float, champions: int = CHAMPIONS) -> DataFrame:
-    """The ``champions`` postings of greatest impact of every term that has more."""
+    """The ``champions`` postings of greatest impact of every term that has more; ``postings`` with ``cut``."""
     w = Window.partitionBy("term").orderBy(F.desc("impact"), F.asc("pmc_id"))
-    long_lists = postings.where((F.col("tf") > 0) & (F.col("df") > champions)).withColumn("impact", impact(avg_len))
-    return long_lists.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= champions).drop("_n")
+    upper = postings.where("tf > 0 and cut is not null").withColumn("impact", impact(avg_len))
+    upper = upper.where(F.col("impact") >= F.col("cut") - SLACK).drop("cut")
+    return upper.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= champions).drop("_n")
 
 
-def term_table(postings: DataFrame, champions: DataFrame, buckets: int = 0) -> DataFrame:
-    """term, df, rest (see ``LexicalIndex``) and the bucket ``tb`` if there are any."""
-    df = postings.where(F.col("tf") > 0).groupBy("term").agg(F.max("df").alias("df"))
+def term_table(df: DataFrame, champions: DataFrame, buckets: int = 0) -> DataFrame:
+    """term, df, rest (see ``LexicalIndex``) and the bucket ``tb`` if there are any, from (term, df)."""
     rest = champions.groupBy("term").agg(F.min("impact").alias("rest"))
     out = df.join(rest, "term", "left").select("term", "df", F.coalesce("rest", F.lit(0.0)).alias("rest"))
     return out.withColumn("tb", term_bucket("term", buckets)) if buckets else out
@@ -182,7 +207,8 @@ def match_terms(terms: DataFrame, index: LexicalIndex, match: str = "all") -> Da
         first = qt.where("df is not null").join(size, ["query_id", "group_id"]).select("query_id", "term")
         found = join_postings(first, searchable_postings(index), index.term_buckets).select("query_id", "pmc_id").distinct()
         pairs = found.join(qt.where("df is not null"), "query_id")
-        joined = join_postings(pairs, searchable_postings(index), index.term_buckets, keys=("term", "pmc_id"))
+        postings = of_terms(searchable_postings(index), qt, index.term_buckets)
+        joined = join_postings(pairs, postings, index.term_buckets, keys=("term", "pmc_id"))
     else:
         joined = join_postings(qt, searchable_postings(index), index.term_buckets)
     agg = joined.groupBy("query_id", "pmc_id").agg(
@@ -207,7 +233,8 @@ def _best(scored: DataFrame, limits: DataFrame, by: str, most: int, times: int =
 def _looked_up(pairs: DataFrame, lists: DataFrame, index: LexicalIndex) -> DataFrame:
     """``pairs`` (query_id, pmc_id, known) with ``score``: ``known`` and what the terms of ``lists`` add."""
     wanted = pairs.select("query_id", "pmc_id").join(lists.select("query_id", "term", "df"), "query_id")
-    more = (join_postings(wanted, searchable_postings(index), index.term_buckets, keys=("term", "pmc_id"))
+    postings = of_terms(searchable_postings(index), lists, index.term_buckets)
+    more = (join_postings(wanted, postings, index.term_buckets, keys=("term", "pmc_id"))
             .groupBy("query_id", "pmc_id").agg(F.sum(contribution(index)).alias("more")))
     return pairs.join(more, ["query_id", "pmc_id"], "left").withColumn(
         "score", F.col("known") + F.coalesce("more", F.lit(0.0))).drop("more")
@@ -243,8 +270,8 @@ def open_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, mo
             *[F.sum(c).alias(c) for c in ("known", "top", "rest")])
 
     first = read(lists.where("rest = 0"), long_lists).withColumn("reach", F.col("known") + F.col("top"))
-    seeds = _best(first, limits, "reach", most, SEEDS)
-    seeds = _looked_up(seeds.select("query_id", "pmc_id", "known"), long_lists, index)
+    seeds = materialize(_best(first, limits, "reach", most, SEEDS).select("query_id", "pmc_id", "known"), "seeds")
+    seeds = _looked_up(seeds, long_lists, index)
     floors = materialize(_threshold(seeds, limits, most), "first-floors")
     # cheapest bound first: lists are read until what is left unread cannot reach the floor
     cheap = Window.partitionBy("query_id").orderBy(F.col("df") / F.col("rest"), "term")
@@ -264,15 +291,25 @@ def open_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, mo
                         .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
                         .select("query_id", "pmc_id", "known", "reach", "bound"), "bounded")
     # the best by what is known of them now give a higher floor
-    again = _looked_up(_best(found, limits, "reach", most, SEEDS).select("query_id", "pmc_id", "known"), unread, index)
-    floors = _threshold(again, limits, most)
+    again = materialize(_best(found, limits, "reach", most, SEEDS).select("query_id", "pmc_id", "known"), "seeds-again")
+    floors = _threshold(_looked_up(again, unread, index), limits, most)
     kept = (found.join(floors, "query_id", "left")
             .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK)))
-    return kept.select("query_id", "pmc_id", "known"), unread
+    return materialize(kept.select("query_id", "pmc_id", "known"), "open-candidates"), unread
+
 
+def ranked_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, max_limit: int,
+                      few: int = FEW_MATCHES) -> DataFrame:
+    """The rows of ``top_candidates`` over ``match_terms(..., "any")`` (T1), by the cheaper of two ways.
 
-def ranked_candidates(terms: DataFrame, index: LexicalIndex, limits: DataFrame, max_limit: int) -> DataFrame:
-    """The rows of ``top_candidates`` over ``match_terms(..., "any")`` without scoring every match."""
+    The postings of all questions' terms are counted first, from the term table. Up to ``few``
+    of them, one join that scores every match costs less than the jobs of the pruned search;
+    beyond, no match is scored that cannot count. Both give the same rows.
+    """
+    distinct = terms.select("query_id", "term").distinct()
+    matches = distinct.join(index.terms.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0
+    if matches <= few:
+        return top_candidates(match_terms(terms, index, "any"), limits, max_limit)
     kept, unread = open_candidates(terms, index, limits, max_limit)
     scored = _looked_up(kept, unread, index)
     return top_candidates(scored.select("query_id", "pmc_id", F.round("score", SCORE_DIGITS).alias("bm25")),

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsearch.functions.text import tokens
-from litsearch.operators.lexical import BM25_B, BM25_K1, SCORE_DIGITS, LexicalIndex, join_postings, term_weight
+from litsearch.operators.lexical import BM25_B, BM25_K1, SCORE_DIGITS, LexicalIndex, join_postings, of_terms, term_weight
 from litsearch.schemas import INDEX_HITS
 from litsearch.session import materialize
 
@@ -232,7 +232,8 @@ def similarity_corpus(questions: DataFrame, index_papers: DataFrame, postings: D
     if others is not None:
         others = materialize(others, "open-pairs")
         wanted = others.select("query_id", "pmc_id").join(unread, "query_id")
-        more = (join_postings(wanted, postings, term_buckets, keys=("term", "pmc_id")).groupBy("query_id", "pmc_id")
+        more = (join_postings(wanted, of_terms(postings, unread, term_buckets), term_buckets,
+                              keys=("term", "pmc_id")).groupBy("query_id", "pmc_id")
                 .agg(F.sum(F.col("qtf") * F.col("tf")).alias("more")))
         others = others.join(more, ["query_id", "pmc_id"], "left").withColumn(
             "qa", F.col("qa") + F.coalesce("more", F.lit(0)))

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from litsearch.operators.feedback import feedback_query, keyword_weights, top_keywords
 from litsearch.operators.lexical import (DEFAULT_FIELDS, LexicalIndex, champion_postings, join_postings,
-                                         match_terms, ranked_candidates, term_bucket, term_table,
-                                         terms_from_text, top_candidates)
+                                         match_terms, of_terms, ranked_candidates, term_bucket, term_counts_by_impact,
+                                         term_table, terms_from_text, top_candidates)
 from litsearch.operators.merge import (all_abstracts_empty, dedupe_last,
                                        first_per_paper, result_counts, score_papers_left)
 from litsearch.operators.ranking import rank_results
@@ -147,11 +147,11 @@ def lexical_tables(counts: DataFrame, avg_len: float, buckets: int, save) -> tup
 
     ``save(df, name, partition_by)`` stores a table and returns it.
     """
-    doc_freq = counts.where(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    postings = counts.join(doc_freq, "term", "left").withColumn("tb", term_bucket("term", buckets))
+    doc_freq = save(term_counts_by_impact(counts, avg_len), "term-counts")
+    postings = counts.join(doc_freq.select("term", "cut"), "term", "left").withColumn("tb", term_bucket("term", buckets))
     postings = save(postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term"), "postings", "tb")
     champions = save(champion_postings(postings, avg_len), "champions")
-    return postings, champions, save(term_table(postings, champions, buckets), "terms")
+    return postings.drop("cut"), champions, save(term_table(doc_freq.drop("cut"), champions, buckets), "terms")
 
 
 def with_paper_key(papers: DataFrame) -> DataFrame:
@@ -212,6 +212,7 @@ def candidate_dots(pairs_idx: DataFrame, active: DataFrame, lexical: LexicalInde
     pairs = pairs_idx.join(qterms, "query_id")
     post = lexical.postings.select(*(["tb"] if lexical.term_buckets else []),
                                    "term", "pmc_id", "tf_abs").where(F.col("tf_abs") > 0)
+    post = of_terms(post, qterms, lexical.term_buckets)
     joined = join_postings(pairs, post, lexical.term_buckets, keys=("term", "pmc_id"))
     return joined.groupBy("query_id", "pmc_id").agg(F.sum(score.part(lexical)).alias("qa"))
 

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import regex
 
+from litsearch.catalog import queries as Q
 from litsearch.functions.text import tokens
 from litsearch.operators.lexical import BM25_B, BM25_K1, searchable_text
 from litsearch.plans.search import SearchConfig, search
@@ -157,3 +158,18 @@ def test_loop_matches_model(spark, inputs):
     for qid, _, _, score, count in got_ranked:              # every kept score beats its threshold
         assert np.float32(score) > np.float32(queries[qid]["threshold"])
         assert count <= queries[qid]["amount"]
+
+
+def test_fixed_points_are_written_without_being_run(spark):
+    """A question that repeats its string and finds nothing new is in the log up to the bound, but not in the rounds run."""
+    from litsearch.plans.search import with_repeats
+    records = spark.createDataFrame([("a", 0, False, "x"), ("a", 1, True, "x"), ("b", 0, False, "y")],
+                                    "query_id string, round int, fixed boolean, _query_text string")
+    got = sorted((r.query_id, r["round"]) for r in with_repeats(records, 5).collect())
+    assert got == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 0)]
+    out = Q.run_search(spark, SF_SMALL)
+    bound = out.ends.where("status = 'bound'").count()
+    logged = {r["round"]: r["count"] for r in out.attempts.groupBy("round").count().collect()}
+    assert all(logged[r] >= n for r, n in enumerate(out.active_per_round))
+    if bound:
+        assert logged[11] == bound and (len(out.active_per_round) < 12 or out.active_per_round[11] <= bound)

@@ -23,7 +23,7 @@ def hits(spark, corpus):
     qs = spark.createDataFrame(qs, "query_id string, user_query string")
     limits = qs.select("query_id", F.lit(9).cast("long").alias("limit"))
     any_ = terms_from_text(qs, "user_query", "any")
-    ranked = ranked_candidates(any_, corpus.lexical, limits, 9)
+    ranked = ranked_candidates(any_, corpus.lexical, limits, 9, few=0)
     both = match_terms(terms_from_text(qs, "user_query", "all"), corpus.lexical, "all")
     post = corpus.lexical.postings.where("tf_abs > 0").select("tb", "term", "pmc_id", F.col("tf_abs").alias("tf"))
     close = similarity_corpus(qs, corpus.stats.select("pmc_id", "abs_sq"), post, corpus.lexical.terms.drop("rest"), k=6,
