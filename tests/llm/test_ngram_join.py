@@ -117,3 +117,21 @@ def test_long_chain_and_hub(spark):
 def test_boundary_follows_the_sizes():
     assert choose_boundary({}, 90) == 9
     assert choose_boundary({12: 1000, 15: 10 ** 6}, 90) >= choose_boundary({12: 10}, 90)
+
+
+def test_keep_one_row_of_each_group(spark):
+    from litsearch.llm.ngram_join import keep_one
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base + " end", " ".join(f"v{i}" for i in range(30))
+    rows = [(4, base), (4, near), (7, near), (None, base), (4, base), (9, other), (9, other), (3, None), (3, None),
+            (5, ""), (None, " \n"), (None, "only here without any id at all"), (2, "short")]
+    frame = spark.createDataFrame([(i, t, "k", "r", 1) for i, t in rows],
+                                  "doc_id long, text string, key string, row string, root int").repartition(3)
+    got = keep_one(frame)
+    assert got.columns == frame.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    group = [k for k in kept if k[1] in (base, near)]
+    assert len(group) == 1 and group[0][0] == 4
+    assert [k for k in kept if k not in group] == sorted(
+        [(9, other), (3, None), (3, None), (5, ""), (None, " \n"), (None, "only here without any id at all"), (2, "short")], key=str)
+    assert keep_one(frame.limit(0)).count() == 0
