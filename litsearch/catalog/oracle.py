@@ -762,6 +762,19 @@ SELECT pmc_id, CASE WHEN doc_id % 26 = 0 THEN 'undefined_entity' ELSE 'mismatche
 FROM papers WHERE doc_id % 13 = 0"""
 
 
+def sql_stream_xml_papers() -> str:
+    return sql_xml_papers() + " WHERE NOT (doc_id % 13 = 0 AND doc_id % 26 <> 0)"
+
+
+def sql_xml_outcomes() -> str:
+    return with_(PAPERS) + """
+SELECT pmc_id,
+  CASE WHEN doc_id % 13 <> 0 THEN 'accepted' WHEN doc_id % 26 = 0 THEN 'recovered' ELSE 'rejected' END AS outcome,
+  CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END AS attempts,
+  CASE WHEN doc_id % 26 = 0 THEN 'undefined_entity' WHEN doc_id % 13 = 0 THEN 'mismatched_tag' END AS error
+FROM papers"""
+
+
 def sql_conversation_assign() -> str:
     return """
 SELECT event_id, user_id AS addr,
@@ -810,6 +823,8 @@ def oracle_sql() -> dict[str, str]:
         "validate_requests": sql_validate_requests(),
         "xml_papers": sql_xml_papers(),
         "xml_rejects": sql_xml_rejects(),
+        "stream_xml_papers": sql_stream_xml_papers(),
+        "xml_outcomes": sql_xml_outcomes(),
         "conversation_assign": sql_conversation_assign(),
         "stream_conversation": sql_conversation_assign(),
         "stream_index_upsert": sql_index_upsert(),

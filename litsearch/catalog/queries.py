@@ -431,6 +431,38 @@ def q_xml_rejects(spark, sf_dir):
         "error")
 
 
+_INGEST_CACHE: dict = {}
+
+
+def ingested(spark, sf_dir) -> str:
+    """The log of a stream over two deliveries of all articles (memoized): some are broken in
+    the first, of these some in the second too."""
+    from litsearch.session import scratch_path
+    from litsearch.streaming.ingest import start_ingest_stream
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _INGEST_CACHE:
+        docs = FX.read_table(spark, sf_dir, "documents")
+        dumps, log, checkpoint = (scratch_path(spark, n) for n in ("dumps", "ingest-log", "ingest-checkpoint"))
+        for defects in (True, "front"):
+            FX.articles_from_documents(docs, defects=defects).write.mode("append").text(dumps)
+            start_ingest_stream(spark, dumps, log, checkpoint, settleSeconds="0").awaitTermination()
+        _INGEST_CACHE[key] = log
+    return _INGEST_CACHE[key]
+
+
+def q_stream_xml_papers(spark, sf_dir):
+    """The papers of all records that decode at the first or the second delivery."""
+    from litsearch.streaming.ingest import read_papers
+    return read_papers(spark, ingested(spark, sf_dir))
+
+
+def q_xml_outcomes(spark, sf_dir):
+    """S3: every record's outcome: accepted, recovered by its repeat, or rejected for good."""
+    from litsearch.streaming.ingest import outcomes
+    return outcomes(spark, ingested(spark, sf_dir)).select(
+        F.col("record").alias("pmc_id"), "outcome", "attempts", "error")
+
+
 # --- the loop (no SQL form: rows-only check, Python model in the tests) ------------
 
 _SEARCH_CACHE: dict = {}
@@ -609,6 +641,8 @@ def registry() -> dict:
         "conversation_assign": q_conversation_assign,
         "xml_papers": q_xml_papers,
         "xml_rejects": q_xml_rejects,
+        "stream_xml_papers": q_stream_xml_papers,
+        "xml_outcomes": q_xml_outcomes,
         "search_one_round": q_search_one_round,
         "search_rounds": q_search_rounds,
         "search_two_rounds": q_search_two_rounds,

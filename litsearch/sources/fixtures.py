@@ -146,7 +146,7 @@ DECOY_GIVEN = "Ann"
 DECOY_YEAR = "1900"
 
 
-def articles_from_documents(documents: DataFrame, defects: bool = False) -> DataFrame:
+def articles_from_documents(documents: DataFrame, defects: bool | str = False) -> DataFrame:
     """One ``<article>`` per document carrying the ``papers`` fields.
 
     A decoy first contributor and pub-date exercise "last wins"; doc_id % 11
@@ -155,13 +155,13 @@ def articles_from_documents(documents: DataFrame, defects: bool = False) -> Data
     abstract paragraph); doc_id % 9 = 0 has no keywords; doc_id % 7 = 0 no
     doi; every article has an id of an unknown type. With ``defects`` the
     articles with doc_id % 13 = 0 are broken: an undefined entity in the title
-    (doc_id % 26 = 0) or a missing ``</front>``.
+    (doc_id % 26 = 0) or a missing ``</front>``; with ``"front"`` only the latter.
     """
     from litsearch.sources.xml import element, optional, xml_escape
 
     d = F.col("doc_id")
     title = title_of("text")
-    if defects:
+    if defects is True:
         title = F.when(d % 26 == 0, F.concat(title, F.lit(" &nbsp;"))).otherwise(xml_escape(title))
     else:
         title = xml_escape(title)

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from litsearch.functions.paper import author, id_of_type, paper_url
 from litsearch.functions.text import abstract_text
 from litsearch.schemas import ID_TYPE_DOI, ID_TYPE_PMC, ID_TYPE_PMID, PAPER_COLUMNS
+from litsearch.session import materialize
 
 RECORD_END = "</article>"
 META = "front/article-meta/"
@@ -56,6 +57,8 @@ DECODED = T.StructType([
     T.StructField("surname", T.StringType()),
     T.StructField("given_names", T.StringType()),
     T.StructField("year", T.StringType()),
+    T.StructField("error_line", T.IntegerType()),
+    T.StructField("error_column", T.IntegerType()),
 ])
 
 
@@ -89,9 +92,9 @@ def error_kind(message: str) -> str:
     return "malformed"
 
 
-def _failed(kind: str) -> dict:
+def _failed(kind: str, position: tuple = (None, None)) -> dict:
     row = {f.name: None for f in DECODED.fields}
-    row.update(ok=False, error=kind)
+    row.update(ok=False, error=kind, error_line=position[0], error_column=position[1])
     return row
 
 
@@ -109,7 +112,7 @@ def decode_article(record: str) -> dict:
     try:
         root = ET.fromstring(with_prefixes(record))
     except ET.ParseError as exc:
-        return _failed(error_kind(str(exc)))
+        return _failed(error_kind(str(exc)), exc.position)
     _local_names(root)
     ids = root.findall(PATH_ARTICLE_ID)
     return {
@@ -122,13 +125,15 @@ def decode_article(record: str) -> dict:
         "surname": _last(root, PATH_SURNAME),
         "given_names": _last(root, PATH_GIVEN),
         "year": _last(root, PATH_YEAR),
+        "error_line": None, "error_column": None,
     }
 
 
 @F.pandas_udf(DECODED)
 def decode_articles(records: pd.Series) -> pd.DataFrame:
     rows = [decode_article(r) if r is not None else _failed("malformed") for r in records]
-    return pd.DataFrame(rows, columns=[f.name for f in DECODED.fields])
+    out = pd.DataFrame(rows, columns=[f.name for f in DECODED.fields])
+    return out.astype({"error_line": "Int32", "error_column": "Int32"})
 
 
 # a filter on the result must not make the optimizer decode a second time
@@ -149,8 +154,8 @@ def decode(records: DataFrame) -> DataFrame:
     return records.withColumn("a", decode_articles("article_xml"))
 
 
-def flatten(decoded: DataFrame) -> DataFrame:
-    """Decoded fields to the ``Paper`` layout (zero score)."""
+def flatten(decoded: DataFrame, *more: str) -> DataFrame:
+    """Decoded fields to the ``Paper`` layout (zero score), and the columns ``more``."""
     ids = F.arrays_zip(F.col("a.id_values").alias("id"), F.col("a.id_types").alias("type"))
     with_ids = decoded.withColumn("_ids", ids)
     out = with_ids.select(
@@ -162,15 +167,14 @@ def flatten(decoded: DataFrame) -> DataFrame:
         id_of_type("_ids", ID_TYPE_PMC).alias("pmc_id"),
         id_of_type("_ids", ID_TYPE_PMID).alias("pm_id"),
         author(F.col("a.surname"), F.col("a.given_names")).alias("author"),
-        F.coalesce(F.col("a.year"), F.lit("")).alias("pub_year"),
+        F.coalesce(F.col("a.year"), F.lit("")).alias("pub_year"), *more,
     )
-    return out.withColumn("url", paper_url("pmc_id")).select("search_score", *PAPER_COLUMNS)
+    return out.withColumn("url", paper_url("pmc_id")).select("search_score", *PAPER_COLUMNS, *more)
 
 
 def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Papers and rejects from article files (the decode runs once: cache
-    the decoded records when both outputs are used)."""
-    decoded = decode(read_article_records(spark, path))
+    """Papers and rejects from article files. The decoded records are stored, so both read one decode."""
+    decoded = materialize(decode(read_article_records(spark, path)), "decoded")
     papers = flatten(decoded.where(F.col("a.ok")))
     rejects = decoded.where(~F.col("a.ok")).select(
         "article_xml", F.col("a.error").alias("error"))
