@@ -37,6 +37,7 @@ IDENTIFIER = "[A-Za-z_]{8,}"
 PRIOR, IDENTIFIER_PRIOR = 20.0, 0.5
 THRESHOLD = 12.0  # nats by which random must be likelier
 
+PART = 64
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -44,11 +45,12 @@ def located(text: Column, pattern: str, likely: Column | None = None) -> Column:
     """All leftmost, non-overlapping hits as (start, end, value), in code points.
 
     What lies between the hits and the hits themselves take turns, so the
-    lengths add up to every position.
+    lengths add up to every position. Lists grow in parts of ``PART`` hits, as each
+    addition copies a list.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(done, hit):
         begin = done["at"] + F.length(hit["between"])
@@ -57,9 +59,21 @@ def located(text: Column, pattern: str, likely: Column | None = None) -> Column:
             begin.alias("start"), end.alias("end"), hit["hits"].alias("value")))).alias("out"))
 
     pairs = F.arrays_zip(hits.alias("hits"), F.slice(between, F.lit(1), F.size(hits)).alias("between"))
-    found = F.aggregate(pairs, start, step, lambda done: done["out"])
+
+    def parts(pairs):
+        def part(done, first):
+            grown = F.aggregate(F.slice(pairs, first, F.lit(PART)),
+                                F.struct(done["at"].alias("at"), none.alias("out")), step)
+            return F.transform(F.array(grown), lambda g: F.struct(
+                g["at"].alias("at"), F.concat(done["out"], F.array(g["out"])).alias("out")))[0]
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(PART)),
+                           F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out")),
+                           part, lambda done: F.flatten(done["out"]))
+
+    found = F.transform(F.array(pairs), parts)[0]  # a one-element array binds the hits, so they are searched once
     return F.when(text.rlike(pattern) if likely is None else likely & text.rlike(pattern),
-                  found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+                  found).otherwise(none)
 
 
 def base_spans(text: Column) -> dict[str, Column]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -47,6 +48,18 @@ def test_base_spans_against_brute_force(spark):
     assert S.digest(S.scan(docs.limit(0), S.train(docs.limit(0)))).count() == 0
 
 
+def test_thousands_of_hits(spark):
+    rng = random.Random(4)
+    run = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([15, 16, 40])))
+    texts = {0: " ".join(run() for _ in range(20_000)), 1: "\n".join(f"é token={run()}" for _ in range(5_000)),
+             2: " ".join("AKIA" + "B" * rng.choice([13, 14]) for _ in range(S.PART)), 3: "f" * 16 + " " + "f" * 16}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    began = time.time()
+    rows = S.digest(S.scan(docs, S.train(docs))).collect()
+    check(rows, texts)
+    assert sum(r.n_hex for r in rows) > 10_000 and time.time() - began < 120
+
+
 def test_query(spark):
     rows = op8_secret_scan(spark, SF_SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
