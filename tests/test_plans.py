@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from litsearch.catalog import queries as Q
-from litsearch.plans.search import SearchConfig, round_candidates
+from litsearch.operators.lexical import match_terms
+from litsearch.plans.search import SearchConfig, exploded_terms, paper_terms, round_candidates, with_paper_key
 from litsearch.operators.similarity import question_vectors
 from litsearch.sources import fixtures as FX
 from litsearch.sources.requests import apply_defaults
@@ -30,6 +31,27 @@ def test_round_prunes_postings_by_term_bucket(spark):
     assert "WindowGroupLimit" in p
 
 
+def test_corpus_preparation_shuffles_counts_once(spark):
+    """Counts are made in a paper's row: only the postings themselves are dealt out, and the papers' texts never."""
+    papers = FX.load(spark, SF_SMALL)["papers"]
+    rows = paper_terms(papers.withColumn("real_id", F.col("pmc_id")))
+    assert "Exchange" not in plan(exploded_terms(rows))
+    assert "SortMergeJoin" not in plan(with_paper_key(papers)) and "hashpartitioning" not in plan(with_paper_key(papers))
+
+
+def test_lookup_does_not_shuffle_the_postings(spark):
+    """The rarest group's papers are few: the postings meet them as they are read."""
+    d = FX.load(spark, SF_SMALL)
+    corpus = Q.corpus_for(spark, SF_SMALL)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no guess of a size helps
+    try:
+        p = plan(match_terms(d["query_terms"].where("alt = 0"), corpus.lexical, "all"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert p.count("BroadcastHashJoin [pmc_id") == 1 and p.count("LeftSemi") >= 2
+
+
 def test_documents_scan_reads_only_needed_columns(spark):
     docs = FX.read_table(spark, SF_SMALL, "documents")
     p = plan(FX.papers_from_documents(docs).select("pmc_id", "article_title"))
