@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litsearch.functions.text import tokens
-from litsearch.operators.lexical import (SCORE_DIGITS, LexicalIndex, contribution, join_postings, searchable_postings)
-from litsearch.session import materialize
+from litsearch.operators.lexical import (SCORE_DIGITS, LexicalIndex, contribution, join_postings, of_terms,
+                                         searchable_postings)
+from litsearch.session import few, materialize
 
 PARSED = "postfix array<int>, leaves array<string>, reason string"
 AND, OR = -1, -2
@@ -133,17 +134,19 @@ def match_strings(parsed: DataFrame, index: LexicalIndex) -> DataFrame:
     words = (leaf.select("query_id", "leaf", F.array_distinct(tokens("text")).alias("of"))
              .select("query_id", "leaf", F.size("of").alias("n_words"), F.explode("of").alias("term"))
              .join(index.terms.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long")))
-    words = materialize(words, "search-words")
+    words, _ = few(words, "search-words")
     rarest = words.groupBy("query_id", "leaf").agg(F.min(F.struct("df", "term")).alias("rarest"))
     per_string = rarest.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("leaf", "rarest"))).alias("of"))
     costs = F.transform("of", lambda x: x["rarest"]["df"])
     first = parsed.join(per_string, "query_id").select(
         "query_id", F.explode(F.transform(cover(F.col("postfix"), costs), lambda i: F.get("of", i)["rarest"])).alias("r"))
-    first = first.where("r.df > 0").select("query_id", F.col("r.term").alias("term")).distinct()
+    first, _ = few(first.where("r.df > 0").select("query_id", F.col("r.term").alias("term")).distinct(), "cover-words")
     postings = searchable_postings(index)
     papers = join_postings(first, postings, index.term_buckets).select("query_id", "pmc_id").distinct()
+    papers, small = few(papers, "cover-papers")
     scored = words.groupBy("query_id", "term").agg(F.min("leaf").alias("scored"))
-    wanted = words.where("df > 0").join(scored, ["query_id", "term"])
+    wanted, _ = few(words.where("df > 0").join(scored, ["query_id", "term"]), "wanted-words")
+    postings = of_terms(postings, wanted, index.term_buckets, papers if small else None)
     found = join_postings(papers.join(wanted, "query_id"), postings, index.term_buckets, keys=("term", "pmc_id"))
     per_leaf = found.groupBy("query_id", "pmc_id", "leaf").agg(
         (F.count("*") == F.max("n_words")).alias("whole"),
