@@ -136,7 +136,7 @@ def _similarity(spark, sf_dir):
                              & (F.col("n_tokens") <= F.lit(MAX_INDEX_TOKENS))).select("pmc_id", "abs_sq")
     lex = corpus.lexical
     post = lex.postings.where(F.col("tf_abs") > 0).select(
-        *(["tb"] if lex.term_buckets else []), "term", "pmc_id", F.col("tf_abs").alias("tf"))
+        *(["tb"] if lex.term_buckets else []), "term", "pmc_id", "abs_sq", F.col("tf_abs").alias("tf"))
     return d, SIM.similarity_corpus(d["queries"], idx, post, lex.terms.drop("rest"), term_buckets=lex.term_buckets)
 
 

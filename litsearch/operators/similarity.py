@@ -21,13 +21,14 @@ Two execution shapes:
   1. The ``FLOOR`` papers with the smallest ``a.a`` are scored first. (Papers that share
      no term score ``sqrt(q.q)/sqrt(a.a + q.q)``, which orders them by ``a.a`` alone.)
      The k-th best score is a question's threshold.
-  2. Let ``u`` be the length of the question's vector on its most common terms. A
+  2. Let ``u`` be the length of the question's vector on a term and all more common ones. A
      paper that has no other term of it has ``q.a <= u |a|``, and so at most the
-     score of that bound, which falls with ``a.a``. All terms for which the bound at
-     the least ``a.a`` beyond the floor stays below the threshold need no list.
-  3. The lists of the other, rarer terms give candidates; the same bound with the
-     part of ``q.a`` that is known and the paper's own ``a.a`` drops most of them, and the
-     rest look up their common terms.
+     score of that bound, which falls with ``a.a``. From some ``a.a`` on, the term's ``reach``, the
+     bound stays below the threshold: of the term's list only papers up to it are read, however many
+     papers are as small as those of the floor.
+  3. The papers found give candidates; the same bound with the part of ``q.a`` that is known, the
+     terms not read for a paper of this ``a.a`` and its own ``a.a`` drops most of them, and the
+     rest look up those terms.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from litsearch.functions.text import tokens
 from litsearch.operators.lexical import BM25_B, BM25_K1, SCORE_DIGITS, LexicalIndex, join_postings, of_terms, term_weight
 from litsearch.schemas import INDEX_HITS
-from litsearch.session import materialize
+from litsearch.session import few, materialize
 
 
 def _col(c) -> Column:
@@ -163,26 +164,40 @@ FLOOR = 320              # papers of the smallest a.a that are scored for every
 SLACK = 1e-9             # of bounds, for rounding
 
 
+def reach() -> Column:
+    """The greatest ``a.a`` of a paper that may score ``threshold`` with no more than ``q.a = u |a|``; null: there is none.
+
+    ``cosine(u x, q.q, x^2) >= t`` solved for ``x``: ``A x^2 - 2 B x - C <= 0``.
+    """
+    t, qq, u = F.col("threshold") - SLACK, F.col("q_sq").cast("double"), F.col("u")
+    rest = F.greatest(F.lit(0.0), F.lit(1.0) - t * t)
+    a, b, c = t * t * qq - u * u, u * qq * rest, qq * qq * rest
+    x = (b + F.sqrt(b * b + a * c)) / a
+    return F.when((t > 0) & (a > qq * 1e-9), x * x * (1.0 + 1e-6))
+
+
 def bounded_pairs(questions: DataFrame, index_papers: DataFrame, postings: DataFrame, term_buckets: int,
                   terms: DataFrame, k: int, floor: int = FLOOR):
     """What ``similarity_corpus`` has to score: (floor pairs with ``qa``, other open pairs with the part of ``qa``
-    that comes from rarer terms, the questions' terms that these have not looked up yet)."""
+    that comes from rarer terms, the questions' terms that papers of ``abs_sq`` beyond ``reach`` have not looked up yet)."""
     questions = questions.where(F.size(tokens("user_query")) > 0)
     q = questions.select("query_id", tokens("user_query").alias("_qt"))
     q = q.select("query_id", sum_of_squares("_qt").alias("q_sq"), F.explode(term_counts("_qt")).alias("_tc"))
     q = q.select("query_id", "q_sq", F.col("_tc.term").alias("term"), F.col("_tc.cnt").alias("qtf"))
-    q = materialize(q.join(terms, "term", "left"), "question-vectors")
+    q, _ = few(q.join(terms, "term", "left"), "question-vectors")
     norms = index_papers.select("pmc_id", "abs_sq")
+    if "abs_sq" not in postings.columns:
+        postings = postings.join(norms, "pmc_id")
     floor = max(int(floor), 16 * int(k))
     low = materialize(norms.orderBy(F.asc("abs_sq"), F.asc("pmc_id")).limit(floor + 1), "floor")  # floor + 1 rows
     edge = low.agg(F.count("*").alias("n"), F.max(F.struct("abs_sq", "pmc_id")).alias("last")).first()
     more = edge["n"] > floor
     if more:  # the last row is the first paper beyond the floor
         low = low.where((F.col("abs_sq") < edge["last"]["abs_sq"]) | (F.col("pmc_id") < edge["last"]["pmc_id"]))
-    least = float(edge["last"]["abs_sq"]) if more else 0.0
+    most_low = int(edge["last"]["abs_sq"]) if edge["n"] else 0
     keys = [c for c in ("tb", "term") if c in terms.columns]
     known = q.where("df is not null")
-    in_low = postings.join(F.broadcast(low), "pmc_id")
+    in_low = postings.where(F.col("abs_sq") <= most_low).join(F.broadcast(low.select("pmc_id")), "pmc_id", "left_semi")
     shared = (known.join(in_low, keys).groupBy("query_id", "pmc_id")
               .agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"), F.max("abs_sq").alias("abs_sq"), F.max("q_sq").alias("q_sq")))
     # of papers that share nothing only the first k can be among the best k
@@ -202,21 +217,22 @@ def bounded_pairs(questions: DataFrame, index_papers: DataFrame, postings: DataF
                  .where(F.col("_rk") == int(k)).select("query_id", F.col("score").alias("threshold")))
     common = Window.partitionBy("query_id").orderBy(F.desc("df"), "term")
     length = F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).over(common).cast("double"))
-    plan = known.join(threshold, "query_id", "left").withColumn("u", length).withColumn(
-        "bound", cosine(F.col("u") * math.sqrt(least), "q_sq", F.lit(least)))
-    plan = plan.withColumn("skipped", F.col("bound") < F.coalesce("threshold", F.lit(-1.0)) - SLACK)
-    plan = materialize(plan, "term-plan")
-    unread = plan.where("skipped")
-    left = unread.groupBy("query_id").agg(F.max("u").alias("u"))
-    part = (join_postings(plan.where("not skipped").select("query_id", "q_sq", "qtf", "threshold", *keys), postings,
-                          term_buckets)
-            .groupBy("query_id", "pmc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"), F.max("q_sq").alias("q_sq"),
-                                               F.max("threshold").alias("threshold")))
-    beyond = norms.join(F.broadcast(low.select("pmc_id")), "pmc_id", "left_anti")
-    part = part.join(beyond, "pmc_id").join(left, "query_id", "left")
-    most = F.col("qa") + F.coalesce("u", F.lit(0.0)) * F.sqrt(F.col("abs_sq").cast("double"))
+    plan = known.join(threshold, "query_id", "left").withColumn("u", length).withColumn("reach", reach())
+    plan, _ = few(plan, "term-plan")
+    unread = plan.where("reach is not null")
+    left = unread.groupBy("query_id").agg(F.collect_list(F.struct("reach", "u")).alias("unread"))  # the words of a question
+    part = (join_postings(plan.select("query_id", "q_sq", "qtf", "threshold", "reach", *keys),
+                          postings.where(F.col("abs_sq") >= most_low), term_buckets)
+            .where(F.col("reach").isNull() | (F.col("abs_sq") <= F.col("reach")))
+            .groupBy("query_id", "pmc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("qa"),
+                                               *[F.max(c).alias(c) for c in ("q_sq", "threshold", "abs_sq")]))
+    part = part.join(few(left, "unread-terms")[0], "query_id", "left")
+    u = F.array_max(F.transform(F.filter("unread", lambda x: x["reach"] < F.col("abs_sq")), lambda x: x["u"]))
+    most = F.col("qa") + F.coalesce(u, F.lit(0.0)) * F.sqrt(F.col("abs_sq").cast("double"))
     part = part.where(F.col("threshold").isNull() | (cosine(most, "q_sq", "abs_sq") >= F.col("threshold") - SLACK))
-    return at_floor, part.select("query_id", "pmc_id", "qa", "abs_sq", "q_sq"), unread.select("query_id", "qtf", *keys)
+    part = (part.join(F.broadcast(low.select("pmc_id")), "pmc_id", "left_anti")
+            .join(norms.select("pmc_id"), "pmc_id", "left_semi"))
+    return at_floor, part.select("query_id", "pmc_id", "qa", "abs_sq", "q_sq"), unread.select("query_id", "qtf", "reach", *keys)
 
 
 def similarity_corpus(questions: DataFrame, index_papers: DataFrame, postings: DataFrame, terms: DataFrame,
@@ -224,15 +240,16 @@ def similarity_corpus(questions: DataFrame, index_papers: DataFrame, postings: D
     """Exact top ``k`` of every question over a whole index (sparse score).
 
     ``questions``: query_id, user_query. ``index_papers``: pmc_id, abs_sq (already
-    filtered to indexable rows). ``postings``: term, pmc_id, tf over abstracts and
+    filtered to indexable rows). ``postings``: term, pmc_id, tf over abstracts, best with the paper's abs_sq, and
     ``terms``: term, df (optionally both bucketed by ``tb``). A question without tokens
     has no hits. Output: query_id, pmc_id, score, search_score, hit_rank.
     """
     pairs, others, unread = bounded_pairs(questions, index_papers, postings, term_buckets, terms, k, floor)
     if others is not None:
-        others = materialize(others, "open-pairs")
-        wanted = others.select("query_id", "pmc_id").join(unread, "query_id")
-        more = (join_postings(wanted, of_terms(postings, unread, term_buckets), term_buckets,
+        others, small = few(others, "open-pairs")
+        wanted = (others.select("query_id", "pmc_id", F.col("abs_sq").alias("_sq")).join(unread, "query_id")
+                  .where(F.col("reach") < F.col("_sq")).drop("reach", "_sq"))
+        more = (join_postings(wanted, of_terms(postings, unread, term_buckets, others if small else None), term_buckets,
                               keys=("term", "pmc_id")).groupBy("query_id", "pmc_id")
                 .agg(F.sum(F.col("qtf") * F.col("tf")).alias("more")))
         others = others.join(more, ["query_id", "pmc_id"], "left").withColumn(

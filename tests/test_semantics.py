@@ -14,9 +14,9 @@ from litsearch.operators.index import index_rows, latest_per_object
 from litsearch.operators.lexical import (CHAMPIONS, match_terms, open_candidates, ranked_candidates,
                                          terms_from_text, top_candidates)
 from litsearch.operators.ranking import rank_results
-from litsearch.operators.similarity import (bounded_pairs, cosine, dense_topk, similarity_corpus, sum_of_squares,
+from litsearch.operators.similarity import (block_topk, bounded_pairs, cosine, dense_topk, similarity_corpus, sum_of_squares,
                                             term_counts)
-from litsearch.plans.search import prepare_corpus
+from litsearch.plans.search import counts_in_row, prepare_corpus
 from litsearch.schemas import PAPER_COLUMNS
 from litsearch.plans.results import result_documents, result_rows
 from litsearch.sources.requests import validate_requests, with_ids
@@ -192,6 +192,42 @@ def test_similarity_pairs_do_not_follow_a_word_of_all_papers(spark):
     assert floor.count() <= 2 * 330 and others.count() < 100
 
 
+def test_similarity_reads_no_long_list_for_many_tiny_papers(spark):
+    """More papers than the floor are as small as its largest: a common word is read up to its reach all the same."""
+    papers = [(f"t{i}", "", f"tiny{i}") for i in range(400)] + zipf_papers(3, 600, 80)
+    corpus = corpus_of(spark, papers)
+    post = corpus.lexical.postings.where("tf_abs > 0").select("tb", "term", "pmc_id", "abs_sq", F.col("tf_abs").alias("tf"))
+    q = spark.createDataFrame([("q", "the the w350 w351 w352 w353")], "query_id string, user_query string")
+    _, others, unread = bounded_pairs(q, corpus.stats.select("pmc_id", "abs_sq"), post, 4, corpus.lexical.terms.drop("rest"), 5)
+    reach = {r.term: r.reach for r in unread.collect()}
+    assert reach["the"] < 50 and others.count() < 50
+
+
+def test_counts_in_row_of_two_fields(spark):
+    row = spark.sql("select array('b', 'a', 'ab', 'b') own, array('c', 'b', 'a', 'c') other, cast(array() as array<string>) none")
+    got = row.select(*[counts_in_row(F.col(x), F.col(y)).alias(x + y) for x, y in (
+        ("own", "other"), ("own", "none"), ("none", "other"), ("none", "none"))]).first()
+    plain = {k: sorted(map(tuple, v)) for k, v in got.asDict().items()}
+    assert plain["ownother"] == [("a", 1, 1), ("ab", 1, 0), ("b", 2, 1), ("c", 0, 2)]
+    assert plain["ownnone"] == [("a", 1, 0), ("ab", 1, 0), ("b", 2, 0)]
+    assert plain["noneother"] == [("a", 0, 1), ("b", 0, 1), ("c", 0, 2)] and plain["nonenone"] == []
+
+
+def test_block_topk_keeps_lesser_ids_of_equal_scores():
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (2500, 3)).astype(float)  # many equal scores
+    index = pd.DataFrame({"vec_id": rng.permutation(2500), "embedding": list(vectors)})
+    questions = pd.DataFrame({"vec_id": np.arange(40), "embedding": list(vectors[:40])})
+    for k, rows in ((7, 2500), (7, 3), (1200, 2500)):
+        got = block_topk(questions, index[:rows], k)
+        for i in range(40):
+            scores = vectors[:rows] @ vectors[i]
+            want = sorted(zip(-scores, index["vec_id"][:rows]))[:k]
+            assert [(-s, v) for s, v in want] == list(zip(got["score"], got["vec_id"]))[i * len(want):(i + 1) * len(want)]
+
+
 def test_ranked_candidates_equal_scoring_every_match(spark):
     import random
     rnd = random.Random(4)
