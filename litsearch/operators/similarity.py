@@ -276,10 +276,24 @@ def block_topk(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataF
     best_ids = np.zeros((len(q_ids), 0), dtype=np.int64)
     best = np.zeros((len(q_ids), 0))
     for at in range(0, len(ids), STEP):
-        scores = np.concatenate([best, q_mat @ mat[at:at + STEP].T], axis=1)
-        places = np.concatenate([best_ids, np.broadcast_to(ids[at:at + STEP], (len(q_ids), len(ids[at:at + STEP])))], axis=1)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # earlier columns have lesser ids
-        best, best_ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(places, order, axis=1)
+        here, scores = ids[at:at + STEP], q_mat @ mat[at:at + STEP].T
+        rows, cols = (np.nonzero(scores > best[:, -1:]) if best.shape[1] == k  # an equal score has a greater id here
+                      else np.indices(scores.shape).reshape(2, -1))
+        if not len(rows):
+            continue
+        # only rows that gain are sorted, and of them the scores that may enter
+        gains = np.bincount(rows, minlength=len(q_ids))
+        some = np.nonzero(gains)[0]
+        place = np.cumsum(gains) - gains
+        wide = np.full((len(some), best.shape[1] + gains.max()), -np.inf)
+        wide_ids = np.zeros(wide.shape, dtype=np.int64)
+        wide[:, :best.shape[1]], wide_ids[:, :best.shape[1]] = best[some], best_ids[some]
+        to = np.searchsorted(some, rows), best.shape[1] + np.arange(len(rows)) - place[rows]
+        wide[to], wide_ids[to] = scores[rows, cols], here[cols]
+        order = np.argsort(-wide, axis=1, kind="stable")[:, :k]  # earlier columns have lesser ids
+        if best.shape[1] < k:
+            best, best_ids = np.zeros((len(q_ids), order.shape[1])), np.zeros((len(q_ids), order.shape[1]), dtype=np.int64)
+        best[some], best_ids[some] = np.take_along_axis(wide, order, axis=1), np.take_along_axis(wide_ids, order, axis=1)
     return pd.DataFrame({"query_vec_id": np.repeat(q_ids, best.shape[1]), "vec_id": best_ids.reshape(-1),
                          "score": best.reshape(-1)})
 
