@@ -4,8 +4,8 @@ Reading: files holding any number of ``<article>`` elements (under any root)
 are split by Spark's text reader on the record separator ``</article>``,
 so large dumps are read in parallel splits; each record is cut to start at
 its ``<article`` tag and closed again. ``</sub-article>`` does not end a
-record. One Arrow-batched UDF decodes the records with the standard
-library's expat parser; everything after it is column expressions.
+record. One Arrow function decodes the records with the standard
+library's expat parser, ``SLICE`` at a time; everything after it is column expressions.
 
 Decoding rules (those of a struct-tag XML decoder):
 1. a scalar path matched several times keeps the last match, even if empty;
@@ -24,7 +24,6 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +61,8 @@ DECODED = T.StructType([
 ])
 
 
+SLICE = 128          # records that are decoded and handed on at once, so that a worker never holds a whole Arrow batch of them
+UNBOUND_PREFIX = 27  # expat's code
 PREFIX = re.compile(r"(?:</?|\s)([A-Za-z_][\w.-]*):[A-Za-z_]")
 DECLARED = re.compile(r"xmlns:([A-Za-z_][\w.-]*)\s*=")
 
@@ -110,7 +111,12 @@ def with_prefixes(record: str) -> str:
 def decode_article(record: str) -> dict:
     """Decode one ``<article>`` element into the raw fields (rules above)."""
     try:
-        root = ET.fromstring(with_prefixes(record))
+        try:
+            root = ET.fromstring(record)
+        except ET.ParseError as exc:
+            if exc.code != UNBOUND_PREFIX:
+                raise
+            root = ET.fromstring(with_prefixes(record))
     except ET.ParseError as exc:
         return _failed(error_kind(str(exc)), exc.position)
     _local_names(root)
@@ -129,15 +135,20 @@ def decode_article(record: str) -> dict:
     }
 
 
-@F.pandas_udf(DECODED)
-def decode_articles(records: pd.Series) -> pd.DataFrame:
-    rows = [decode_article(r) if r is not None else _failed("malformed") for r in records]
-    out = pd.DataFrame(rows, columns=[f.name for f in DECODED.fields])
-    return out.astype({"error_line": "Int32", "error_column": "Int32"})
-
-
-# a filter on the result must not make the optimizer decode a second time
-decode_articles = decode_articles.asNondeterministic()
+def decoded_slices(batches, at: int):
+    """Arrow batches with ``a`` and, only of records that do not decode, ``article_xml`` (column ``at``) behind the other columns."""
+    import pyarrow as pa
+    kinds = {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    kind = pa.struct([(f.name, kinds[f.dataType.simpleString()]) for f in DECODED.fields])
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            records = part.column(at).to_pylist()
+            rows = [decode_article(r) if r is not None else _failed("malformed") for r in records]
+            failed = pa.array([None if row["ok"] else r for r, row in zip(records, rows)], pa.string())
+            names = [n for n in part.schema.names if n != part.schema.names[at]]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(rows, kind), failed],
+                                             names=[*names, "a", "article_xml"])
 
 
 def read_article_records(spark: SparkSession, path: str) -> DataFrame:
@@ -150,8 +161,11 @@ def read_article_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(records: DataFrame) -> DataFrame:
-    """Adds the decoded struct ``a`` to every record."""
-    return records.withColumn("a", decode_articles("article_xml"))
+    """Every record with the decoded struct ``a``; ``article_xml`` is kept where it does not decode, else null."""
+    at = records.columns.index("article_xml")
+    fields = [f for f in records.schema.fields if f.name != "article_xml"]
+    schema = T.StructType([*fields, T.StructField("a", DECODED), T.StructField("article_xml", T.StringType())])
+    return records.mapInArrow(lambda batches: decoded_slices(batches, at), schema)
 
 
 def flatten(decoded: DataFrame, *more: str) -> DataFrame:

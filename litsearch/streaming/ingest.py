@@ -1,8 +1,8 @@
 """Article dumps that arrive over time, one repeat for records that do not decode, then a reject.
 
 Every micro-batch decodes its records once and writes, by batch id, one row per
-delivered record to ``attempts`` and the decoded papers to ``papers``; a batch
-that is run again overwrites its own rows. A record is named by its
+delivered record to ``papers`` (without text where it did not decode) and the narrow part of it, which decides, to
+``attempts``; a batch that is run again overwrites its own rows. A record is named by its
 article id, or by file and offset where none can be read. Its first two
 deliveries decide: the first that decodes stands (``accepted``, or ``recovered`` on the
 second); if the first fails, the record waits for one more delivery (``waiting``);
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsearch.schemas import ID_TYPE_PMC, PAPER_COLUMNS
-from litsearch.session import materialize
 from litsearch.sources.dumps import register
 from litsearch.sources.xml import decode, flatten
 
@@ -40,12 +39,12 @@ def start_ingest_stream(spark: SparkSession, dumps_dir: str, log_dir: str, check
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         named = decode(batch.withColumn("record", record_name()))
-        rows = materialize(named.withColumn("batch_id", F.lit(int(batch_id))), "decoded")  # both outputs read it
-        attempts = rows.select("record", *AT, F.col("a.ok").alias("ok"), F.col("a.error").alias("error"),
-                               F.col("a.error_line").alias("line"), F.col("a.error_column").alias("column"))
-        papers = flatten(rows.where("a.ok"), "record", *AT)
-        for name, out in (("attempts", attempts), ("papers", papers)):
-            out.write.mode("overwrite").parquet(os.path.join(log_dir, name, f"batch_id={int(batch_id)}"))
+        found = ["record", *AT, "ok", "error", "line", "column"]
+        rows = flatten(named.select("*", "a.ok", "a.error", F.col("a.error_line").alias("line"),
+                                    F.col("a.error_column").alias("column")), *found)
+        papers, attempts = (os.path.join(log_dir, n, f"batch_id={int(batch_id)}") for n in ("papers", "attempts"))
+        rows.write.mode("overwrite").parquet(papers)
+        spark.read.schema(rows.schema).parquet(papers).select(*found).write.mode("overwrite").parquet(attempts)
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -77,5 +76,5 @@ def outcomes(spark: SparkSession, log_dir: str) -> DataFrame:
 def read_papers(spark: SparkSession, log_dir: str) -> DataFrame:
     """The papers of the deliveries that stand."""
     stands = outcomes(spark, log_dir).where("at is not null").select("record", "at.*")
-    rows = spark.read.parquet(os.path.join(log_dir, "papers"))
+    rows = spark.read.parquet(os.path.join(log_dir, "papers")).where("ok")
     return rows.join(stands, ["record", *AT, "batch_id"]).select("search_score", *PAPER_COLUMNS)

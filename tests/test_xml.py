@@ -2,7 +2,7 @@
 
 import os
 
-from litsearch.sources.xml import decode_article, ingest
+from litsearch.sources.xml import decode_article, decoded_slices, ingest
 
 ART = """<article xmlns:xlink="http://www.w3.org/1999/xlink"><front><article-meta>
 <article-id pub-id-type="pmc">PMC1</article-id><article-id pub-id-type="other">z</article-id>
@@ -66,3 +66,18 @@ def test_reader_splits_records(spark, tmp_path):
     assert rows[1].author == " " and rows[1].keywords == [] and rows[1].pmc_id == ""
     assert rows[1].url.endswith("/PMC/")
     assert [r.error for r in rejects.collect()] == ["mismatched_tag"]
+
+
+def test_records_are_decoded_in_slices():
+    """A worker hands on a few records at a time, and the text of decoded ones not at all."""
+    import pyarrow as pa
+    good, bad = "<article><front></front></article>", "<article><front>"
+    texts = [bad if i % 100 == 7 else good for i in range(1000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001)), pa.array(texts), pa.array(["x"] * 1001)],
+                                       names=["offset", "article_xml", "file"])
+    out = list(decoded_slices([batch], 1))
+    assert max(b.num_rows for b in out) <= 128 and sum(b.num_rows for b in out) == 1001
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["offset"] for r in rows] == list(range(1001)) and rows[5]["file"] == "x"
+    assert [r["offset"] for r in rows if r["article_xml"]] == list(range(7, 1000, 100))
+    assert rows[7]["a"]["error"] == "truncated" and rows[1000]["a"]["error"] == "malformed" and rows[0]["a"]["ok"]
