@@ -42,3 +42,23 @@ def test_conversations_with_text_ids_over_batches(spark):
         start_conversation_stream(stream, sink, state, checkpoint).awaitTermination()
         got = spark.read.parquet(sink).collect()
         assert len(got) == 8 and {r.request_id: r.conversation_id for r in got} == want
+
+
+def test_conversations_of_many_addresses_send_none_to_the_driver(spark, monkeypatch):
+    """Beyond NAMES_SENT the joins of a micro-batch are shuffled, whatever Spark takes for small; same result."""
+    import litsearch.streaming.conversation as C
+    from litsearch.session import scratch_path
+    from tests.test_plans import plan
+    names = spark.createDataFrame([("a", "r")], "addr string, id string")
+    assert "SortMergeJoin" in plan(names.join(C.unsent(names, False), "addr"))
+    schema = "request_id string, addr string, ts long"
+    for most in (2, 100):
+        monkeypatch.setattr(C, "NAMES_SENT", most)
+        src, sink, state, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "state", "ckpt"))
+        for part in (range(30), range(30, 50)):
+            rows_ = [(f"r{i}", None if i % 7 == 6 else f"a{i % 7}", i) for i in part]
+            spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        C.start_conversation_stream(stream, sink, state, ckpt).awaitTermination()
+        assert {r.request_id: r.conversation_id for r in spark.read.parquet(sink).collect()} == {
+            f"r{i}": f"r{i % 7}" for i in range(50)}
