@@ -15,6 +15,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,7 @@ from litsearch.sources.requests import apply_defaults
 
 RESULT_COLUMNS = ["query_id", "round", "hit_rank"] + PAPER_COLUMNS + ["search_score"]
 INDEX_COLUMNS = ["query_id", "pmc_id", "abs_sq", "qa", "round"]
+COUNTED_ROWS = 512  # papers whose tokens a worker counts at a time
 ROW_COLUMNS = ["query_id", "round", "hit_rank", "pmc_id", "keywords", "search_score", "pk"]
 
 
@@ -149,40 +153,47 @@ def with_paper_key(papers: DataFrame) -> DataFrame:
     return alone.unionByName(several).select(*PAPER_COLUMNS, "pk")
 
 
-def _bound(value, body):
-    """``body`` of a value that is computed once (a lambda's own column would be computed again at every use)."""
-    return F.transform(F.array(value), body)[0]
+def sorted_counts(own: pa.Array, other: pa.Array) -> pa.Array:
+    """Per row of two token lists its distinct tokens in order, each with its count in either; null counts as empty.
+
+    The tokens of all rows get numbers in their order, and (row, number) pairs are sorted as longs:
+    equal ones are neighbours then, and the places where they change give the counts.
+    """
+    sizes = [np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for x in (own, other)]
+    named = pa.concat_arrays([own.flatten(), other.flatten()]).dictionary_encode()
+    order = pc.sort_indices(named.dictionary).to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    codes = number[named.indices.to_numpy()]
+    rows, width = np.arange(len(own), dtype=np.int64), max(len(order), 1)
+    pairs = np.concatenate([np.repeat(rows, n) for n in sizes]) * width + codes
+    pairs = pairs * 2 + (np.arange(len(pairs)) >= sizes[0].sum())  # the last bit: whether of ``other``
+    pairs.sort()
+    tokens_at = pairs >> 1
+    starts = np.flatnonzero(np.diff(tokens_at, prepend=-1))
+    total = np.diff(starts, append=len(pairs))
+    in_other = np.add.reduceat(pairs & 1, starts) if len(starts) else total
+    found = tokens_at[starts]
+    counts = pa.StructArray.from_arrays(
+        [named.dictionary.take(pa.array(order[found % width])), pa.array(total - in_other), pa.array(in_other)],
+        ["term", "own", "other"])
+    return pa.ListArray.from_arrays(np.searchsorted(found // width, np.arange(len(own) + 1)).astype(np.int32), counts)
+
+
+def counted_rows(own: pa.Array, other: pa.Array) -> pa.Array:
+    """``sorted_counts`` of a batch, a few rows at a time."""
+    parts = [sorted_counts(own.slice(i, COUNTED_ROWS), other.slice(i, COUNTED_ROWS))
+             for i in range(0, max(len(own), 1), COUNTED_ROWS)]
+    return pa.concat_arrays(parts)
 
 
 def counts_in_row(own, other):
     """array<struct<term, own, other>>: how often each token is in the arrays ``own`` and ``other``.
 
-    Tokens of ``other`` get a space behind them and all are sorted: a token's two runs are then neighbours,
-    as a space sorts before every letter and digit. The cuts between runs give the counts.
+    Interpreted column functions on arrays took most of the time of a corpus, so Arrow batches are
+    counted, ``COUNTED_ROWS`` rows at a time; nothing is shuffled.
     """
-    def cuts(s):
-        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
-                        lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
-
-    def runs(s):
-        return _bound(cuts(s), lambda at: F.transform(at, lambda i, j: F.struct(
-            F.get(s, i).alias("e"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("n"))))
-
-    def merged(r):
-        none = F.lit(0).cast("long")
-
-        def row(x, j):
-            spaced = F.endswith(x["e"], F.lit(" "))
-            after, before = F.get(r, j + 1), F.get(r, j - 1)
-            both = F.coalesce(after["e"] == F.concat(x["e"], F.lit(" ")), F.lit(False))
-            second = spaced & F.coalesce(F.concat(before["e"], F.lit(" ")) == x["e"], F.lit(False))
-            return F.when(~second, F.struct(
-                F.rtrim(x["e"]).alias("term"), F.when(spaced, none).otherwise(x["n"]).alias("own"),
-                F.when(spaced, x["n"]).when(both, after["n"]).otherwise(none).alias("other")))
-        return F.filter(F.transform(r, row), lambda x: x.isNotNull())
-
-    tokens_sorted = F.sort_array(F.concat(own, F.transform(other, lambda t: F.concat(t, F.lit(" ")))))
-    return _bound(tokens_sorted, lambda s: _bound(runs(s), merged))
+    return F.arrow_udf(counted_rows, "array<struct<term string, own bigint, other bigint>>")(own, other)
 
 
 def paper_terms(papers: DataFrame, fields=DEFAULT_FIELDS, count: Callable | None = None) -> DataFrame:

@@ -213,6 +213,26 @@ def test_counts_in_row_of_two_fields(spark):
     assert plain["noneother"] == [("a", 0, 1), ("b", 0, 1), ("c", 0, 2)] and plain["nonenone"] == []
 
 
+def test_counts_of_many_rows_in_batches():
+    """Rows of a batch are counted apart, empty, null and very long ones too, however the batch is cut."""
+    import random
+    import pyarrow as pa
+    from collections import Counter
+    from litsearch.plans.search import COUNTED_ROWS, counted_rows
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "ab", "b", "\u00e9t\u00e9", "\U0001f600x", "z" * 40, str(rng.randrange(50))])
+    lists = lambda n: [rng.choice([None, []]) if rng.random() < 0.2 else [word() for _ in range(rng.choice([1, 5, 30, 3000 // (1 + i % 99)]))]  # noqa: E731,E501
+                       for i in range(n)]
+    for n in (0, 1, COUNTED_ROWS, COUNTED_ROWS * 2 + 7):
+        own, other = lists(n), lists(n)
+        got = counted_rows(pa.array([[]] + own, pa.list_(pa.string())).slice(1), pa.array(other, pa.list_(pa.string()))).to_pylist()
+        assert len(got) == n
+        for a, b, row in zip(own, other, got):
+            a, b = Counter(a or []), Counter(b or [])
+            assert [(x["term"], x["own"], x["other"]) for x in row] == [
+                (t, a[t], b[t]) for t in sorted(a.keys() | b.keys(), key=str.encode)]
+
+
 def test_block_topk_keeps_lesser_ids_of_equal_scores():
     import numpy as np
     import pandas as pd
