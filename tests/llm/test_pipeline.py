@@ -7,6 +7,7 @@ import corpus_pipeline as P
 from litsearch.llm import line_dedup, mixing, ngram_join, piece_codec
 from litsearch.llm.common import stored
 from tests.conftest import SF_SMALL
+from tests.llm.test_line_dedup import one_common_key
 
 
 def test_stages_take_effect(spark):
@@ -78,3 +79,10 @@ def test_odd_rows_through_all_stages(spark):
         drawn[i] += n
     last = docs.where("doc_id is null or doc_id >= 1000000").select("doc_id").collect()
     assert Counter(r.doc_id for r in last) == drawn
+
+
+def test_line_stage_compares_lines_of_one_frequent_key(spark):
+    texts, _ = one_common_key(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = {r.doc_id: r.text for r in P.drop_repeated_lines(spark, docs, SF_SMALL).collect()}
+    assert cut == {**dict(enumerate(texts)), 1: ""}
