@@ -8,14 +8,17 @@
    Both follow from the triangle inequality, so no link is lost; on vectors
    without any structure nothing can be left out and all tiles meet. The sample
    only decides how much work is saved.
-3. Two tiles meet in one task as int8 codes with one scale a vector. Products of
+3. Neighbouring tiles make a span of at most ``SPAN_VALUES`` numbers, and every two spans meet
+   in one task: a vector is sent once for each span, not for each tile. There are as few spans as
+   memory and the number of cores allow; the tiles that leave nothing out meet within the task.
+4. Two tiles meet as int8 codes with one scale a vector. Products of
    codes are exact integers; with the lengths of both quantisation errors they
    bound the cosine. Pairs surely above the threshold count at once, pairs surely
    below are gone, and only those between are computed again in double precision.
-4. A task returns one row per linked vector: its number of links and the least
+5. A task returns one row per linked vector: its number of links and the least
    vector of its group there. A group of thousands of copies so costs rows in
-   proportion to its vectors and tiles, never one row a pair.
-5. Connected groups are the components of these rows.
+   proportion to its vectors and spans, never one row a pair.
+6. Connected groups are the components of these rows.
 
 Vectors that are null, zero or hold null or non-finite components link with
 nothing; so do vectors of different lengths. Repeated rows, also of one
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,6 +47,8 @@ PIVOTS = 256             # sampled pivots at most, and 16 MB of them
 TILE_ROWS = 4096         # vectors of a tile, fewer if they are long
 TILE_VALUES = 1 << 21    # numbers of a tile
 STEP = 1024              # rows of a tile that are multiplied at once
+SPAN_VALUES = 1 << 22    # numbers of a span of tiles, of which two are in a task
+TASKS_A_CORE = 4         # pairs of spans for each core, where memory allows fewer spans
 SLACK = 1e-9             # on angles, for rounding in double precision
 
 
@@ -119,29 +125,34 @@ def block_star(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return np.stack([own, own[label]], axis=1)
 
 
-def tile_links(key: tuple, pair: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
-    """node, root, links: the linked vectors of two tiles (or of one tile with itself)."""
+def span_links(key: tuple, pair: pd.DataFrame, cells: Cells, threshold: float, kind: str) -> pd.DataFrame:
+    """node, root, links: the linked vectors of two spans of tiles (or of one span with itself)."""
     pair = pair.sort_values("node", ignore_index=True)
-    unit, sizes = unit_rows(pair["vec"].tolist(), kind)
+    blobs = pair["vec"].tolist()
+    unit, sizes = unit_rows(blobs, kind)
     codes, scale, error = quantised(unit)
-    low, high = key
-    left = np.nonzero(pair["tile"].to_numpy() == low)[0]
-    right = np.nonzero(pair["tile"].to_numpy() == high)[0]
+    tile = pair["tile"].to_numpy()
+    meets = cells.met_by(blobs, cells.cell[tile], kind)
+    at = {int(t): np.nonzero(tile == t)[0] for t in np.unique(tile)}
+    low, high = ([t for t in at if cells.span[t] == s] for s in key)
     links, stars = np.zeros(len(pair), dtype=np.int64), []
-    for i in range(0, len(left), STEP):
-        a = left[i:i + STEP]
-        for j in range(i if low == high else 0, len(right), STEP):
-            b = right[j:j + STEP]
-            rows, cols, _ = linked_pairs((unit[a], codes[a], scale[a], error[a]),
-                                         (unit[b], codes[b], scale[b], error[b]), threshold)
-            rows, cols = a[rows], b[cols]
-            keep = sizes[rows] == sizes[cols]
-            if low == high and i == j:
-                keep &= rows < cols
-            rows, cols = rows[keep], cols[keep]
-            if len(rows):
-                links += np.bincount(rows, minlength=len(pair)) + np.bincount(cols, minlength=len(pair))
-                stars.append(block_star(rows, cols))
+    for t, u in ((t, u) for t in low for u in high if key[0] != key[1] or t <= u):
+        left = at[t][meets[at[t], cells.cell[u]]]
+        right = at[u][meets[at[u], cells.cell[t]]]
+        for i in range(0, len(left), STEP):
+            a = left[i:i + STEP]
+            for j in range(i if t == u else 0, len(right), STEP):
+                b = right[j:j + STEP]
+                rows, cols, _ = linked_pairs((unit[a], codes[a], scale[a], error[a]),
+                                             (unit[b], codes[b], scale[b], error[b]), threshold)
+                rows, cols = a[rows], b[cols]
+                keep = sizes[rows] == sizes[cols]
+                if t == u and i == j:
+                    keep &= rows < cols
+                rows, cols = rows[keep], cols[keep]
+                if len(rows):
+                    links += np.bincount(rows, minlength=len(pair)) + np.bincount(cols, minlength=len(pair))
+                    stars.append(block_star(rows, cols))
     label = least_labels(np.arange(len(pair)), np.concatenate(stars)) if stars else np.arange(len(pair))
     found = np.nonzero(links)[0]
     node = pair["node"].to_numpy()
@@ -190,37 +201,71 @@ def pivot_angles(blobs, pivots: np.ndarray, kind: str) -> np.ndarray:
     return np.arccos(near)
 
 
+@dataclass
+class Cells:
+    """Pivots, radius and number of tiles of each cell; the cell and the span of each tile; ``reach``, the widest angle of a link."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    tiles: np.ndarray
+    cell: np.ndarray
+    span: np.ndarray
+    reach: float
+
+    def met_by(self, blobs, own: np.ndarray, kind: str) -> np.ndarray:
+        """Per vector of the cells ``own`` and per cell whether a vector within reach could lie there."""
+        if not len(blobs):
+            return np.zeros((0, len(self.pivots)), dtype=bool)
+        angles = pivot_angles(blobs, self.pivots, kind)
+        rows = np.arange(len(blobs))
+        meets = (angles <= self.radius[None, :] + self.reach) & (angles <= angles[rows, own][:, None] + 2 * self.reach)
+        meets[rows, own] = True
+        return meets
+
+
+def cells_of(pivots: np.ndarray, radius: np.ndarray, tiles: np.ndarray, threshold: float,
+             rows: np.ndarray | None = None, span_rows: int = 0) -> Cells:
+    """Neighbouring tiles make spans of about ``span_rows`` of the ``rows`` of the cells, at least one tile each."""
+    cell = np.repeat(np.arange(len(tiles)), tiles)
+    span = np.arange(len(cell))
+    if rows is not None:
+        share = (rows / tiles)[cell]  # rows of a tile
+        span = np.unique(((np.cumsum(share) - share / 2) // max(span_rows, 1)).astype(np.int64), return_inverse=True)[1]
+    return Cells(pivots, radius, tiles, cell, span, math.acos(threshold) + SLACK + 1e-6)  # arccos loses digits near one
+
+
 def meetings(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, tiles: np.ndarray,
-             threshold: float, kind: str) -> DataFrame:
-    """low, high, tile, node, vec: every row once for each pair of tiles in which it may link."""
-    reach = math.acos(threshold) + SLACK + 1e-6  # arccos loses digits near one
+             threshold: float, kind: str, cells: Cells | None = None) -> DataFrame:
+    """low, high, tile, node, vec: every row once for each pair of spans in which it may link.
+
+    Without ``cells`` each tile is a span.
+    """
+    cells = cells or cells_of(pivots, radius, tiles, threshold)
     first = np.concatenate([[0], np.cumsum(tiles)[:-1]])
+    spans = np.zeros((len(tiles), int(cells.span.max()) + 1), dtype=bool)
+    spans[cells.cell, cells.span] = True
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            angles = pivot_angles(batch["vec"].tolist(), pivots, kind)
             cell = batch["cell"].to_numpy()
-            meets = (angles <= radius[None, :] + reach) & (angles <= batch["angle"].to_numpy()[:, None] + 2 * reach)
-            meets[np.arange(len(batch)), cell] = True
-            cells = [np.nonzero(x)[0].astype(np.int32) for x in meets]
+            met = cells.met_by(batch["vec"].tolist(), cell, kind) @ spans
             tile = first[cell] + batch["part"].to_numpy() % tiles[cell]
-            yield pd.DataFrame({"tile": tile.astype(np.int32), "cells": cells, "node": batch["node"],
+            yield pd.DataFrame({"tile": tile.astype(np.int32), "span": cells.span[tile].astype(np.int32),
+                                "spans": [np.nonzero(x)[0].astype(np.int32) for x in met], "node": batch["node"],
                                 "vec": batch["vec"]})
 
-    rows = rows.select("node", "vec", "cell", "angle", F.shiftrightunsigned(F.xxhash64("node"), 33).alias("part"))
-    met = rows.mapInPandas(run, "tile int, cells array<int>, node long, vec binary")
-    start, end = (F.array(*[F.lit(int(x)) for x in at]) for at in (first, first + tiles - 1))
-    met = met.select("tile", "node", "vec", F.explode("cells").alias("cell"))
-    met = met.select("tile", "node", "vec", F.explode(F.sequence(start[F.col("cell")], end[F.col("cell")])).alias("other"))
-    return met.select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+    rows = rows.select("node", "vec", "cell", F.shiftrightunsigned(F.xxhash64("node"), 33).alias("part"))
+    met = rows.mapInPandas(run, "tile int, span int, spans array<int>, node long, vec binary")
+    met = met.select("tile", "span", "node", "vec", F.explode("spans").alias("other"))
+    return met.select(F.least("span", "other").alias("low"), F.greatest("span", "other").alias("high"),
                       "tile", "node", "vec")
 
 
 def near_links(vectors: DataFrame, kind: str, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS,
                pivots: int = PIVOTS) -> DataFrame:
-    """node, root, links for the linked vectors of every pair of tiles; ``vectors``: node, vec."""
+    """node, root, links for the linked vectors of every pair of spans; ``vectors``: node, vec."""
     spark = vectors.sparkSession
     size = vectors.agg(F.count("*"), F.max(F.length("vec"))).first()
     count, longest = size[0], max(1, (size[1] or 0) // np.dtype(kind).itemsize)
@@ -231,15 +276,18 @@ def near_links(vectors: DataFrame, kind: str, threshold: float = THRESHOLD, tile
         return spark.createDataFrame([], "node long, root long, links long")
     pivot, _ = unit_rows([bytes(r.vec) for r in sample], kind)
     rows = stored(located(vectors, pivot, kind), "cells")
-    radius, tiles = np.full(len(pivot), -1e9), np.ones(len(pivot), dtype=np.int64)
+    radius, tiles, inside = np.full(len(pivot), -1e9), np.ones(len(pivot), dtype=np.int64), np.zeros(len(pivot))
     for r in rows.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():
-        radius[r.cell], tiles[r.cell] = r.radius, -(-r.n // tile_rows)
-    met = meetings(rows, pivot, radius, tiles, threshold, kind)
-    pairs = int(tiles.sum()) * (int(tiles.sum()) + 1) // 2
+        radius[r.cell], tiles[r.cell], inside[r.cell] = r.radius, -(-r.n // tile_rows), r.n
+    spans = math.ceil(math.sqrt(2 * TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+    cells = cells_of(pivot, radius, tiles, threshold, inside, min(SPAN_VALUES // longest, -(-count // spans)))
+    met = meetings(rows, pivot, radius, tiles, threshold, kind, cells)
+    number = int(cells.span.max()) + 1
+    pairs = number * (number + 1) // 2
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.repartition(max(least, min(pairs, 100_000)), "low", "high")
+    dealt = met.repartition(max(least, min(4 * pairs, 100_000)), "low", "high")  # so that few pairs share a task
     return dealt.groupBy("low", "high").applyInPandas(
-        lambda key, pair: tile_links(key, pair, threshold, kind), "node long, root long, links long")
+        lambda key, pair: span_links(key, pair, cells, threshold, kind), "node long, root long, links long")
 
 
 def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS,

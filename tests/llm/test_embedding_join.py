@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litsearch.llm.embedding_join import linked_pairs, meetings, near_groups, quantised, unit_rows
+from litsearch.llm import embedding_join
+from litsearch.llm.embedding_join import cells_of, linked_pairs, meetings, near_groups, quantised, unit_rows
 
 SCHEMA = "vec_id long, embedding array<double>, label int, node string, tile int"
 
@@ -102,3 +103,20 @@ def test_far_cells_do_not_meet(spark):
                                   "node long, vec binary, cell int, angle double")
     got = meetings(frame, pivots, np.full(4, 0.05), np.ones(4, dtype=np.int64), 0.95, "<f8").collect()
     assert len(got) == 40 and all(r.low == r.high for r in got)
+
+
+def test_a_vector_is_sent_once_for_each_span_of_tiles(spark, monkeypatch):
+    """Not once for each tile, or else what is shuffled grows with the square of the table."""
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).astype("<f8").tobytes(), 0, 0.0) for i in range(60)]
+    frame = spark.createDataFrame(pd.DataFrame(rows, columns=["node", "vec", "cell", "angle"]),
+                                  "node long, vec binary, cell int, angle double")
+    pivots, radius, tiles = np.eye(4)[:1], np.full(1, 4.0), np.full(1, 20)
+    spans = cells_of(pivots, radius, tiles, 0.95, np.full(1, 60), 15)
+    assert list(spans.span) == [i // 5 for i in range(20)]
+    assert meetings(frame, pivots, radius, tiles, 0.95, "<f8", spans).count() == 60 * 4
+    data = cloud(5)
+    for values in (16 * 20, 16 * 100):
+        monkeypatch.setattr(embedding_join, "SPAN_VALUES", values)
+        assert found(spark, data, tile_rows=9) == brute(data)
