@@ -35,6 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litsearch.functions.bitmap import bitmap, bits_for, marked
 from litsearch.functions.text import tokens
 from litsearch.session import few, materialize
 
@@ -237,13 +238,22 @@ def _best(scored: DataFrame, limits: DataFrame, by: str, most: int, times: int =
 
 
 def _looked_up(pairs: DataFrame, lists: DataFrame, index: LexicalIndex) -> DataFrame:
-    """``pairs`` (query_id, pmc_id, known) with ``score``: ``known`` and what the terms of ``lists`` add."""
+    """``pairs`` (query_id, pmc_id, known) with ``score``: ``known`` and what the terms of ``lists`` add.
+
+    Postings meet the terms and the pairs where they are read, so that no posting is shuffled, only what a task adds up
+    for a pair. Few pairs are sent there themselves, of many a bitmap is; the join with ``pairs`` is exact.
+    """
     lists, _ = few(lists.select("query_id", "term", "df"), "looked-up-terms")
     pairs, small = few(pairs, "looked-up-pairs")
-    wanted = pairs.select("query_id", "pmc_id").join(lists, "query_id")
-    postings = of_terms(searchable_postings(index), lists, index.term_buckets, pairs if small else None)
-    more = (join_postings(wanted, postings, index.term_buckets, keys=("term", "pmc_id"))
-            .groupBy("query_id", "pmc_id").agg(F.sum(contribution(index)).alias("more")))
+    wanted = pairs.select("query_id", "pmc_id")
+    postings = of_terms(searchable_postings(index), lists, index.term_buckets, wanted if small else None)
+    parts = join_postings(lists, postings, index.term_buckets)
+    if small:
+        parts = parts.join(F.broadcast(wanted), ["query_id", "pmc_id"], "left_semi")
+    else:
+        bits, key = bits_for(pairs.count()), F.xxhash64("query_id", "pmc_id")
+        parts = marked(parts, key, bitmap(wanted, key, bits), bits, "_wanted").where("_wanted")
+    more = parts.groupBy("query_id", "pmc_id").agg(F.sum(contribution(index)).alias("more"))
     return pairs.join(more, ["query_id", "pmc_id"], "left").withColumn(
         "score", F.col("known") + F.coalesce("more", F.lit(0.0))).drop("more")
 

@@ -96,7 +96,7 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
 
     Term counts, token count, a.a and BM25 length of a paper are computed in its own row
     and stored, so no text and no count is shuffled for them. The stored terms are
-    exploded twice: for the terms' histograms, and into the postings, which are
+    exploded into the postings, from which the terms' histograms are made; postings are
     dealt by ``tb = xxhash64(term) mod B`` by a ``rebalance`` (AQE splits a bucket made
     large by a term found in most papers) and sorted by term inside each file. ``count``: a column function
     that gives an abstract's number of tokens for the index limit (P12), such as
@@ -104,11 +104,7 @@ def prepare_corpus(papers: DataFrame, fields=DEFAULT_FIELDS, persist: bool = Tru
     """
     spark = papers.sparkSession
     buckets = int(term_buckets or default_term_buckets(spark))
-    base = papers.select(*PAPER_COLUMNS)
-    # text work is CPU bound: spread a few input files over all cores
-    if len(base.inputFiles()) < spark.sparkContext.defaultParallelism:
-        base = base.hint("rebalance")
-    papers = with_paper_key(base)
+    papers = with_paper_key(spread(papers.select(*PAPER_COLUMNS)))
     save = materialize if persist else (lambda df, *_: df)
     papers = save(papers, "papers")
     base = papers.withColumnRenamed("pmc_id", "real_id").withColumnRenamed("pk", "pmc_id")
@@ -131,9 +127,10 @@ def lexical_tables(counts: DataFrame, avg_len: float, buckets: int, save) -> tup
 
     ``save(df, name, partition_by)`` stores a table and returns it.
     """
-    doc_freq = save(term_counts_by_impact(counts, avg_len), "term-counts")
     postings = counts.withColumn("tb", term_bucket("term", buckets))
     postings = save(postings.hint("rebalance", "tb").sortWithinPartitions("tb", "term"), "postings", "tb")
+    # a term's postings are in few files by now, so that a task has most of them and adds them up before the shuffle
+    doc_freq = save(term_counts_by_impact(postings, avg_len), "term-counts")
     # the terms with champions are few beside the postings, which are then not shuffled for them
     cuts, _ = few(doc_freq.where("cut is not null").select("term", "cut"), "cuts")
     champions = champion_postings(postings.select("tb", "term", "pmc_id", "tf", "doc_len").join(cuts, "term"), avg_len)
@@ -142,15 +139,32 @@ def lexical_tables(counts: DataFrame, avg_len: float, buckets: int, save) -> tup
 
 
 def with_paper_key(papers: DataFrame) -> DataFrame:
-    """Add ``pk``: unique among papers. Papers that agree in every column become one."""
+    """Add ``pk``: unique among papers. Papers that agree in every column become one.
+
+    A paper whose ``pmc_id`` is empty or shared is named by that and its ``pm_id``; only where both are shared
+    a hash of the paper is added, and only those texts are shuffled to find equal ones.
+    """
     repeated, _ = few(papers.groupBy("pmc_id").agg(F.count(F.lit(1)).alias("_n"))
                       .where((F.col("_n") > 1) | (F.col("pmc_id") == "")).select("pmc_id"), "repeated-ids")
     alone = papers.join(repeated, "pmc_id", "left_anti").withColumn("pk", F.col("pmc_id"))
     if repeated.isEmpty():
         return alone.select(*PAPER_COLUMNS, "pk")
-    hashed = F.concat("pmc_id", F.lit("\u0001"), "pm_id", F.lit("\u0001"), F.hex(F.xxhash64(*PAPER_COLUMNS)))
-    several = papers.join(repeated, "pmc_id", "left_semi").withColumn("pk", hashed).dropDuplicates(["pk"])
-    return alone.unionByName(several).select(*PAPER_COLUMNS, "pk")
+    several = papers.join(repeated, "pmc_id", "left_semi")
+    both = F.concat("pmc_id", F.lit("\u0001"), "pm_id")
+    shared, _ = few(several.groupBy(both.alias("_ids")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_ids"),
+                    "repeated-id-pairs")
+    several = several.withColumn("_ids", both)
+    by_ids = several.join(shared, "_ids", "left_anti").withColumn("pk", F.col("_ids"))
+    hashed = F.concat("_ids", F.lit("\u0001"), F.hex(F.xxhash64(*PAPER_COLUMNS)))
+    by_hash = several.join(shared, "_ids", "left_semi").withColumn("pk", hashed).dropDuplicates(["pk"])
+    named = alone.select(*PAPER_COLUMNS, "pk").unionByName(by_ids.select(*PAPER_COLUMNS, "pk"))
+    return named if shared.isEmpty() else named.unionByName(by_hash.select(*PAPER_COLUMNS, "pk"))
+
+
+def spread(papers: DataFrame) -> DataFrame:
+    """Text work is CPU bound: spread a few input files over all cores."""
+    few_files = len(papers.inputFiles()) < papers.sparkSession.sparkContext.defaultParallelism
+    return papers.hint("rebalance") if few_files else papers
 
 
 def sorted_counts(own: pa.Array, other: pa.Array) -> pa.Array:
