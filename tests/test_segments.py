@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from litsearch.operators.lexical import match_terms, ranked_candidates, terms_from_text
 from litsearch.operators.similarity import similarity_corpus
+from litsearch.plans import segments
 from litsearch.plans.search import SearchConfig, prepare_corpus, search
 from litsearch.plans.segments import SegmentedIndex
 from litsearch.schemas import PAPER_COLUMNS
@@ -69,3 +70,24 @@ def test_a_run_that_died_before_its_log_row_is_not_seen(spark):
     index.upsert(frame(spark, [("a", "", "four")]))
     live = {r.term for r in index.corpus().lexical.terms.collect()}
     assert live == {"two", "four"}
+
+
+def test_dead_rows_are_told_without_a_shuffle(spark, monkeypatch):
+    """No posting is shuffled to leave out those of dead papers, and papers that share a slot with dead ones stay."""
+    monkeypatch.setattr(segments, "bits_for", lambda keys: 64)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no guess of a size helps
+    try:
+        index = SegmentedIndex(spark, scratch_path(spark, "segments"), term_buckets=2)
+        index.upsert(frame(spark, [(f"p{i}", "", f"old w{i}") for i in range(300)]))
+        index.upsert(frame(spark, [(f"p{i}", "", f"new w{i}") for i in range(0, 300, 3)]))
+        index.delete(spark.createDataFrame([("p1",), ("p4",)], "pmc_id string"))
+        postings = index._rows("postings")
+        assert "hashpartitioning" not in postings._jdf.queryExecution().executedPlan().toString()
+        got = {(r.term, r.pmc_id) for r in postings.collect()}
+        terms = {r.term: r.df for r in index.corpus().lexical.terms.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    live = [i for i in range(300) if i not in (1, 4)]
+    assert got == {(f"w{i}", f"p{i}") for i in live} | {("new" if i % 3 == 0 else "old", f"p{i}") for i in live}
+    assert (terms["old"], terms["new"], len(terms)) == (198, 100, 300)
